@@ -1,0 +1,25 @@
+"""Input size of a plan, for choosing between one-pass and split strategies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+BROADCAST_INPUT_BYTES = 16 << 20
+ONE_PASS_INPUT_BYTES = 64 << 20
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of all source relations below the frame; None when the session cannot tell.
+
+    Filters, aggregates and key lookups never produce more than a small multiple of this.
+    """
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    except Exception:
+        return None
+
+
+def is_small(df: DataFrame, limit: int) -> bool:
+    size = input_bytes(df)
+    return size is not None and size <= limit
