@@ -166,6 +166,22 @@ SQL_VIEWS = {
     "lab_dictionary": """select distinct itemid, label, 'u' || cast(itemid as varchar) as unitname from labevents""",
     "lab_cohort": """select user_id as subject_id, min(ts) as index_time, min(ts) as feature_time_upper_bound
         from events where event_type = 'purchase' and ts >= timestamp '2024-01-15 00:00:00' group by 1""",
+    "lab_window": """select l.*, c.index_time from labevents l join lab_cohort c using (subject_id)
+        where charttime < feature_time_upper_bound and charttime >= index_time - interval 7 day""",
+    "lab_long": """select subject_id, label, min(valuenum) as "min", max(valuenum) as "max", avg(valuenum) as mean,
+        array_agg(valuenum order by charttime desc, event_id desc)[1] as "last", count(valuenum) as "count",
+        date_diff('microsecond', max(charttime), max(index_time)) / 8.64e10 as recency_days,
+        count(valuenum) / 7.0::double as per_day from lab_window group by subject_id, label""",
+    "chart_window": """select w.*, sign as vital from (select *, unnest([v for v in [
+        case when regexp_matches(label, 'purchase|view') then 'buying' end,
+        case when regexp_matches(label, 'err') then 'fault' end,
+        case when regexp_matches(label, 'sign ?up|click') then 'entry' end] if v is not null]) as sign
+        from lab_window) w""",
+    "vital_stats": """select subject_id, vital, min(valuenum) as "min", max(valuenum) as "max", avg(valuenum) as mean,
+        (array_agg(valuenum order by charttime desc, event_id desc) filter (valuenum is not null))[1] as "last",
+        count(valuenum) as "count",
+        date_diff('microsecond', max(charttime), max(index_time)) / 8.64e10 as recency_days
+        from chart_window group by subject_id, vital""",
     "stays": """select a.*, date_diff('microsecond', admittime, dischtime) / 3.6e9 as los_hours
         from admissions a where subject_id is not null and hadm_id is not null and dischtime >= admittime""",
     "aged": """select s.*, p.gender, p.ethnicity,
@@ -177,6 +193,39 @@ SQL_VIEWS = {
         deathtime is not null as in_hosp_mortality, admittime as feature_time_upper_bound,
         admittime as label_time_zero from aged where year(admittime) >= 1997 and age_at_admit >= 18
         qualify row_number() over (partition by subject_id order by admittime, hadm_id) = 1""",
+    "rx_window": """select p.*, lower(drug) as d, c.index_time from prescriptions p join cohort c using (subject_id)
+        where starttime < feature_time_upper_bound and starttime >= index_time - interval 365 day""",
+    "dx_full": """select d.subject_id, d.hadm_id, a.admittime as dx_time,
+        icd_version = 9 and substr(code, 1, 3) in ('249','250')
+          or icd_version = 10 and substr(code, 1, 3) in ('E08','E09','E10','E11','E13') as is_diab,
+        icd_version = 9 and substr(code, 1, 3) in ('410','411','412','413','414','428','433','434','435','436',
+          '437','438','440')
+          or icd_version = 10 and substr(code, 1, 3) in ('I20','I21','I22','I23','I24','I25','I50','I60','I61','I62',
+          'I63','I64','I65','I66','I67','I68','I69','I70') as is_cvd
+        from (select *, upper(regexp_replace(icd_code, '[^A-Za-z0-9]', '', 'g')) as code from diagnoses) d
+        join admissions a using (hadm_id)""",
+    "dx_narrow": """select d.subject_id, d.hadm_id, a.admittime as dx_time,
+        icd_version = 9 and code like '250%' or icd_version = 10 and substr(code, 1, 3) in ('E10','E11','E13','E14')
+          as is_diab,
+        icd_version = 9 and substr(code, 1, 3) in ('410','411','412','413','414','428','433','434','436')
+          or icd_version = 10 and substr(code, 1, 3) in ('I20','I21','I22','I23','I24','I25','I50','I63','I64')
+          as is_cvd
+        from (select *, upper(icd_code) as code from diagnoses) d
+        join admissions a on a.hadm_id = d.hadm_id and a.subject_id = d.subject_id""",
+    "first_events": """select subject_id,
+        min(dx_time) filter (is_diab) as diab_first_event_time,
+        arg_min(hadm_id, (dx_time, hadm_id)) filter (is_diab) as diab_first_event_hadm_id,
+        min(dx_time) filter (is_cvd) as cvd_first_event_time,
+        arg_min(hadm_id, (dx_time, hadm_id)) filter (is_cvd) as cvd_first_event_hadm_id
+        from dx_full where is_diab or is_cvd group by 1""",
+    "incident": """select c.subject_id, c.hadm_id, c.index_time, e.* exclude (subject_id),
+        coalesce(diab_first_event_time < index_time, false) as diab_prevalent_at_index,
+        coalesce(cvd_first_event_time < index_time, false) as cvd_prevalent_at_index,
+        coalesce((diab_first_event_time > index_time or (diab_first_event_time = index_time
+          and diab_first_event_hadm_id = c.hadm_id)), false) as diab_base,
+        coalesce((cvd_first_event_time > index_time or (cvd_first_event_time = index_time
+          and cvd_first_event_hadm_id = c.hadm_id)), false) as cvd_base
+        from cohort c left join first_events e on c.subject_id = e.subject_id""",
     "preds": """select o_orderkey as subject_id, case when o_orderstatus = 'F' then 1 else 0 end as y_true,
         cast(((o_orderkey * 7919) % 1000) * 7 + case when o_orderstatus = 'F' then 3000 else 0 end as double)
         / 10000.0::double as y_score from orders""",
