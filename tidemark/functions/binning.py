@@ -27,6 +27,21 @@ def edges_at_or_below(df: DataFrame, value: str, edges: Sequence[float], out: st
             .drop(tmp))
 
 
+def number_array(values: Sequence[float]) -> Column:
+    """A constant double array from one text literal; folded once when the plan is optimised."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def edges_at_or_below_many(df: DataFrame, edges: dict[str, Sequence[float]], suffix: str) -> DataFrame:
+    """`edges_at_or_below` for several columns in one pass; adds `<column><suffix>`."""
+    cols = list(edges)
+    cut = Bucketizer(splitsArray=[[-math.inf, *[float(e) for e in edges[c]], math.inf] for c in cols],
+                     inputCols=cols, outputCols=[f"__k_{c}" for c in cols], handleInvalid="keep")
+    return cut.transform(df).withColumns({
+        c + suffix: F.when(F.col(c).isNotNull(), F.col(f"__k_{c}").cast("int")) for c in cols
+    }).drop(*[f"__k_{c}" for c in cols])
+
+
 def equal_width_edges(bins: int) -> list[float]:
     """Edges of `bins` equal bins on [0,1]; the last edge is exactly 1."""
     step = 1.0 / bins

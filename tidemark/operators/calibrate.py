@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.binning import edges_at_or_below
+from ..functions.binning import edges_at_or_below, number_array
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ def step_knots(xs: list[float], ys: list[float]) -> Isotonic:
 def apply_isotonic(df: DataFrame, score: str, prm: Isotonic, out: str) -> DataFrame:
     """Step lookup by binary search over the knots."""
     cut = edges_at_or_below(df, score, prm.x[1:], "__step")
-    values = F.array(*[F.lit(v) for v in prm.y])
+    values = number_array(prm.y)
     return cut.withColumn(out, F.element_at(values, F.col("__step") + 1)).drop("__step")
 
 

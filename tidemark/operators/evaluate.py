@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.binning import edges_at_or_below, equal_width_edges, threshold_grid
+from ..functions.binning import edges_at_or_below, equal_width_edges, number_array, threshold_grid
 from .ranking import null_safe_join, quantile_bins, running_totals
 
 RATES = ["sensitivity", "specificity", "ppv", "npv", "accuracy", "f1"]
@@ -204,7 +204,7 @@ def decision_curve(long: DataFrame, keys: Sequence[str], grid: Sequence[float] |
         F.sum("pos").over(per_key).alias("pos"),
         (F.sum("pos").over(per_key) + F.sum("neg").over(per_key)).alias("n"),
     ).where(F.col("k") > 0)
-    t = F.element_at(F.array(*[F.lit(g) for g in grid]), F.col("k"))
+    t = F.element_at(number_array(grid), F.col("k"))
     return rows.withColumn("threshold", t).select(
         *keys, "threshold", "n", *net_benefit_columns("tp", "fp", "pos", "n", "threshold"))
 
@@ -362,7 +362,7 @@ def decision_curve_intervals(long: DataFrame, keys: Sequence[str], replicates: i
         return pd.Series(out)
 
     curves = arrays.select(*keys, "replicate", F.posexplode(draw("__pos", "__neg", "__seed")).alias("i", "nb"))
-    t = F.element_at(F.array(*[F.lit(g) for g in grid]), F.col("i") + 1)
+    t = F.element_at(number_array(grid), F.col("i") + 1)
     ci = curves.groupBy(*keys, "i").agg(F.percentile("nb", [0.025, 0.975]).alias("q"))
     return ci.select(*keys, t.alias("threshold"), F.col("q")[0].alias("nb_model_lo"),
                      F.col("q")[1].alias("nb_model_hi"))

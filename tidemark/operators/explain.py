@@ -57,11 +57,14 @@ def permutation_importance(df: DataFrame, features: Sequence[str], rescore: Call
 
 
 def linear_rescore(coefficients: dict[str, float], margin: str = "margin") -> Callable[[DataFrame], DataFrame]:
-    """For a linear model a shuffle only moves the stored margin by coef * (new - old)."""
+    """For a linear model a shuffle only moves the stored margin by coef * (new - old).
+
+    The moved margin is rounded to 12 places, so rows that end with equal values tie again.
+    """
     coef = F.lit(0.0)
     for f, v in coefficients.items():
         coef = F.when(F.col("feature") == f, F.lit(float(v))).otherwise(coef)
-    moved = F.col(margin) + coef * (F.col("shuffled") - F.col("original"))
+    moved = F.round(F.col(margin) + coef * (F.col("shuffled") - F.col("original")), 12)
     return lambda rows: rows.withColumn("score", C.sigmoid(moved))
 
 

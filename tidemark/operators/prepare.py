@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.binning import edges_at_or_below
+from ..functions.binning import edges_at_or_below_many, number_array
 from ..session import checkpointed
 from .ranking import first_rows, quantiles
 
@@ -158,43 +158,60 @@ def apply(df: DataFrame, prep: Preparation) -> DataFrame:
     """Impute and scale any fold with the fitted parameters; no shuffle, no join."""
     out = impute(df, prep)
     if prep.scaler == "quantile":
-        for c, knots in prep.knots.items():
-            out = quantile_normal(out, c, knots)
-        return out
+        return quantile_normal(out, prep.knots) if prep.knots else out
     return out.select(*[
         ((F.col(c) - F.lit(prep.centre[c])) / F.lit(prep.scale[c])).alias(c) if c in prep.scale else F.col(c)
         for c in out.columns])
 
 
-def quantile_normal(df: DataFrame, column: str, knots: Sequence[float]) -> DataFrame:
-    """Map through the empirical distribution of the knots to a standard normal.
+def quantile_normal(df: DataFrame, knots: dict[str, Sequence[float]]) -> DataFrame:
+    """Map columns through the empirical distribution of their knots to a standard normal.
 
     Between knots the level is interpolated; on a repeated knot it is the middle of its levels.
     """
-    m = len(knots)
-    edge: list[float] = []
-    first: list[float] = []
-    last: list[float] = []
-    for i, v in enumerate(knots):
-        level = i / (m - 1)
-        if edge and edge[-1] == v:
-            last[-1] = level
-        else:
-            edge.append(v)
-            first.append(level)
-            last.append(level)
-    cut = edges_at_or_below(df, column, edge, "__k")
-    k, x = F.col("__k"), F.col(column)
-
-    def pick(values: Sequence[float], shift: int = 0) -> Column:
-        return F.try_element_at(F.array(*[F.lit(v) for v in values]), k + shift)
-
-    between = pick(last) + (x - pick(edge)) / (pick(edge, 1) - pick(edge)) * (pick(first, 1) - pick(last))
-    inner = F.when(x == pick(edge), (pick(first) + pick(last)) / 2.0).otherwise(between)
-    level = F.when(x <= edge[0], F.lit(0.0)).when(x >= edge[-1], F.lit(1.0)).otherwise(inner)
-    z = F.when(level <= 1e-7, -NORMAL_LIMIT).when(level >= 1.0 - 1e-7, NORMAL_LIMIT) \
-        .otherwise(C.inverse_normal(level))
-    return cut.withColumn(column, F.when(x.isNotNull(), z)).drop("__k")
+    edges: dict[str, list[float]] = {}
+    first: dict[str, list[float]] = {}
+    last: dict[str, list[float]] = {}
+    for c, values in knots.items():
+        e, lo, hi = [], [], []
+        for i, v in enumerate(values):
+            level = i / (len(values) - 1)
+            if e and e[-1] == v:
+                hi[-1] = level
+            else:
+                e.append(v)
+                lo.append(level)
+                hi.append(level)
+        edges[c], first[c], last[c] = e, lo, hi
+    out = edges_at_or_below_many(df, edges, "__k")
+
+    def pick(c: str, values: Sequence[float], shift: int = 0) -> Column:
+        return F.get(number_array(values), F.col(f"{c}__k") - 1 + shift)
+
+    def bound(value: Column, body) -> Column:
+        """Evaluate `value` once per row and use it many times in `body`."""
+        return F.transform(F.array(value), body)[0]
+
+    def level(c: str):
+        x = F.col(c)
+
+        def body(n: Column) -> Column:
+            between = n["hi"] + (x - n["e"]) / (n["e2"] - n["e"]) * (n["lo2"] - n["hi"])
+            inner = F.when(x == n["e"], (n["lo"] + n["hi"]) / 2.0).otherwise(between)
+            return F.when(x <= edges[c][0], F.lit(0.0)).when(x >= edges[c][-1], F.lit(1.0)).otherwise(inner)
+
+        return body
+
+    def normal(p: Column) -> Column:
+        return F.when(p <= 1e-7, -NORMAL_LIMIT).when(p >= 1.0 - 1e-7, NORMAL_LIMIT).otherwise(C.inverse_normal(p))
+
+    mapped = {}
+    for c in knots:
+        near = F.struct(
+            pick(c, edges[c]).alias("e"), pick(c, edges[c], 1).alias("e2"), pick(c, first[c]).alias("lo"),
+            pick(c, last[c]).alias("hi"), pick(c, first[c], 1).alias("lo2"))
+        mapped[c] = F.when(F.col(c).isNotNull(), bound(bound(near, level(c)), normal))
+    return out.withColumns(mapped).drop(*[f"{c}__k" for c in knots])
 
 
 def parameter_rows(spark: SparkSession, prep: Preparation) -> DataFrame:

@@ -229,6 +229,29 @@ SQL_VIEWS = {
     "preds": """select o_orderkey as subject_id, case when o_orderstatus = 'F' then 1 else 0 end as y_true,
         cast(((o_orderkey * 7919) % 1000) * 7 + case when o_orderstatus = 'F' then 3000 else 0 end as double)
         / 10000.0::double as y_score from orders""",
+    "val_preds": "select * from preds where subject_id % 2 = 0",
+    "test_preds": "select * from preds where subject_id % 2 = 1",
+    "platt_fit": """with recursive d as materialized (select ln(s / (1 - s)) as x, n, p from (select
+        greatest(1e-6::double, least(1 - 1e-6::double, y_score)) as s, count(*) as n, sum(y_true) as p
+        from val_preds group by 1)),
+        step(i, a, b) as (select 0, 0.0::double, 0.0::double union all
+        select i + 1, a + (h01 * g0 - h00 * g1) / det, b + (h01 * g1 - h11 * g0) / det from
+        (select *, h00 * h11 - h01 * h01 as det from (select i, a, b, sum(n * q - p) as g0, sum((n * q - p) * x) as g1,
+          sum(n * q * (1 - q)) as h00, sum(n * q * (1 - q) * x) as h01, sum(n * q * (1 - q) * x * x) as h11
+         from (select *, 1 / (1 + exp(-(b + a * x))) as q from step, d where i < 12) group by i, a, b)))
+        select a, b from step where i = 12""",
+    "iso_fit": """with g as (select y_score as s, count(*) as n, sum(y_true) as p from val_preds group by 1),
+        c as materialized (select row_number() over (order by s) as i, s, n, p, sum(n) over (order by s) as cn,
+          sum(p) over (order by s) as cp from g),
+        pairs as (select a.i as j, b.i as k, (b.cp - a.cp + a.p) / (b.cn - a.cn + a.n) as av
+          from c a join c b on b.i >= a.i),
+        m as (select j, k, min(av) over (partition by j order by k desc) as low from pairs)
+        select c.s, max(low) as v from m join c on c.i = m.k group by 1""",
+    "calibrated_preds": """select f.*, 1 / (1 + exp(-(b + a * ln(cl / (1 - cl))))) as y_score_platt, coalesce(i.v,
+        (select arg_min(v, s) from iso_fit)) as y_score_isotonic from (select subject_id, y_true, y_score as y_score_raw,
+        case when subject_id % 2 = 0 then 'val' else 'test' end as fold,
+        greatest(1e-6::double, least(1 - 1e-6::double, y_score)) as cl from preds) f
+        cross join platt_fit asof left join iso_fit i on f.y_score_raw >= i.s""",
     "calibrated": """select o_orderkey as subject_id, case when o_orderstatus = 'F' then 1 else 0 end as y_true,
         cast(((o_orderkey * 7919) % 1000) * 7 + case when o_orderstatus = 'F' then 3000 else 0 end as double)
         / 10000.0::double as y_score_raw,
@@ -238,6 +261,9 @@ SQL_VIEWS = {
         union all select subject_id, y_true, 'alt', y_score_alt from calibrated""",
     "group_meta": """select o_orderkey as subject_id, c_mktsegment as segment, o_orderpriority as priority,
         o_totalprice as price, o_orderdate as index_time from orders left join customer on o_custkey = c_custkey""",
+    "grouped": """select subject_id, y_true, variant, score, group_col, group_val from
+        (select l.*, segment, priority from long_preds l join group_meta g using (subject_id))
+        unpivot (group_val for group_col in (segment, priority))""",
     "matrix": """select o_orderkey as subject_id,
         case when o_orderkey % 10 < 7 then 'train' when o_orderkey % 10 < 8 then 'val' else 'test' end as fold,
         case when o_orderstatus = 'F' then 1 else 0 end as y, o_totalprice as f_price, f_lines, f_qty, f_disc,
