@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.binning import edges_at_or_below, equal_width_edges, number_array, threshold_grid
-from .ranking import null_safe_join, quantile_bins, running_totals
+from .lookups import with_row
+from .ranking import null_safe_join, quantile_bins, quantiles, running_totals
 
 RATES = ["sensitivity", "specificity", "ppv", "npv", "accuracy", "f1"]
 PARITY_METRICS = ["tpr", "fpr", "ppv", "npv", "accuracy", "f1"]
@@ -73,7 +74,7 @@ def metrics_with_ece(long: DataFrame, keys: Sequence[str], bins: int = 15, split
                      eps: float = C.METRIC_EPS) -> DataFrame:
     base = metrics(long, keys, splits, eps=eps)
     ece = calibration_error(long, keys, bins)
-    return null_safe_join(base, ece, keys, "left") if keys else base.crossJoin(F.broadcast(ece))
+    return null_safe_join(base, ece, keys, "left") if keys else with_row(base, ece)
 
 
 def reliability(long: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
@@ -428,9 +429,6 @@ def merge_importances(native: DataFrame, permutation: DataFrame, attribution: Da
 
 def cohort_profile(cohort: DataFrame, age: str = "age_at_admit", splits=None) -> DataFrame:
     """One row: n, distinct subjects, year span, age mean, sample sd, percentiles and range."""
-    from .lookups import with_row
-    from .ranking import quantiles
-
     q = quantiles(cohort, [], age, [0.1, 0.25, 0.5, 0.75, 0.9], splits)
     base = cohort.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("subject_id").alias("n_subjects"),

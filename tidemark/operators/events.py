@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.codes import FULL_CODEBOOKS, NARROW_CODEBOOKS, Codebook, in_codebook
-from .lookups import lookup_join
+from .lookups import lookup_join, short_table_join
 from .ranking import first_rows, quantiles
 
 # Drug classes searched in lower-case drug text.
@@ -197,14 +197,22 @@ def window_labels(cohort: DataFrame, diagnoses: DataFrame, admissions: DataFrame
 
 
 def events_in_window(events: DataFrame, cohort: DataFrame, time: str, lookback_days: int,
-                     keep: Sequence[str] = ()) -> DataFrame:
-    """Events of cohort subjects with index - lookback <= time < upper bound."""
+                     keep: Sequence[str] = (), prune: bool = True) -> DataFrame:
+    """Events of cohort subjects with index - lookback <= time < upper bound.
+
+    The widest window of the cohort is a scalar subquery on the event time, so files and time
+    partitions outside it are not read. Store the cohort first, since it is then read twice.
+    """
     base = cohort.select("subject_id", "index_time", "feature_time_upper_bound").dropna()
     data = events.where(F.col("subject_id").isNotNull() & F.col(time).isNotNull())
     if "hadm_id" in events.columns:
         data = data.where(F.col("hadm_id").isNotNull())
     if keep:
         data = data.select("subject_id", time, *keep)
+    if prune:
+        low = base.select(F.min(C.minus_days("index_time", lookback_days))).scalar()
+        high = base.select(F.max("feature_time_upper_bound")).scalar()
+        data = data.where((F.col(time) >= low) & (F.col(time) < high))
     return lookup_join(data, base, "subject_id").where(
         (F.col(time) < F.col("feature_time_upper_bound"))
         & (F.col(time) >= C.minus_days("index_time", lookback_days)))
@@ -328,7 +336,7 @@ def winsor_limits(long: DataFrame, keys: Sequence[str], value: str, low: float =
 
 def winsorise(long: DataFrame, limits: DataFrame, key: str, value: str) -> DataFrame:
     """Clip to the fitted limits; keys without limits are left as they are."""
-    joined = lookup_join(long, limits, key, "left")
+    joined = short_table_join(long, limits, [key])
     clipped = F.when(F.col("lo").isNull(), F.col(value)).otherwise(C.clamp(value, F.col("lo"), F.col("hi")))
     return joined.withColumn(value, clipped).drop("lo", "hi")
 

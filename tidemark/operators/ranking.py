@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binning import edges_at_or_below
-from .sizing import ONE_PASS_INPUT_BYTES, is_small
+from ..functions.binning import edges_at_or_below, right_closed_bin
+from .lookups import short_table_join, with_row
+from .sizing import ONE_PASS_BYTES, is_small
 
 MAX_PIECES = 1000
 
@@ -36,7 +37,7 @@ def split_points(df: DataFrame, value: str, pieces: int | None = None) -> list[f
 
 def choose_splits(df: DataFrame, value: str) -> list[float]:
     """No cut for small inputs, else measured cut values."""
-    return [] if is_small(df, ONE_PASS_INPUT_BYTES) else split_points(df, value)
+    return [] if is_small(df, ONE_PASS_BYTES) else split_points(df, value)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -94,7 +95,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     keys = list(keys)
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
     if splits is None:
-        if is_small(df, ONE_PASS_INPUT_BYTES):
+        if is_small(df, ONE_PASS_BYTES):
             return data.groupBy(*keys).agg(F.percentile("__x", [float(p) for p in probs]).alias(out))
         splits = split_points(data, "__x")
     ranked = running_totals(data, keys, "__x", {"n": F.lit(1)}, splits=splits)
@@ -158,16 +159,11 @@ def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int,
 
     Adds `bin` (1-based, null for null), `bin_lo` and `bin_hi`. Edges form one short row per key.
     """
-    from ..functions.binning import right_closed_bin
-
     keys = list(keys)
     probs = [i / bins for i in range(bins + 1)]
     edges = quantiles(df, keys, value, probs, splits=splits, out="__edges")
     edges = edges.withColumn("__edges", F.array_distinct("__edges"))
-    if keys:
-        joined = null_safe_join(df, edges, keys, "left")
-    else:
-        joined = df.crossJoin(F.broadcast(edges))
+    joined = short_table_join(df, edges, keys) if keys else with_row(df, edges)
     return (
         joined.withColumn("bin", right_closed_bin(value, "__edges"))
         .withColumn("bin_lo", F.try_element_at("__edges", F.col("bin")))

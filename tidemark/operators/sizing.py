@@ -1,11 +1,20 @@
-"""Input size of a plan, for choosing between one-pass and split strategies."""
+"""Input size of a plan, for choosing between one-pass and split strategies.
+
+The limits are session settings, so a cluster can tune them and tests can force either path.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-BROADCAST_INPUT_BYTES = 16 << 20
-ONE_PASS_INPUT_BYTES = 64 << 20
+# Setting names and defaults.
+BROADCAST_BYTES = ("tidemark.broadcastInputBytes", 16 << 20)
+ONE_PASS_BYTES = ("tidemark.onePassInputBytes", 64 << 20)
+HOT_ROWS = ("tidemark.hotKeyRows", 5_000_000)
+
+
+def setting(df: DataFrame, entry: tuple[str, int]) -> int:
+    return int(df.sparkSession.conf.get(entry[0], str(entry[1])))
 
 
 def input_bytes(df: DataFrame) -> int | None:
@@ -20,6 +29,6 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_small(df: DataFrame, limit: int) -> bool:
+def is_small(df: DataFrame, entry: tuple[str, int]) -> bool:
     size = input_bytes(df)
-    return size is not None and size <= limit
+    return size is not None and size < setting(df, entry)

@@ -45,7 +45,7 @@ def cut_positions(n, train: float, val: float) -> tuple[Column, Column]:
 
 
 def temporal_cutpoints(cohort: DataFrame, train: float = 0.7, val: float = 0.1, splits=None) -> DataFrame:
-    """One row (train_end, val_end): exact order statistics of the index time."""
+    """One row (train_end, val_end): exact order statistics of the index time; none below three subjects."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     times = cohort.select(C.micros_between(epoch, "index_time").alias("t"))
     i1, i2 = cut_positions("n_all", train, val)
@@ -61,8 +61,9 @@ def split_by_time(cohort: DataFrame, train: float = 0.7, val: float = 0.1, test:
                   splits=None) -> DataFrame:
     check_proportions(train, val, test)
     cuts = temporal_cutpoints(cohort, train, val, splits)
-    return with_row(cohort, cuts).withColumn(
-        "fold", fold_by_time("index_time", F.col("train_end"), F.col("val_end"))).drop("train_end", "val_end")
+    fold = fold_by_time("index_time", F.col("train_end"), F.col("val_end"))
+    return with_row(cohort, cuts).withColumn("fold", F.when(F.col("val_end").isNotNull(), fold)) \
+        .drop("train_end", "val_end")
 
 
 def _fold_by_position(first: Column, second: Column) -> Column:

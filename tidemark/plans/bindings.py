@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as EV
+from ..session import stored
 
 START_YEAR = 1997
 LAB_LOOKBACK = 7
@@ -90,6 +91,13 @@ class Bindings:
     def cohort(self) -> DataFrame:
         return EV.index_stays(self.admissions(), self.patients(), 18, START_YEAR)
 
+    def stored_lab_cohort(self) -> DataFrame:
+        return stored(self.lab_cohort(), "lab_cohort")
+
+    def stored_cohort(self) -> DataFrame:
+        """The cohort written once, for plans that use it several times."""
+        return stored(self.cohort(), "cohort")
+
     def predictions(self) -> DataFrame:
         k, positive = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
         base = ((k * 7919) % 1000) * 7 + F.when(positive, 3000).otherwise(0)

@@ -343,7 +343,7 @@ def lab_fill_and_missing_flags(b):
 
 
 def _lab_window(b, keep=("event_id", "label", "valuenum")):
-    return EV.events_in_window(b.labevents(), b.lab_cohort(), "charttime", LAB_LOOKBACK, keep)
+    return EV.events_in_window(b.labevents(), b.stored_lab_cohort(), "charttime", LAB_LOOKBACK, keep)
 
 
 def _lab_long(b):
@@ -422,7 +422,7 @@ w as (select l.subject_id, d.label, d.unit, l.valuenum from lab_window l join d
 select subject_id, label, max(unit) as unit, count(valuenum) as "count", {R('min(valuenum)', '"min"')},
 {R('avg(valuenum)', 'mean')} from w group by 1, 2""")
 def dictionary_lookup(b):
-    long = EV.lab_table(b.lab_cohort(), b.labevents().drop("label"), b.lab_dictionary(), LAB_LOOKBACK)
+    long = EV.lab_table(b.stored_lab_cohort(), b.labevents().drop("label"), b.lab_dictionary(), LAB_LOOKBACK)
     return rounded(long.select("subject_id", "label", "unit", "count", "min", "mean"))
 
 
@@ -493,20 +493,20 @@ max(cast(regexp_matches(d, '{p}') and starttime >= index_time - interval 30 day
 max(cast(regexp_matches(d, '{p}') and starttime >= index_time - interval 90 day as int)) as med_{n}_recent_90d'''
 for n, p in RX_CLASSES.items())}, {R('count(*) / 365.0::double', 'med_any_per_day')} from rx_window group by 1""")
 def medication_features(b):
-    return rounded(EV.medication_table(b.cohort(), b.prescriptions(), 365, (30, 90), RX_CLASSES))
+    return rounded(EV.medication_table(b.stored_cohort(), b.prescriptions(), 365, (30, 90), RX_CLASSES))
 
 
 @query("A7", f"""select subject_id, vital, {R('"min"', '"min"')}, {R('"max"', '"max"')}, {R('mean')}, {R('"last"', '"last"')}, "count",
 {R('recency_days')} from vital_stats""")
 def vital_statistics(b):
-    return rounded(EV.vital_long(b.lab_cohort(), b.labevents(), LAB_LOOKBACK, CHART_SIGNS))
+    return rounded(EV.vital_long(b.stored_lab_cohort(), b.labevents(), LAB_LOOKBACK, CHART_SIGNS))
 
 
 @query("A7 P20", f"""select c.subject_id, {', '.join(f'''(round(max("last") filter (vital = '{v}'), 6)) as vital_{v}_last,
 case when max("last") filter (vital = '{v}') is null then 1 else 0 end as vital_{v}_missing''' for v in CHART_SIGNS)}
 from lab_cohort c left join vital_stats v on c.subject_id = v.subject_id group by 1""")
 def vital_wide_table(b):
-    wide = EV.vital_table(b.lab_cohort(), b.labevents(), LAB_LOOKBACK, CHART_SIGNS)
+    wide = EV.vital_table(b.stored_lab_cohort(), b.labevents(), LAB_LOOKBACK, CHART_SIGNS)
     return rounded(wide.select("subject_id", *[f"vital_{v}_{s}" for v in CHART_SIGNS for s in ("last", "missing")]))
 
 
@@ -674,7 +674,7 @@ coalesce(max(cast(is_cvd as int)), 0) as cvd_incident_365d from cohort c left jo
 on d.subject_id = c.subject_id and d.dx_time >= c.index_time and d.dx_time <= c.index_time + interval 365 day
 group by 1""")
 def window_labels_narrow(b):
-    return EV.window_labels(b.cohort(), b.diagnoses(), b.admissions())
+    return EV.window_labels(b.stored_cohort(), b.diagnoses(), b.admissions())
 
 
 @query("C4", rf"""with m as (select subject_id, cast(count(*) as int) as med_any_count,
@@ -685,7 +685,7 @@ case when gender = 'M' then 1 else 0 end as gender_m, coalesce(med_any_count, 0)
 {', '.join(f'coalesce({n}, 0) as med_{n}_count' for n in RX_CLASSES)} from cohort c left join m
 on m.subject_id = c.subject_id""")
 def event_feature_table(b):
-    c = b.cohort()
+    c = b.stored_cohort()
     meds = EV.medication_table(c, b.prescriptions(), 365, (30, 90), RX_CLASSES)
     out = EV.event_features(c, meds=meds, genders=["F", "M"])
     return rounded(out.select("subject_id", "age_at_admit", "gender_f", "gender_m", "med_any_count",
@@ -701,7 +701,7 @@ select c.subject_id, {R('age')}, case when sex = 'F' then 1 else 0 end as sex_fe
 coalesce(k, 0) as prev_adm_365d, {R('los_hours / 24.0', 'los_days_index')}, coalesce(dm, 0) as prior_diab,
 coalesce(cv, 0) as prior_cvd from cohort c left join prev using (subject_id) left join hist using (subject_id)""")
 def compact_feature_matrix(b):
-    return rounded(EV.compact_features(b.cohort(), b.admissions(), b.diagnoses()))
+    return rounded(EV.compact_features(b.stored_cohort(), b.admissions(), b.diagnoses()))
 
 
 @query("C6", f"""with l as (select label, 'u' || length(label) as unit from (select distinct label from lab_window)),

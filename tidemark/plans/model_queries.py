@@ -85,7 +85,7 @@ def split_sixty_twenty_twenty(b):
 coalesce(diab_base and diab_first_event_time <= index_time + interval 365 day, false)
 or coalesce(cvd_base and cvd_first_event_time <= index_time + interval 365 day, false) as stratum from incident""")
 def stratum_any_incident(b):
-    c = b.cohort()
+    c = b.stored_cohort()
     labels = EV.incident_labels(c, b.diagnoses(), b.admissions())
     return SP.attach_stratum(c.select("subject_id"), labels, "any_incident_365d")
 

@@ -1,13 +1,14 @@
-"""Session settings and the shared work folder."""
+"""Session settings, the shared work folder, and tables written to it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own_dir: list[str] = []
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,17 +21,19 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: the cluster's setting, else one made for this session."""
+    """The folder all executors can reach: the cluster's setting, else one made for this process."""
     where = spark.conf.get(CHECKPOINT_KEY, None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set(CHECKPOINT_KEY, where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return _own_dir[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -38,7 +41,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table once and read it back: its lineage ends and its size is known."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:

@@ -27,10 +27,14 @@ def with_time_partitions(df: DataFrame, by: str, time: str = "charttime") -> Dat
 
 def write_time_partitioned(df: DataFrame, path: str, by: str = "month", mode: str = "overwrite",
                            time: str = "charttime", rows_per_file: int = 5_000_000) -> None:
-    """Partition folders by time. Rows are written where they are, without a shuffle onto few tasks;
-    overwrite replaces only the partitions present in the data."""
+    """Partition folders by time; overwrite replaces only the partitions present in the data.
+
+    Rows are rebalanced by partition first: small partitions share a task, a hot one is split over
+    many, and the number of files follows the data and not tasks times partitions.
+    """
     parts = [c for c in ("year", "month") if by == "month" or (by == "year" and c == "year")]
-    out = (with_time_partitions(df, by, time).write.mode(WRITE_MODES[mode])
+    data = with_time_partitions(df, by, time)
+    out = ((data.hint("rebalance", *parts) if parts else data).write.mode(WRITE_MODES[mode])
            .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file))
     (out.partitionBy(*parts) if parts else out).parquet(path)
 

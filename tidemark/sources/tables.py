@@ -104,11 +104,11 @@ def typed(df: DataFrame, spec: TableSpec) -> DataFrame:
 def scan_csv(spark: SparkSession, path: str, spec: TableSpec, gzip_partitions: int | None = None) -> DataFrame:
     """Header CSV read as text and cast by the catalogue, so one bad value never fails the job.
 
-    A gzip file is one task; its rows are spread over `gzip_partitions` after the read.
+    A gzip file is one task; its rows are spread after the read, over `gzip_partitions` if given.
     """
     df = typed(spark.read.option("header", True).csv(path), spec)
     if path.endswith(".gz"):
-        df = df.repartition(gzip_partitions) if gzip_partitions else df.repartition()
+        df = df.repartition(gzip_partitions) if gzip_partitions else df.hint("rebalance")
     return df
 
 
