@@ -72,26 +72,28 @@ def stays_with_age(stays: DataFrame, patients: DataFrame) -> DataFrame:
     return joined.withColumn("age_at_admit", age).drop(*need)
 
 
+def in_years(stays: DataFrame, start_year: int | None, end_year: int | None) -> DataFrame:
+    """Inclusive year window as plain time bounds, which reach the scan as pushed filters."""
+    def new_year(y: int) -> Column:
+        return F.lit(f"{y:04d}-01-01 00:00:00").cast("timestamp_ntz")
+
+    if start_year is not None:
+        stays = stays.where(F.col("admittime") >= new_year(start_year))
+    if end_year is not None:
+        stays = stays.where(F.col("admittime") < new_year(end_year + 1))
+    return stays
+
+
 def eligible_stays(stays: DataFrame, min_age: int = 18, start_year: int | None = None,
                    end_year: int | None = None) -> DataFrame:
     """Inclusive admission-year window and minimum age."""
-    year = F.year("admittime")
-    if start_year is not None:
-        stays = stays.where(year >= start_year)
-    if end_year is not None:
-        stays = stays.where(year <= end_year)
-    return stays.where(F.col("age_at_admit") >= min_age)
+    return in_years(stays, start_year, end_year).where(F.col("age_at_admit") >= min_age)
 
 
 def index_stays(admissions: DataFrame, patients: DataFrame, min_age: int = 18,
                 start_year: int | None = None, end_year: int | None = None) -> DataFrame:
     """One index stay per subject: the earliest eligible stay, lowest stay id on ties."""
-    stays = valid_stays(admissions)
-    # the year bounds are applied before the join as well, so they reach the scan
-    if start_year is not None:
-        stays = stays.where(F.year("admittime") >= start_year)
-    if end_year is not None:
-        stays = stays.where(F.year("admittime") <= end_year)
+    stays = in_years(valid_stays(admissions), start_year, end_year)
     stays = eligible_stays(stays_with_age(stays, patients), min_age)
     first = first_rows(stays, ["subject_id"], ["admittime", "hadm_id"])
     died = F.col("deathtime").isNotNull() if "deathtime" in first.columns else F.lit(False)

@@ -20,9 +20,12 @@ class Bindings:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
 
     def patients(self) -> DataFrame:
         k = F.col("c_custkey")
@@ -143,6 +146,10 @@ class Bindings:
             (signal.cast("double") / F.lit(10000.0)).alias("f_signal"),
             F.lit(1.0).alias("f_const"), F.lit(None).cast("double").alias("f_empty"))
 
+    def stored_matrix(self) -> DataFrame:
+        """The matrix written once, for fits that pass over it several times."""
+        return stored(self.matrix(), "matrix")
+
 
 MATRIX_FEATURES = ["f_price", "f_lines", "f_qty", "f_disc", "f_tax", "f_urgent", "f_signal", "f_const", "f_empty"]
 

@@ -25,6 +25,10 @@ from .bindings import MATRIX_FEATURES, Bindings
 from .data_queries import qcut_sql
 from .registry import B, R, TS, query, rounded
 
+def _fold(df, name):
+    return df.where(F.col("fold") == name)
+
+
 # --- splits ---------------------------------------------------------------------------
 
 
@@ -162,8 +166,9 @@ select subject_id, fold, case when f_urgent >= 0.5 then 1.0::double else 0.0::do
 
 
 def _apply_prep(b, **kw):
-    prep = PR.fit(_train(b), MATRIX_FEATURES, **kw)
-    return PR.apply(b.matrix().drop("y"), prep)
+    m = b.stored_matrix()
+    prep = PR.fit(_fold(m, "train"), MATRIX_FEATURES, **kw)
+    return PR.apply(m.drop("y"), prep)
 
 
 @query("I3 I6 I7", scaled_sql(lambda c: f"avg({c})", lambda c: f"stddev_pop({c})"))
@@ -185,9 +190,10 @@ def scale_quantile_normal(b):
 @query("I10 F6", scaled_sql(lambda c: f"avg({c})", lambda c: f"stddev_pop({c})"))
 def stored_preparation(b):
     path = fresh_path(b.spark, "prep")
-    PR.parameter_rows(b.spark, PR.fit(_train(b), MATRIX_FEATURES)).write.parquet(path)
+    m = b.stored_matrix()
+    PR.parameter_rows(b.spark, PR.fit(_fold(m, "train"), MATRIX_FEATURES)).write.parquet(path)
     prep = PR.from_parameter_rows(b.spark.read.parquet(path), "standard")
-    return rounded(PR.apply(b.matrix().drop("y"), prep))
+    return rounded(PR.apply(m.drop("y"), prep))
 
 
 @query("I5")
@@ -202,15 +208,11 @@ MODEL_FEATURES = ["f_price", "f_lines", "f_qty", "f_disc", "f_tax", "f_urgent",
 
 
 def _design(b: Bindings):
-    m = b.matrix()
-    prep = PR.fit(m.where("fold = 'train'"), MODEL_FEATURES, add_indicators=False)
+    m = b.stored_matrix()
+    prep = PR.fit(_fold(m, "train"), MODEL_FEATURES, add_indicators=False)
     return PR.apply(m, prep), prep.output
 
 
-def _fold(df, name):
-    return df.where(F.col("fold") == name)
-
-
 def _test_metrics(b, fitted, design, features):
     s = M.score(fitted.model, _fold(design, "test"), features).withColumnRenamed("y_score", "score")
     out = E.metrics(s, [])
