@@ -26,6 +26,22 @@ def test_quantiles(spark, numbers, splits):
         assert np.allclose(got[key], np.quantile(rows, probs), atol=1e-12)
 
 
+@pytest.mark.parametrize("splits", [[], [0.0]])
+@pytest.mark.parametrize("n", [1, 2, 37, 999])
+def test_many_even_quantiles(spark, numbers, splits, n):
+    df = spark.createDataFrame([(float(v),) for v in numbers[:n]], "v double")
+    probs = [i / 99 for i in range(100)]
+    got = R.quantiles(df, [], "v", probs, splits=splits).first()["q"]
+    assert list(got) == pytest.approx(list(np.quantile(numbers[:n], probs)), abs=1e-12)
+    with pytest.raises(ValueError):
+        R.quantiles(df, [], "v", [0.5] * 40)
+
+
+def test_tied_quantiles_are_exact(spark):
+    df = spark.createDataFrame([(0.23,)] * 7 + [(0.24,)], "v double")
+    assert R.quantiles(df, [], "v", [0.1, 0.3, 0.77]).first()["q"] == [0.23] * 3
+
+
 @pytest.mark.parametrize("splits", [[], [-0.5, 0.5]])
 def test_running_totals(spark, numbers, splits):
     df = spark.createDataFrame([(float(v),) for v in numbers], "v double")

@@ -14,11 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binning import edges_at_or_below, right_closed_bin
+from ..functions.binning import edges_at_or_below, number_array, right_closed_bin
 from .lookups import short_table_join, with_row
 from .sizing import ONE_PASS_BYTES, is_small
 
 MAX_PIECES = 1000
+MAX_LISTED_PROBS = 32
 
 
 def split_points(df: DataFrame, value: str, pieces: int | None = None) -> list[float]:
@@ -89,16 +90,26 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[st
     )
 
 
+def _between(lo: Column, hi: Column, frac: Column) -> Column:
+    """Linear interpolation that returns tied neighbours unchanged."""
+    gap = hi - lo
+    return F.when(lo == hi, lo).when(frac < 0.5, lo + gap * frac).otherwise(hi - gap * (F.lit(1.0) - frac))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
               splits: Sequence[float] | None = None, out: str = "q") -> DataFrame:
-    """Exact linear-interpolation quantiles of the non-null values, as one array per key."""
-    keys = list(keys)
+    """Exact linear-interpolation quantiles of the non-null values, as one array per key.
+
+    The built-in percentile keeps every distinct value of a group in one task, and it can return a
+    tied value off by one unit in the last place, which moves rows across bin edges.
+    """
+    keys, probs = list(keys), [float(p) for p in probs]
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
     if splits is None:
-        if is_small(df, ONE_PASS_BYTES):
-            return data.groupBy(*keys).agg(F.percentile("__x", [float(p) for p in probs]).alias(out))
-        splits = split_points(data, "__x")
+        splits = choose_splits(data, "__x")
     ranked = running_totals(data, keys, "__x", {"n": F.lit(1)}, splits=splits)
+    if len(probs) > MAX_LISTED_PROBS:
+        return _spaced_quantiles(ranked, keys, probs, out)
     start = F.col("n_to") - F.col("n")
     last = (F.col("n_all") - 1).cast("double")
 
@@ -107,18 +118,41 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
 
     picked = []
     for i, p in enumerate(probs):
-        pos = last * F.lit(float(p))
+        pos = last * F.lit(p)
         picked += [at(F.floor(pos)).alias(f"__lo{i}"), at(F.ceil(pos)).alias(f"__hi{i}")]
     total = ranked.groupBy(*keys).agg(*picked, F.max("n_all").alias("__n"))
     parts = []
     for i, p in enumerate(probs):
-        pos = (F.col("__n") - 1).cast("double") * F.lit(float(p))
-        frac = pos - F.floor(pos)
-        parts.append(F.when(frac == 0, F.col(f"__lo{i}"))
-                     .otherwise(F.col(f"__lo{i}") * (F.lit(1.0) - frac) + F.col(f"__hi{i}") * frac))
+        pos = (F.col("__n") - 1).cast("double") * F.lit(p)
+        parts.append(_between(F.col(f"__lo{i}"), F.col(f"__hi{i}"), pos - F.floor(pos)))
     return total.select(*keys, F.array(*parts).alias(out))
 
 
+def _spaced_quantiles(ranked: DataFrame, keys: list[str], probs: list[float], out: str) -> DataFrame:
+    """Many evenly spaced quantiles: each ranked value finds the few probabilities that touch it."""
+    top = len(probs) - 1
+    if any(abs(p - i / top) > 1e-9 for i, p in enumerate(probs)):
+        raise ValueError("more than a few quantiles must be evenly spaced on [0, 1]")
+    start, stop = F.col("n_to") - F.col("n"), F.col("n_to")
+    last = (F.col("n_all") - 1).cast("double")
+    step = F.lit(float(top)) / F.greatest(last, F.lit(1.0))
+    first_i = F.greatest(F.lit(0), F.floor((start - 1) * step) - 1)
+    last_i = F.when(last == 0, F.lit(top)).otherwise(F.least(F.lit(top), F.ceil(stop * step) + 1))
+    near = ranked.select(*keys, "__x", "n_to", "n", "n_all", F.explode(F.sequence(first_i, last_i)).alias("i"))
+    pos = last * F.element_at(number_array(probs), F.col("i").cast("int") + 1)
+
+    def touches(rank: Column) -> Column:
+        return (start <= rank) & (rank < stop)
+
+    both = near.where(touches(F.floor(pos)) | touches(F.ceil(pos))).groupBy(*keys, "i").agg(
+        F.max(F.when(touches(F.floor(pos)), F.col("__x"))).alias("lo"),
+        F.max(F.when(touches(F.ceil(pos)), F.col("__x"))).alias("hi"),
+        F.max(pos - F.floor(pos)).alias("frac"))
+    q = both.select(*keys, "i", _between(F.col("lo"), F.col("hi"), F.col("frac")).alias("v"))
+    rows = q.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("__q"))
+    return rows.select(*keys, F.col("__q.v").alias(out))
+
+
 def order_statistics(df: DataFrame, value: str, positions: dict[str, Column],
                      splits: Sequence[float] | None = None) -> DataFrame:
     """One row with the values at zero-based sorted positions; a position may use `n_all`."""
