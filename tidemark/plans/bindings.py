@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as EV
+from ..operators.split import fold_by_time
 from ..session import stored
 
 START_YEAR = 1997
 LAB_LOOKBACK = 7
+MATRIX_FOLDS = ("1999-06-30", "2000-03-31")
+PREDICTION_CUT = "1998-07-01"
 RX_CLASSES = {"hot": r"\bhot\b", "ring_or_rod": r"ring|rod", "fastener": r"\b(bolt|gear)\b"}
 CHART_SIGNS = {"buying": r"purchase|view", "fault": r"err", "entry": r"sign ?up|click"}
 EVENT_LABELS = ["click", "error", "purchase", "signup", "view"]
 
 
+def prediction_fold(at: str) -> Column:
+    return F.when(F.col(at) < F.lit(PREDICTION_CUT).cast("timestamp_ntz"), "val").otherwise("test")
+
+
 class Bindings:
     """Lazy entity views over one folder of tables."""
 
@@ -106,7 +113,7 @@ class Bindings:
         base = ((k * 7919) % 1000) * 7 + F.when(positive, 3000).otherwise(0)
         return self.table("orders").select(
             k.alias("subject_id"), F.when(positive, 1).otherwise(0).alias("y_true"),
-            (base.cast("double") / F.lit(10000.0)).alias("y_score"))
+            (base.cast("double") / F.lit(10000.0)).alias("y_score"), F.col("o_orderdate").alias("index_time"))
 
     def calibrated(self) -> DataFrame:
         """Predictions with a second score that ignores part of the signal."""
@@ -119,8 +126,8 @@ class Bindings:
             (flat.cast("double") / F.lit(10000.0)).alias("y_score_alt"))
 
     def folded_predictions(self, fold: str) -> DataFrame:
-        """Even ids validate, odd ids test."""
-        return self.predictions().where(F.col("subject_id") % 2 == (0 if fold == "val" else 1))
+        """Validation before the cut date, test from it on."""
+        return self.predictions().where(prediction_fold("index_time") == fold)
 
     def group_meta(self) -> DataFrame:
         seg = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
@@ -138,7 +145,7 @@ class Bindings:
         signal = ((k * 7919) % 1000) * 7 + F.when(positive, 3000).otherwise(0)
         return self.table("orders").join(lines, "o_orderkey", "left").select(
             k.alias("subject_id"),
-            F.when(k % 10 < 7, "train").when(k % 10 < 8, "val").otherwise("test").alias("fold"),
+            fold_by_time("o_orderdate", *[F.lit(d).cast("timestamp_ntz") for d in MATRIX_FOLDS]).alias("fold"),
             F.when(positive, 1).otherwise(0).alias("y"),
             F.col("o_totalprice").alias("f_price"), "f_lines", "f_qty", "f_disc",
             F.when(k % 5 != 0, F.col("tax")).alias("f_tax"),
@@ -243,9 +250,9 @@ SQL_VIEWS = {
         from cohort c left join first_events e on c.subject_id = e.subject_id""",
     "preds": """select o_orderkey as subject_id, case when o_orderstatus = 'F' then 1 else 0 end as y_true,
         cast(((o_orderkey * 7919) % 1000) * 7 + case when o_orderstatus = 'F' then 3000 else 0 end as double)
-        / 10000.0::double as y_score from orders""",
-    "val_preds": "select * from preds where subject_id % 2 = 0",
-    "test_preds": "select * from preds where subject_id % 2 = 1",
+        / 10000.0::double as y_score, o_orderdate as index_time from orders""",
+    "val_preds": "select * from preds where index_time < timestamp '1998-07-01'",
+    "test_preds": "select * from preds where index_time >= timestamp '1998-07-01'",
     "platt_fit": """with recursive d as materialized (select ln(s / (1 - s)) as x, n, p from (select
         greatest(1e-6::double, least(1 - 1e-6::double, y_score)) as s, count(*) as n, sum(y_true) as p
         from val_preds group by 1)),
@@ -264,7 +271,7 @@ SQL_VIEWS = {
         select c.s, max(low) as v from m join c on c.i = m.k group by 1""",
     "calibrated_preds": """select f.*, 1 / (1 + exp(-(b + a * ln(cl / (1 - cl))))) as y_score_platt, coalesce(i.v,
         (select arg_min(v, s) from iso_fit)) as y_score_isotonic from (select subject_id, y_true, y_score as y_score_raw,
-        case when subject_id % 2 = 0 then 'val' else 'test' end as fold,
+        case when index_time < timestamp '1998-07-01' then 'val' else 'test' end as fold,
         greatest(1e-6::double, least(1 - 1e-6::double, y_score)) as cl from preds) f
         cross join platt_fit asof left join iso_fit i on f.y_score_raw >= i.s""",
     "calibrated": """select o_orderkey as subject_id, case when o_orderstatus = 'F' then 1 else 0 end as y_true,
@@ -280,7 +287,8 @@ SQL_VIEWS = {
         (select l.*, segment, priority from long_preds l join group_meta g using (subject_id))
         unpivot (group_val for group_col in (segment, priority))""",
     "matrix": """select o_orderkey as subject_id,
-        case when o_orderkey % 10 < 7 then 'train' when o_orderkey % 10 < 8 then 'val' else 'test' end as fold,
+        case when o_orderdate <= timestamp '1999-06-30' then 'train'
+             when o_orderdate <= timestamp '2000-03-31' then 'val' else 'test' end as fold,
         case when o_orderstatus = 'F' then 1 else 0 end as y, o_totalprice as f_price, f_lines, f_qty, f_disc,
         case when o_orderkey % 5 <> 0 then tax end as f_tax,
         case when o_orderkey % 7 <> 0 then case when o_orderpriority = '1-URGENT' then 1.0::double

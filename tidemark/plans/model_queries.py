@@ -21,7 +21,7 @@ from ..session import fresh_path
 from ..sources import artifacts as A
 from ..sources import predictions as P
 from ..sources import sinks
-from .bindings import MATRIX_FEATURES, Bindings
+from .bindings import MATRIX_FEATURES, Bindings, prediction_fold
 from .data_queries import qcut_sql
 from .registry import B, R, TS, query, rounded
 
@@ -281,8 +281,9 @@ def _with_margin(m):
     return m.withColumn("margin", margin).withColumn("score", C.sigmoid("margin"))
 
 
-LINEAR = f"""lin as (select *, {MARGIN_SQL} as margin, 1 / (1 + exp(-{MARGIN_SQL})) as score from
-(select subject_id, y as y_true, f_signal, coalesce(f_lines, 0) as f_lines from matrix where fold = 'test'))"""
+LINEAR = f"""lin_all as (select *, {MARGIN_SQL} as margin, 1 / (1 + exp(-{MARGIN_SQL})) as score from
+(select subject_id, fold, y as y_true, f_signal, coalesce(f_lines, 0) as f_lines from matrix)),
+lin as (select * exclude (fold) from lin_all where fold = 'test')"""
 
 
 @query("M5", f"with {LINEAR} select subject_id, y_true, {R('score', 'y_score')} from lin")
@@ -419,7 +420,7 @@ def _fitted(b):
 @query("E11 E12", f"""select subject_id, y_true, {R('y_score_raw')}, {R('y_score_platt')}, {R('y_score_isotonic')}
 from calibrated_preds where fold = 'test'""")
 def calibrated_test_scores(b):
-    return rounded(K.calibrated_scores(b.folded_predictions("test"), *_fitted(b)))
+    return rounded(K.calibrated_scores(b.folded_predictions("test").drop("index_time"), *_fitted(b)))
 
 
 CAL_LONG = """cal as (select fold, y_true, variant, score from (select fold, y_true, y_score_raw as raw,
@@ -429,7 +430,7 @@ unpivot (score for variant in (raw, platt, isotonic)))"""
 
 def _calibrated_long(b):
     platt, iso = _fitted(b)
-    rows = b.predictions().withColumn("fold", F.when(F.col("subject_id") % 2 == 0, "val").otherwise("test"))
+    rows = b.predictions().withColumn("fold", prediction_fold("index_time"))
     cal = K.calibrated_scores(rows, platt, iso)
     return P.long_predictions(cal).join(rows.select("subject_id", "fold"), "subject_id")
 
@@ -592,13 +593,12 @@ def permutation_importance(b):
     return rounded(X.permutation_importance(rows, list(COEF), X.linear_rescore(COEF), "auprc", repeats=3))
 
 
-@query("E23", f"""with {LINEAR}, m as (select avg(f_signal) as ms, avg(f_lines) as ml from lin where subject_id % 2 = 0)
+@query("E23", f"""with {LINEAR}, m as (select avg(f_signal) as ms, avg(f_lines) as ml from lin_all where fold = 'val')
 select feature, {R('avg(abs(a))', 'shap_mean_abs')}, {R('avg(a)', 'shap_mean')}, {R('stddev_pop(abs(a))', 'shap_std_abs')}
 from (select 'f_signal' as feature, 4.0::double * (f_signal - ms) as a from lin, m union all
 select 'f_lines', -0.25037::double * (f_lines - ml) from lin, m) group by 1""")
 def linear_attribution(b):
-    rows = _linear_rows(b)
-    return rounded(X.linear_attribution(rows, COEF, rows.where(F.col("subject_id") % 2 == 0)))
+    return rounded(X.linear_attribution(_linear_rows(b), COEF, _linear_rows(b, "val")))
 
 
 @query("W7", f"""with {LINEAR}, m as (select avg(f_signal) as ms, avg(f_lines) as ml from lin)
@@ -718,13 +718,13 @@ def deltas_to_base(b):
 
 # --- artifacts ---------------------------------------------------------------------------------------
 
-FOLD_METRICS = f"""fm as (select case when subject_id % 2 = 0 then 'validation' else 'test' end as split, variant, y_true, score
-from long_preds), met as ({metrics_sql('fm', 'split, variant')}), cal as ({ece_sql('fm', 'split, variant')})"""
+FOLD_METRICS = f"""fm as (select case when index_time < timestamp '1998-07-01' then 'validation' else 'test' end as split, variant,
+y_true, score from long_preds join group_meta using (subject_id)), met as ({metrics_sql('fm', 'split, variant')}), cal as ({ece_sql('fm', 'split, variant')})"""
 
 
 def _artifact_metrics(b):
-    long = P.long_predictions(b.calibrated()).withColumn(
-        "split", F.when(F.col("subject_id") % 2 == 0, "validation").otherwise("test"))
+    long = P.long_predictions(b.calibrated()).join(b.group_meta().select("subject_id", "index_time"), "subject_id") \
+        .withColumn("split", F.when(prediction_fold("index_time") == "val", "validation").otherwise("test"))
     return E.metrics_with_ece(long, ["split", "variant"])
 
 
@@ -851,13 +851,13 @@ def check_knots(b):
 
 @query("Q6", """select 'WARN' as severity, code, 'cal' as "where", detail from (
 select 'MISALIGNED_YTRUE' as code, 'labels differ: ' || count(*) as detail from preds
-where subject_id % 10 = 3 and subject_id % 3 <> 0 union all
-select 'SUBJECT_MISMATCH', 'overlap' from (select count(*) filter (subject_id % 3 <> 0) as nb, count(*) as n from preds)
+where index_time >= timestamp '1996-01-01' and y_score > 0.9 union all
+select 'SUBJECT_MISMATCH', 'overlap' from (select count(*) filter (index_time >= timestamp '1996-01-01') as nb, count(*) as n from preds)
 where nb / least(nb, n) < 0.95)""")
 def check_alignment(b):
     raw = b.predictions()
-    cal = raw.where(F.col("subject_id") % 3 != 0).withColumn(
-        "y_true", F.when(F.col("subject_id") % 10 == 3, 1 - F.col("y_true")).otherwise(F.col("y_true")))
+    cal = raw.where(F.col("index_time") >= F.lit("1996-01-01").cast("timestamp_ntz")).withColumn(
+        "y_true", F.when(F.col("y_score") > 0.9, 1 - F.col("y_true")).otherwise(F.col("y_true")))
     return Q.alignment_problems(raw, cal, "cal")
 
 
