@@ -3,6 +3,7 @@
 import math
 from statistics import NormalDist
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import binning as BN
@@ -35,6 +36,24 @@ def test_ages(spark):
     assert one(spark, C.age_from_birth(F.lit(None).cast("timestamp_ntz"), at)) is None
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_spans_ignore_the_session_zone(spark, zone):
+    def at(text):
+        return F.lit(text).cast("timestamp_ntz")
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        a, b = at("2024-03-09 12:00:00"), at("2024-03-11 12:00:00.000001")
+        assert one(spark, C.micros_between(a, b)) == 2 * 86_400_000_000 + 1
+        assert one(spark, C.micros_between(b, a)) == -(2 * 86_400_000_000 + 1)
+        assert one(spark, C.days_between(at("2024-03-10 01:30:00"), at("2024-03-10 13:30:00"))) == 0.5
+        assert str(one(spark, C.plus_days(at("2024-03-10 02:30:00"), 1))) == "2024-03-11 02:30:00"
+        assert one(spark, C.micros_between(F.lit(None).cast("timestamp_ntz"), a)) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_codes(spark):
     rows = [("E11.9", 10), ("e119", 10), ("25000", 9), ("E119", 9), ("250", 10), (None, 9), ("I60", 10), ("440", 9)]
     df = spark.createDataFrame(rows, "c string, v int").select(

@@ -9,12 +9,10 @@ from tidemark.plans.catalogue import REGISTRY
 
 CHECKED = sorted(n for n, q in REGISTRY.items() if q.oracle)
 LARGE = [
-    "cohort_index_stays", "age_from_birth_date", "incident_labels", "window_labels_narrow", "lab_statistics",
-    "dictionary_lookup", "medication_features", "vital_statistics", "compact_feature_matrix", "winsorised_means",
-    "temporal_cutpoints", "split_by_time_proportions", "split_stratified", "cohort_profile", "positional_cut",
-    "equal_frequency_bins", "cumulative_confusion", "score_metrics", "select_thresholds", "roc_points",
-    "group_metrics", "risk_deciles", "error_slices", "impute_medians", "scale_robust", "group_metric_intervals",
-    "permutation_importance", "scenario_results",
+    "cohort_index_stays", "incident_labels", "window_labels_narrow", "lab_statistics", "dictionary_lookup",
+    "medication_features", "compact_feature_matrix", "winsorised_means", "temporal_cutpoints", "split_stratified",
+    "cohort_profile", "equal_frequency_bins", "score_metrics", "select_thresholds", "group_metrics", "risk_deciles",
+    "scale_robust", "permutation_importance",
 ]
 
 

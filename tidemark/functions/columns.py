@@ -55,7 +55,18 @@ def finite_or_null(c) -> Column:
 
 
 def micros_between(start, end) -> Column:
-    return F.timestamp_diff("MICROSECOND", col(start), col(end))
+    """Microseconds from start to end, for times without zone.
+
+    The built-in difference function converts through the session's time zone, so a clock change
+    inside the span would count. Interval arithmetic does not.
+    """
+    span = col(end) - col(start)
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), span)
+
+    whole = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return whole * F.lit(60_000_000) + (part("SECOND") * F.lit(1_000_000)).cast("bigint")
 
 
 def hours_between(start, end) -> Column:
