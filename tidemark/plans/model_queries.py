@@ -182,7 +182,46 @@ def scale_robust(b):
     return rounded(_apply_prep(b, scaler="robust"))
 
 
-@query("I9")
+def _poly_sql(coefs, x: str) -> str:
+    out = f"({coefs[0]!r}::double)"
+    for k in coefs[1:]:
+        out = f"({out} * {x} + {k!r}::double)"
+    return out
+
+
+def quantile_normal_sql() -> str:
+    """The quantile scaler over sorted lists: knots, levels, then the inverse normal."""
+    cols = [*SCALED, *[f"{c}__mis" for c in WITH_NULLS]]
+    tail_lo, tail_hi = "sqrt(-2 * ln(p))", "sqrt(-2 * ln(1 - p))"
+    r = "((p - 0.5) * (p - 0.5))"
+    low = f"{_poly_sql(C._INV_C, 't1')} / {_poly_sql(C._INV_D, 't1')}"
+    high = f"-{_poly_sql(C._INV_C, 't2')} / {_poly_sql(C._INV_D, 't2')}"
+    mid = f"(p - 0.5) * {_poly_sql(C._INV_A, 'r')} / {_poly_sql(C._INV_B, 'r')}"
+    limit = f"{PR.NORMAL_LIMIT!r}::double"
+    return f"""with med as (select {', '.join(f'median({c}) as m_{c}' for c in USED)} from matrix where fold = 'train'),
+im as (select subject_id, fold, {', '.join(f'coalesce({c}, m_{c}) as {c}' for c in USED)},
+{', '.join(f'cast({c} is null as double) as {c}__mis' for c in WITH_NULLS)} from matrix, med),
+long as (select subject_id, fold, feature, x from im unpivot (x for feature in ({', '.join(cols)}))),
+tl as (select feature, list_sort(list(x)) as s, count(*) as n, least(count(*), 1000, greatest(10, count(*) // 2)) as m
+ from long where fold = 'train' group by 1),
+spot as (select feature, i, m, s[cast(floor(pos) as bigint) + 1] as a, s[cast(ceil(pos) as bigint) + 1] as b, pos - floor(pos) as f
+ from (select *, (n - 1)::double * (i / (m - 1)) as pos from (select *, unnest(range(m)) as i from tl))),
+kn as (select feature, i, m, case when a = b then a when f < 0.5 then a + (b - a) * f else b - (b - a) * (1 - f) end as v from spot),
+uk as (select feature, v, min(i) / (m - 1) as lo, max(i) / (m - 1) as hi from kn group by feature, v, m),
+nx as (select *, lead(v) over w as v2, lead(lo) over w as lo2 from uk window w as (partition by feature order by v)),
+ends as (select feature as ef, min(v) as vmin, max(v) as vmax from uk group by 1),
+lev as (select subject_id, l.feature, case when x <= vmin then 0.0::double when x >= vmax then 1.0::double
+ when x = v then (lo + hi) / 2 else hi + (x - v) / (v2 - v) * (lo2 - hi) end as p
+ from long l join ends on ef = l.feature asof left join nx on l.feature = nx.feature and l.x >= nx.v),
+tails as (select *, case when p > 0 then {tail_lo} end as t1, case when p < 1 then {tail_hi} end as t2, {r} as r from lev),
+z as (select subject_id, feature, case when p <= 1e-7 then -{limit} when p >= 1.0::double - 1e-7 then {limit}
+ when p < 0.02425::double then {low} when p > 1.0::double - 0.02425 then {high} else {mid} end as z from tails),
+wide as (select subject_id, {', '.join(f"max(z) filter (feature = '{c}') as {c}" for c in cols)} from z group by 1)
+select im.subject_id, im.fold, case when f_urgent >= 0.5 then 1.0::double else 0.0::double end as f_urgent,
+{', '.join(R('wide.' + c, c) for c in cols)} from im join wide using (subject_id)"""
+
+
+@query("I9", quantile_normal_sql())
 def scale_quantile_normal(b):
     return rounded(_apply_prep(b, scaler="quantile"))
 
