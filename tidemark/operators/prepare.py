@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.binning import edges_at_or_below_many, number_array
+from ..functions.binning import edges_at_or_below_many
 from ..session import checkpointed
 from .ranking import first_rows, quantiles
 
@@ -185,32 +185,23 @@ def quantile_normal(df: DataFrame, knots: dict[str, Sequence[float]]) -> DataFra
         edges[c], first[c], last[c] = e, lo, hi
     out = edges_at_or_below_many(df, edges, "__k")
 
-    def pick(c: str, values: Sequence[float], shift: int = 0) -> Column:
-        return F.get(number_array(values), F.col(f"{c}__k") - 1 + shift)
-
-    def bound(value: Column, body) -> Column:
-        """Evaluate `value` once per row and use it many times in `body`."""
-        return F.transform(F.array(value), body)[0]
-
-    def level(c: str):
-        x = F.col(c)
-
-        def body(n: Column) -> Column:
-            between = n["hi"] + (x - n["e"]) / (n["e2"] - n["e"]) * (n["lo2"] - n["hi"])
-            inner = F.when(x == n["e"], (n["lo"] + n["hi"]) / 2.0).otherwise(between)
-            return F.when(x <= edges[c][0], F.lit(0.0)).when(x >= edges[c][-1], F.lit(1.0)).otherwise(inner)
-
-        return body
-
-    def normal(p: Column) -> Column:
-        return F.when(p <= 1e-7, -NORMAL_LIMIT).when(p >= 1.0 - 1e-7, NORMAL_LIMIT).otherwise(C.inverse_normal(p))
+    def constant(values: Sequence[float]) -> str:
+        return f"cast(split('{','.join(repr(float(v)) for v in values)}', ',') as array<double>)"
 
+    # SQL text with lambda variables: each neighbour and level is evaluated once per row
     mapped = {}
     for c in knots:
-        near = F.struct(
-            pick(c, edges[c]).alias("e"), pick(c, edges[c], 1).alias("e2"), pick(c, first[c]).alias("lo"),
-            pick(c, last[c]).alias("hi"), pick(c, first[c], 1).alias("lo2"))
-        mapped[c] = F.when(F.col(c).isNotNull(), bound(bound(near, level(c)), normal))
+        x, k = f"`{c}`", f"`{c}__k`"
+        e, lo, hi = constant(edges[c]), constant(first[c]), constant(last[c])
+        near = (f"named_struct('e', get({e}, {k} - 1), 'e2', get({e}, {k}), 'lo', get({lo}, {k} - 1), "
+                f"'hi', get({hi}, {k} - 1), 'lo2', get({lo}, {k}))")
+        level = (f"case when {x} <= {edges[c][0]!r}D then 0D when {x} >= {edges[c][-1]!r}D then 1D "
+                 f"when {x} = n.e then (n.lo + n.hi) / 2D "
+                 f"else n.hi + ({x} - n.e) / (n.e2 - n.e) * (n.lo2 - n.hi) end")
+        normal = (f"case when p <= 1e-7D then -{NORMAL_LIMIT!r}D when p >= 1D - 1e-7D then {NORMAL_LIMIT!r}D "
+                  f"else {C.inverse_normal_sql('p')} end")
+        z = f"transform(array(transform(array({near}), n -> {level})[0]), p -> {normal})[0]"
+        mapped[c] = F.expr(f"case when {x} is not null then {z} end")
     return out.withColumns(mapped).drop(*[f"{c}__k" for c in knots])
 
 
