@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_dir: list[str] = []
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -27,6 +30,16 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per Spark application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        held = os.path.join(tempfile.mkdtemp(prefix="tidemark-package-"), "tidemark")
+        sc.addPyFile(shutil.make_archive(held, "zip", root, "tidemark"))
+        _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the cluster's setting, else one made for this process."""
     where = spark.conf.get(CHECKPOINT_KEY, None)
