@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -17,7 +18,10 @@ from .rows import pick, text_key
 BLOCK_IDS, ROUNDS, LEAST = 1_000_000, 4, 8
 #: Symbols of a block fit two bytes where the vocabulary leaves room for this many rules, else four.
 MIN_ROOM = 4_096
-KNOWN_WORDS = 400_000
+KNOWN_WORDS, KNOWN_BASES = 200_000, 800_000
+#: Letters of ASCII and Latin-1, then marks that are no letters, digits, apostrophes or brackets: the vocabulary
+#: lower-cases such a word and splits it between the two.
+_LETTERS_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:*$%&#|]*)")
 
 
 class WordEncoder:
@@ -35,26 +39,65 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         special = sorted((i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special)
         self.mark, self.mark_text = special[0] if special else (None, None)
-        self.vocab, self.known = size, {}
+        self.vocab, self.known, self.bases, self.marks = size, {}, {}, {b"": b""}
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends_word = np.array([(self.tok.id_to_token(i) or "").endswith(suffix) for i in range(size)]) if suffix else None
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _call(self, joined: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+
+    def _cut(self, ids: np.ndarray, ends: np.ndarray, gap: int) -> list[bytes]:
+        """The ids between cuts as bytes; gap ids lie between one part and the next."""
+        flat = ids.astype(self.kind)
+        return [flat[a:b].tobytes() for a, b in zip([0, *(ends[:-1] + gap).tolist()], ends.tolist())]
+
+    def _any(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of any kind: one call, with a special token between them."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self.mark is not None:
+            ids = self._call(self.mark_text.join(texts))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) == len(words):
+                return self._cut(ids, ends, 1)
+        return list(map(self._one, texts))
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only, each of which ends with one token that ends a word: one plain call."""
+        if self.ends_word is not None:
+            ids = self._call(b" ".join(words).decode())
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words):
+                return self._cut(ids, ends, 0)
+        return self._any(words)
+
     def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 2_000):
-            part = words[i : i + 2_000]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            found = None
-            if self.mark is not None:
-                joined = self.tok.encode_batch_fast([self.mark_text.join(texts)], add_special_tokens=False)[0].ids
-                ids = np.array(joined, np.int64)
-                cuts = np.flatnonzero(ids == self.mark)
-                if len(cuts) == len(part) - 1:
-                    flat = ids.astype(self.kind)
-                    ends = np.append(cuts, len(ids)).tolist()
-                    starts = [0, *(cuts + 1).tolist()]
-                    found = [flat[a:b].tobytes() for a, b in zip(starts, ends)]
-            self.known.update(zip(part, found or map(self._one, texts)))
+        """Ids of new words. Latin letters with marks after them are two words that occur in many others."""
+        plain, other, bases = [], [], set()
+        for w in words:
+            m = _LETTERS_MARKS.fullmatch(w)
+            if m is None:
+                other.append(w)
+            else:
+                base = m[1].lower() if m[1].isascii() else m[1].decode().lower().encode()
+                plain.append((w, base, m[2]))
+                bases.add(base)
+        new_bases = bases.difference(self.bases)
+        for found, learn, new in ((self.bases, self._letters, new_bases), (self.marks, self._any, {m for _, _, m in plain}),
+                                  (self.known, self._any, other)):
+            new = [w for w in new if w not in found]
+            for i in range(0, len(new), 1_000):
+                found.update(zip(new[i : i + 1_000], learn(new[i : i + 1_000])))
+        known, of, marks = self.known, self.bases, self.marks
+        for w, base, mark in plain:
+            known[w] = of[base] + marks[mark]
+        if len(self.bases) > KNOWN_BASES:
+            for base in new_bases:
+                del self.bases[base]
+        if len(self.marks) > KNOWN_WORDS:
+            self.marks = {b"": b""}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
@@ -76,7 +119,9 @@ def word_encoder(path: str) -> WordEncoder:
 
 def _replace(symbols: np.ndarray, last: np.ndarray, base: int, top: int):
     """One round: the most frequent pairs become new symbols from base on; None if no pair is frequent."""
-    key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    wide = np.uint64 if base > 1 << 16 else np.uint32  # a pair in one number, as short as the symbols allow
+    half, mask = (wide(32), wide(0xFFFFFFFF)) if base > 1 << 16 else (wide(16), wide(0xFFFF))
+    key = (symbols[:-1].astype(wide) << half) | symbols[1:]
     inside = ~last[:-1]
     ordered = np.sort(key[inside])
     if len(ordered) < LEAST:
@@ -90,8 +135,8 @@ def _replace(symbols: np.ndarray, last: np.ndarray, base: int, top: int):
         often = np.sort(often[np.argsort(-counts[often], kind="stable")[:top]])
     pairs = ordered[starts[often]]
     left, right = np.zeros(base, bool), np.zeros(base, bool)
-    left[pairs >> np.uint64(32)] = True
-    right[pairs & np.uint64(0xFFFFFFFF)] = True
+    left[pairs >> half] = True
+    right[pairs & mask] = True
     at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]] & inside)
     rank = np.searchsorted(pairs, key[at])
     hit = pairs[np.minimum(rank, len(pairs) - 1)] == key[at]
@@ -102,7 +147,7 @@ def _replace(symbols: np.ndarray, last: np.ndarray, base: int, top: int):
     take = (order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0
     at, rank = at[take], rank[take]
     used, number = np.unique(rank, return_inverse=True)
-    rules = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    rules = np.stack([pairs[used] >> half, pairs[used] & mask], axis=1).astype(np.uint32)
     symbols, last = symbols.copy(), last.copy()
     symbols[at] = base + number
     last[at] = last[at + 1]
