@@ -19,7 +19,7 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: White space and the run of other characters after it: words of the split pattern never cross from one to the next.
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-KNOWN_CHUNKS, DOCS_AT_ONCE = 400_000, 256
+KNOWN_CHUNKS, DOCS_AT_ONCE = 120_000, 256
 
 
 def _byte_letters() -> dict[str, int]:

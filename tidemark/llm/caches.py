@@ -6,7 +6,7 @@ from __future__ import annotations
 class Bounded(dict):
     """Values of a pure function of the key; the first `limit` keys are kept, later ones are computed anew."""
 
-    def __init__(self, compute, limit: int = 300_000):
+    def __init__(self, compute, limit: int = 120_000):
         super().__init__()
         self.compute, self.limit = compute, limit
 
