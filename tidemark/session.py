@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,10 +42,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: the cluster's setting, else one made for this process."""
-    where = spark.conf.get(CHECKPOINT_KEY, None)
+    """The folder all executors can reach: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Only a session whose tasks run in the driver's own process may do without one: it gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    where = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if where:
         return where.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
     return _own_dir[0]

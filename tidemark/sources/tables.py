@@ -101,12 +101,15 @@ def typed(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.select(*out)
 
 
-def scan_csv(spark: SparkSession, path: str, spec: TableSpec, gzip_partitions: int | None = None) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, spec: TableSpec, gzip_partitions: int | None = None,
+             multi_line: bool = False) -> DataFrame:
     """Header CSV read as text and cast by the catalogue, so one bad value never fails the job.
 
-    A gzip file is one task; its rows are spread after the read, over `gzip_partitions` if given.
+    Quotes within a quoted field are doubled. Fields that hold line breaks need multi_line, which reads each
+    file in one task, as a gzip file is; its rows are spread after the read, over `gzip_partitions` if given.
     """
-    df = typed(spark.read.option("header", True).csv(path), spec)
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    df = typed(reader.csv(path), spec)
     if path.endswith(".gz"):
         df = df.repartition(gzip_partitions) if gzip_partitions else df.hint("rebalance")
     return df
