@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: White space and the run of other characters after it: words of the split pattern never cross from one to the next.
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-KNOWN_CHUNKS, DOCS_AT_ONCE = 120_000, 256
+KNOWN_CHUNKS = 120_000
+#: Texts encoded together: so many, or so many bytes.
+DOCS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -149,23 +152,45 @@ def byte_pairs(path: str) -> BytePairs:
     return BytePairs(path)
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit integers) of each whole text; one row per input row.
+def _groups(sizes: list[int]):
+    """First and stop of runs of rows: at most DOCS_AT_ONCE of them, and BYTES_AT_ONCE in all unless one row has more."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first >= DOCS_AT_ONCE or total + size > BYTES_AT_ONCE):
+            yield first, i
+            first, total = i, 0
+        total += size
+    if sizes:
+        yield first, len(sizes)
 
-    Agrees with the tokenizers library without special tokens added, truncation or padding. A null or empty
-    text has no ids.
-    """
+
+def _coded(docs: DataFrame, tokenizer: str, decoded: bool) -> DataFrame:
+    """doc_id, ids and, if asked for, the text decoded from these ids in the same worker."""
+    names = ["doc_id", "ids", "decoded"][: 3 if decoded else 2]
 
     def run(batches):
         pairs = byte_pairs(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(i, DOCS_AT_ONCE)
-                coded = pairs.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary())], ["doc_id", "ids"])
+            sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
+            for first, stop in _groups(sizes):
+                part = batch.slice(first, stop - first)
+                ids = pairs.encode([t or "" for t in part.column(1).to_pylist()])
+                columns = [part.column(0), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array(map(pairs.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary" + ", decoded string" * decoded)
+
+
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32-bit integers) of each whole text; one row per input row.
+
+    Agrees with the tokenizers library without special tokens added, truncation or padding. A null or empty
+    text has no ids.
+    """
+    return _coded(docs, tokenizer, False)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -174,17 +199,17 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         pairs = byte_pairs(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(i, DOCS_AT_ONCE)
-                texts = [pairs.decode(x or b"") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
-                                                 ["doc_id", "ids", "decoded"])
+            texts = pa.array((pairs.decode(x.as_py() or b"") for x in batch.column(1)), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "ids", "decoded"])
 
     return pick(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, encoded and decoded again."""
-    both = decode(encode(docs, tokenizer), tokenizer)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, encoded and decoded again.
+
+    One Python worker does both, so an executor holds one vocabulary and one set of known words per core.
+    """
+    return _coded(docs, tokenizer, True).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
