@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -183,6 +184,24 @@ def test_links_reach_three_bits(spark):
     assert len(set(zip(want, (got[p] for p in prints)))) == len(set(want)) == len(set(got.values()))
 
 
+def test_variants_stream_in_any_batches():
+    """Edges don't depend on where a task's sorted variants are cut into batches."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ np.uint64(3), base ^ np.uint64(1 << 40)]))
+    fp, which = np.repeat(fps, 200), np.tile(np.arange(200), len(fps))
+    order = np.argsort((fp ^ simhash.MASKS[which]).view(np.int64), kind="stable")
+    fp, which = fp[order].view(np.int64), which[order]
+
+    def found(size):
+        cut = (pa.RecordBatch.from_arrays([pa.array(fp[i : i + size]), pa.array(which[i : i + size])], ["fp", "mask"])
+               for i in range(0, len(fp), size))
+        return {tuple(r.values()) for b in simhash._meet(cut) for r in b.to_pylist()}
+
+    assert found(1) == found(7) == found(len(fp)) != set()
+    assert list(simhash._meet(iter([]))) == []
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -430,6 +449,13 @@ def test_nearest_edges(spark):
 # BPE
 
 
+def test_texts_are_grouped_by_size():
+    big = bpe.BYTES_AT_ONCE
+    assert list(bpe._groups([])) == []
+    assert list(bpe._groups([0, 3, big + 9, 1, big])) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    assert [b - a for a, b in bpe._groups([1] * 600)] == [256, 256, 88]
+
+
 def test_bpe(edges, nothing, documents):
     tok = Tokenizer.from_file(BYTES)
     for docs, texts in ((documents, table_rows(documents)), (edges, edge_texts())):

@@ -67,18 +67,8 @@ def _odd(fp: Column) -> Column:
     return F.bit_count(fp) % 2 == 1
 
 
-def _meet(batches):
-    """Star edges among the fingerprints that share a variant, for one task's variants."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    fps = np.concatenate([p[0] for p in parts]).view(np.uint64)
-    which = np.concatenate([p[1] for p in parts])
-    del parts
-    variants = fps ^ MASKS[which]
-    order = np.argsort(variants)
-    variants, fps, near = variants[order], fps[order], which[order] < NEAR
-    del order, which
+def _star(variants: np.ndarray, fps: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Verified star edges (rows of a, b) within each run of equal variants; the input is sorted by variant."""
     start = np.ones(len(fps), bool)
     start[1:] = variants[1:] != variants[:-1]
     starts = np.flatnonzero(start)
@@ -87,13 +77,34 @@ def _meet(batches):
     none = np.uint64(2**64 - 1)
     centre = np.repeat(np.minimum.reduceat(np.where(near, fps, none), starts), sizes)
     has = np.repeat(np.logical_or.reduceat(near, starts), sizes)
-    use = has & (fps != centre) & (np.repeat(sizes, sizes) > 1)
+    use = has & (fps != centre)
     a, b = fps[use], centre[use]
     close = np.bitwise_count(a ^ b) <= RADIUS
-    edges = np.unique(np.stack([a[close], b[close]], axis=1), axis=0) if close.any() else np.empty((0, 2), np.uint64)
-    for i in range(0, len(edges), 100_000):
-        block = np.ascontiguousarray(edges[i : i + 100_000]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(block[:, 0]), pa.array(block[:, 1])], ["a", "b"])
+    return np.unique(np.stack([a[close], b[close]], axis=1), axis=0) if close.any() else np.empty((0, 2), np.uint64)
+
+
+def _meet(batches):
+    """Star edges among the fingerprints that share a variant, as a task's sorted variants stream by.
+
+    Only the variant that a batch ends in is carried over, and one variant has few fingerprints.
+    """
+    held = np.empty((3, 0), np.uint64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fps, which = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        rows = np.concatenate([held, np.stack([fps ^ MASKS[which], fps, (which < NEAR).astype(np.uint64)])], axis=1)
+        cut = int(np.searchsorted(rows[0].view(np.int64), rows[0].view(np.int64)[-1]))
+        held = rows[:, cut:]
+        yield from _edges(rows[:, :cut])
+    yield from _edges(held)
+
+
+def _edges(rows: np.ndarray):
+    if rows.shape[1]:
+        edges = np.ascontiguousarray(_star(rows[0], rows[1], rows[2] > 0)).view(np.int64)
+        if len(edges):
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -105,8 +116,9 @@ def links(distinct: DataFrame) -> DataFrame:
     are within three bits of any one that is within one flip of it, so edges to one such centre link the same
     groups as all pairs would; each is verified.
 
-    A variant is recomputed from fingerprint and mask number after the shuffle. A task holds its share of the
-    variants: one variant has at most as many fingerprints as there are masks, so none is hot.
+    A variant is recomputed from fingerprint and mask number after the shuffle and sorted there by Spark, which
+    spills; Python reads the sorted variants batch by batch. One variant has at most as many fingerprints as
+    there are masks, so none is hot.
     """
     spark = distinct.sparkSession
     fp, signed = F.col("fp"), MASKS.view(np.int64).tolist()
@@ -115,7 +127,8 @@ def links(distinct: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.lit(len(signed) - 1)))).alias("mask")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     variant = fp.bitwiseXOR(F.get(masks, F.col("mask")))
-    emitted = distinct.select("fp", which).repartition(n, variant)
+    # Distinct fingerprints are few bytes, but each emits up to a thousand rows: deal them out before.
+    emitted = distinct.repartition(n, "fp").select("fp", which).repartition(n, variant).sortWithinPartitions(variant)
     return emitted.mapInArrow(_meet, "a long, b long").distinct()
 
 
