@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.binning import edges_at_or_below, number_array
 
+# A fit has settled at steps below the first, and is singular at a determinant up to the second.
+SETTLED, SINGULAR = 1e-6, 1e-12
+
 
 @dataclass(frozen=True)
 class Platt:
@@ -39,31 +45,42 @@ def distinct_scores(preds: DataFrame, y: str = "y_true", score: str = "y_score")
             .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos")))
 
 
-def fit_platt(preds: DataFrame, y: str = "y_true", score: str = "y_score", steps: int = 50,
-              tolerance: float = 1e-6) -> Platt:
-    """Newton steps; each is one aggregate of five sums over the cached distinct scores."""
+def logistic_coefficients(counts: DataFrame, columns: Sequence[str], rounds: int = 50,
+                          settled: float = SETTLED) -> list[float]:
+    """Maximum-likelihood coefficients, intercept first, for rows of `n` trials with `pos` successes.
+
+    Re-weighted least squares for any number of columns: a round is one aggregate of the normal equations of the
+    working response, so the driver sees k * k + k sums. Columns that no longer determine a solution (all rows
+    alike, or separated classes) end the rounds with the coefficients reached so far.
+    """
+    terms = [F.lit(1.0), *[F.col(c) for c in columns]]
+    size, beta = len(terms), np.zeros(len(terms))
+    for _ in range(rounds):
+        eta = reduce(add, [F.lit(float(c)) * t for c, t in zip(beta, terms)])
+        fitted = C.sigmoid(eta)
+        spread = F.col("n") * fitted * (F.lit(1.0) - fitted)
+        response = spread * eta + F.col("pos") - F.col("n") * fitted
+        sums = [F.sum(spread * p * q) for p in terms for q in terms] + [F.sum(response * p) for p in terms]
+        found = counts.agg(F.array(*sums).alias("sums")).first()["sums"]
+        if found[0] is None:
+            break
+        normal = np.reshape(found[: size * size], (size, size))
+        if not np.linalg.det(normal) > SINGULAR:
+            break
+        last, beta = beta, np.linalg.solve(normal, found[size * size :])
+        if np.abs(beta - last).max() < settled:
+            break
+    return beta.tolist()
+
+
+def fit_platt(preds: DataFrame, y: str = "y_true", score: str = "y_score") -> Platt:
+    """Logistic regression of the label on the logit of the score, over the distinct scores and their counts."""
     data = distinct_scores(preds, y, score).select(C.logit("score").alias("x"), "n", "pos").persist()
     try:
-        a = b = 0.0
-        x, n = F.col("x"), F.col("n")
-        for _ in range(steps):
-            s = C.sigmoid(F.lit(b) + F.lit(a) * x)
-            g, w = n * s - F.col("pos"), n * s * (F.lit(1.0) - s)
-            r = data.agg(F.sum(g).alias("g0"), F.sum(g * x).alias("g1"), F.sum(w).alias("h00"),
-                         F.sum(w * x).alias("h01"), F.sum(w * x * x).alias("h11")).first()
-            if r["g0"] is None:
-                break
-            det = r["h00"] * r["h11"] - r["h01"] ** 2
-            if not det > 1e-12:
-                break
-            step_b = (r["h01"] * r["g1"] - r["h11"] * r["g0"]) / det
-            step_a = (r["h01"] * r["g0"] - r["h00"] * r["g1"]) / det
-            a, b = a + step_a, b + step_b
-            if max(abs(step_a), abs(step_b)) < tolerance:
-                break
+        intercept, slope = logistic_coefficients(data, ["x"])
     finally:
         data.unpersist()
-    return Platt(a, b)
+    return Platt(slope, intercept)
 
 
 def apply_platt(p, prm: Platt) -> Column:
