@@ -27,8 +27,11 @@ def oracle():
 
 @pytest.fixture
 def large_paths(spark):
-    """Treat every input as large: split value ranges, no size-based broadcast, salted hot keys."""
-    forced = {"tidemark.onePassInputBytes": "0", "tidemark.broadcastInputBytes": "0", "tidemark.hotKeyRows": "40"}
+    """Treat every input as large: split value ranges, no broadcast, split any skewed join."""
+    forced = {"tidemark.onePassInputBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+              "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
     for k, v in forced.items():
         spark.conf.set(k, v)
     yield

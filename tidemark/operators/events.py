@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.codes import FULL_CODEBOOKS, NARROW_CODEBOOKS, Codebook, in_codebook
-from .lookups import lookup_join, short_table_join
+from .lookups import lookup_join
 from .ranking import first_rows, quantiles
 
 # Drug classes searched in lower-case drug text.
@@ -338,7 +338,7 @@ def winsor_limits(long: DataFrame, keys: Sequence[str], value: str, low: float =
 
 def winsorise(long: DataFrame, limits: DataFrame, key: str, value: str) -> DataFrame:
     """Clip to the fitted limits; keys without limits are left as they are."""
-    joined = short_table_join(long, limits, [key])
+    joined = lookup_join(long, limits, key, "left")
     clipped = F.when(F.col("lo").isNull(), F.col(value)).otherwise(C.clamp(value, F.col("lo"), F.col("hi")))
     return joined.withColumn(value, clipped).drop("lo", "hi")
 
@@ -347,12 +347,13 @@ def winsorise(long: DataFrame, limits: DataFrame, key: str, value: str) -> DataF
 
 
 def gender_indicators(cohort: DataFrame, values: Sequence[str] | None = None) -> DataFrame:
-    """One 0/1 column per observed gender value (upper-cased), in sorted order."""
+    """One 0/1 column per gender value (upper-cased), in the order given.
+
+    Without a list, the values that occur, sorted; they are fetched, as each becomes a column of the result.
+    """
     text = F.upper(F.trim(F.col("gender").cast("string")))
     if values is None:
-        seen = cohort.select(text.alias("g")).where("g is not null").distinct().limit(101).collect()
-        if len(seen) > 100:
-            raise ValueError("gender has more than 100 values")
+        seen = cohort.select(text.alias("g")).where("g is not null").distinct().collect()
         values = sorted(r["g"] for r in seen)
     return cohort.select("subject_id", *[
         C.indicator(text, v).alias(f"gender_{C.feature_name_text(v)}") for v in values])

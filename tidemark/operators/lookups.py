@@ -1,4 +1,4 @@
-"""Joins of event tables to one-row-per-key tables, safe for hot keys."""
+"""Joins of event tables to one-row-per-key tables."""
 
 from __future__ import annotations
 
@@ -7,81 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import BROADCAST_BYTES, HOT_ROWS, ONE_PASS_BYTES, is_small, setting
-
-MAX_HOT_KEYS = 1000
-MAX_LOCAL_ROWS = 10_000
-
-
-def hot_keys(events: DataFrame, keys: Sequence[str], hot_rows: int) -> list[tuple]:
-    """(key..., rows) of the largest keys with more than `hot_rows` rows, at most MAX_HOT_KEYS.
-
-    A key outside this list holds less than one part in MAX_HOT_KEYS of the table.
-    """
-    top = (
-        events.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows).orderBy(F.desc("__n"), *keys).limit(MAX_HOT_KEYS)
-    )
-    return [tuple(r) for r in top.collect()]
-
 
 def lookup_join(events: DataFrame, dim: DataFrame, key: str | Sequence[str], how: str = "inner") -> DataFrame:
     """events inner/left join dim on the key; dim holds at most one row per key.
 
-    A dim whose sources are small is broadcast, so events are not shuffled. Otherwise both sides
-    shuffle on the key. On large inputs rows of hot keys are spread over salted copies of their dim
-    row, and rows of a left join without a key are spread as well, since they match nothing.
+    A plain join: adaptive execution broadcasts a dim that turns out small once its rows are known, and splits
+    the partitions of hot keys, also of identical rows and of the null key of a left join. Only the event side
+    is split, since dim rows don't repeat. Sessions should set spark.sql.adaptive.forceOptimizeSkewedJoin, so
+    that partitions are split even if a later step then needs a shuffle of its own.
     """
     if how not in ("inner", "left"):
         raise ValueError("lookup_join supports inner and left")
-    keys = [key] if isinstance(key, str) else list(key)
-    if is_small(dim, BROADCAST_BYTES):
-        return events.join(F.broadcast(dim), keys, how)
-    if is_small(events, ONE_PASS_BYTES):
-        return events.join(dim, keys, how)
-    return salted_join(events, dim, keys, how)
-
-
-def salted_join(events: DataFrame, dim: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    hot_rows = setting(events, HOT_ROWS)
-    hot = hot_keys(events, keys, hot_rows)
-    if not hot and how == "inner":
-        return events.join(dim, list(keys), how)
-    spark = events.sparkSession
-    fields = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
-    salts = spark.createDataFrame([(*h[:-1], max(2, -(-h[-1] // hot_rows))) for h in hot],
-                                  schema=f"{fields}, __copies bigint")
-    row_hash = F.xxhash64(*events.columns, F.spark_partition_id())
-    absent = F.lit(False)
-    for k in keys:
-        absent = absent | F.col(k).isNull()
-    parts = F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = (
-        events.join(F.broadcast(salts), list(keys), "left")
-        .withColumn("__salt", F.when(F.col("__copies").isNotNull(), F.pmod(row_hash, F.col("__copies")))
-                    .when(absent, F.pmod(row_hash, parts)).otherwise(F.lit(0)))
-        .drop("__copies")
-    )
-    copies = (
-        dim.join(F.broadcast(salts), list(keys), "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                   F.coalesce(F.col("__copies"), F.lit(1)) - 1)))
-        .drop("__copies")
-    )
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
-
-
-def short_table_join(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join to a derived table that should have few rows, such as one row of edges per variant.
-
-    Up to MAX_LOCAL_ROWS of it are fetched; if that is all, they are broadcast and `df` stays where
-    it is, however its rows are spread over the keys. A longer table takes the lookup join.
-    """
-    keys = list(keys)
-    rows = table.limit(MAX_LOCAL_ROWS + 1).collect()
-    if len(rows) > MAX_LOCAL_ROWS:
-        return lookup_join(df, table, keys, how)
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, table.schema)), keys, how)
+    return events.join(dim, [key] if isinstance(key, str) else list(key), how)
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

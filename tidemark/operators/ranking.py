@@ -15,22 +15,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import edges_at_or_below, number_array, right_closed_bin
-from .lookups import short_table_join, with_row
+from .lookups import lookup_join, with_row
 from .sizing import ONE_PASS_BYTES, is_small
 
-MAX_PIECES = 1000
 MAX_LISTED_PROBS = 32
 
 
 def split_points(df: DataFrame, value: str, pieces: int | None = None) -> list[float]:
     """Cut values for about equal pieces, from one approximate-quantile pass.
 
-    At most MAX_PIECES numbers reach the driver. They are used as literals, so a re-run
-    task sees the same pieces.
+    There are as many pieces as shuffle partitions, so that setting bounds what a piece holds and the numbers
+    that reach the driver. They are used as literals, so a re-run task sees the same pieces.
     """
     if pieces is None:
         pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = max(2, min(pieces, MAX_PIECES))
+    pieces = max(2, pieces)
     probs = [i / pieces for i in range(1, pieces)]
     row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 20 * pieces).alias("q")).first()
     return sorted(set(row["q"] or []))
@@ -73,7 +72,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[st
     piece_order = F.col("__piece").desc() if descending else F.col("__piece").asc()
     before = whole.orderBy(piece_order).rowsBetween(Window.unboundedPreceding, -1)
     pieces = (
-        cut.groupBy(*keys, "__piece").agg(*totals)
+        grouped.groupBy(*keys, "__piece").agg(*[F.sum(n).alias(n) for n in sums])  # reuses the shuffle of grouped
         .select(
             *keys, "__piece",
             *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__{n}_before") for n in sums],
@@ -108,7 +107,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     if splits is None:
         splits = choose_splits(data, "__x")
     ranked = running_totals(data, keys, "__x", {"n": F.lit(1)}, splits=splits)
-    if len(probs) > MAX_LISTED_PROBS:
+    top = len(probs) - 1
+    if len(probs) > MAX_LISTED_PROBS and all(abs(p - i / top) <= 1e-9 for i, p in enumerate(probs)):
         return _spaced_quantiles(ranked, keys, probs, out)
     start = F.col("n_to") - F.col("n")
     last = (F.col("n_all") - 1).cast("double")
@@ -131,8 +131,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
 def _spaced_quantiles(ranked: DataFrame, keys: list[str], probs: list[float], out: str) -> DataFrame:
     """Many evenly spaced quantiles: each ranked value finds the few probabilities that touch it."""
     top = len(probs) - 1
-    if any(abs(p - i / top) > 1e-9 for i, p in enumerate(probs)):
-        raise ValueError("more than a few quantiles must be evenly spaced on [0, 1]")
     start, stop = F.col("n_to") - F.col("n"), F.col("n_to")
     last = (F.col("n_all") - 1).cast("double")
     step = F.lit(float(top)) / F.greatest(last, F.lit(1.0))
@@ -197,7 +195,7 @@ def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int,
     probs = [i / bins for i in range(bins + 1)]
     edges = quantiles(df, keys, value, probs, splits=splits, out="__edges")
     edges = edges.withColumn("__edges", F.array_distinct("__edges"))
-    joined = short_table_join(df, edges, keys) if keys else with_row(df, edges)
+    joined = lookup_join(df, edges, keys, "left") if keys else with_row(df, edges)
     return (
         joined.withColumn("bin", right_closed_bin(value, "__edges"))
         .withColumn("bin_lo", F.try_element_at("__edges", F.col("bin")))

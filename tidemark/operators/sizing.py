@@ -8,9 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 # Setting names and defaults.
-BROADCAST_BYTES = ("tidemark.broadcastInputBytes", 16 << 20)
 ONE_PASS_BYTES = ("tidemark.onePassInputBytes", 64 << 20)
-HOT_ROWS = ("tidemark.hotKeyRows", 5_000_000)
 
 
 def setting(df: DataFrame, entry: tuple[str, int]) -> int:
