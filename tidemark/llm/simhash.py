@@ -127,8 +127,9 @@ def links(distinct: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.lit(len(signed) - 1)))).alias("mask")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     variant = fp.bitwiseXOR(F.get(masks, F.col("mask")))
-    # Distinct fingerprints are few bytes, but each emits up to a thousand rows: deal them out before.
-    emitted = distinct.repartition(n, "fp").select("fp", which).repartition(n, variant).sortWithinPartitions(variant)
+    # Distinct fingerprints are few bytes, but each emits up to a thousand rows: deal them out before, by another
+    # expression than the grouping's, whose few coalesced partitions would else be kept.
+    emitted = distinct.repartition(n, F.xxhash64("fp")).select("fp", which).repartition(n, variant).sortWithinPartitions(variant)
     return emitted.mapInArrow(_meet, "a long, b long").distinct()
 
 
