@@ -476,3 +476,25 @@ def test_bpe_odd_texts():
     for t, ids in zip(texts, own.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
         assert own.decode(ids) == t
+
+
+def test_pipeline_stages(spark, documents):
+    """Every stage but the last keeps the columns; near-copies leave one row a class; ids are the library's."""
+    import corpus_pipeline as pipeline
+
+    docs, seen = documents, {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        rows = out.collect()
+        assert rows and (name == "bpe" or out.columns == documents.columns)
+        seen[name] = rows
+        docs = spark.createDataFrame(rows, out.schema)
+    assert {r["doc_id"] for r in seen["toxicity"]} < {r["doc_id"] for r in documents.collect()}
+    assert {r["doc_id"] for r in seen["line_dedup"]} == {r["doc_id"] for r in seen["toxicity"]}
+    before = seen["line_dedup"]
+    prints = [simhash.fingerprint((r["text"] or "").encode().lower().split()) for r in before]
+    classes = plain_components([r["doc_id"] for r in before], prints)
+    assert {r["doc_id"] for r in seen["near_duplicates"]} == set(classes)
+    tok = Tokenizer.from_file(BYTES)
+    want = Counter((r["doc_id"], len(tok.encode(r["text"] or "", add_special_tokens=False).ids)) for r in seen["mixing"])
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in seen["bpe"]) == want
