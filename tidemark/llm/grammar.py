@@ -118,36 +118,40 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def _replace(symbols: np.ndarray, last: np.ndarray, base: int, top: int):
-    """One round: the most frequent pairs become new symbols from base on; None if no pair is frequent."""
-    wide = np.uint64 if base > 1 << 16 else np.uint32  # a pair in one number, as short as the symbols allow
-    half, mask = (wide(32), wide(0xFFFFFFFF)) if base > 1 << 16 else (wide(16), wide(0xFFFF))
-    key = (symbols[:-1].astype(wide) << half) | symbols[1:]
-    inside = ~last[:-1]
-    ordered = np.sort(key[inside])
-    if len(ordered) < LEAST:
+    """One round: the most frequent pairs become new symbols from base on; None if no pair is frequent.
+
+    Pairs are sorted together with their positions, so a frequent pair's places lie side by side.
+    """
+    half, room = np.uint64((base - 1).bit_length()), np.uint64(64 - 2 * (base - 1).bit_length())
+    inside = np.flatnonzero(~last[:-1])
+    if len(inside) < LEAST or len(symbols) >> int(room):  # a pair and its position must share one number
         return None
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(np.append(starts, len(ordered)))
+    wide = symbols.astype(np.uint64)
+    ordered = np.sort(((wide[inside] << half | wide[inside + 1]) << room) | inside.astype(np.uint64))
+    key = ordered >> room
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    counts = np.diff(np.append(starts, len(key)))
     often = np.flatnonzero(counts >= LEAST)
     if not len(often):
         return None
     if len(often) > top:
         often = np.sort(often[np.argsort(-counts[often], kind="stable")[:top]])
-    pairs = ordered[starts[often]]
-    left, right = np.zeros(base, bool), np.zeros(base, bool)
-    left[pairs >> half] = True
-    right[pairs & mask] = True
-    at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]] & inside)
-    rank = np.searchsorted(pairs, key[at])
-    hit = pairs[np.minimum(rank, len(pairs) - 1)] == key[at]
-    at, rank = at[hit], rank[hit]
+    pairs = key[starts[often]]
+    chosen = np.zeros(len(counts), bool)
+    chosen[often] = True
+    at = ordered[np.repeat(chosen, counts)] & ((np.uint64(1) << room) - np.uint64(1))
+    rank_bits = np.uint64(len(often).bit_length())
+    met = np.sort(at << rank_bits | np.repeat(np.arange(len(often), dtype=np.uint64), counts[often]))
+    at = (met >> rank_bits).astype(np.int64)
+    rank = (met & ((np.uint64(1) << rank_bits) - np.uint64(1))).astype(np.int64)
     # Pairs that overlap in a row of matches: every second one, from the left.
     begin = np.concatenate(([True], at[1:] != at[:-1] + 1))
     order = np.arange(len(at))
     take = (order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0
     at, rank = at[take], rank[take]
-    used, number = np.unique(rank, return_inverse=True)
-    rules = np.stack([pairs[used] >> half, pairs[used] & mask], axis=1).astype(np.uint32)
+    seen = np.bincount(rank, minlength=len(often)) > 0
+    number = (np.cumsum(seen) - 1)[rank]
+    rules = np.stack([pairs[seen] >> half, pairs[seen] & ((np.uint64(1) << half) - np.uint64(1))], axis=1).astype(np.uint32)
     symbols, last = symbols.copy(), last.copy()
     symbols[at] = base + number
     last[at] = last[at + 1]
