@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..functions.codes import FULL_CODEBOOKS, NARROW_CODEBOOKS, DIABETES, in_codebook, normalise_code
 from ..operators import evaluate as E
 from ..operators import events as EV
-from ..operators.lookups import id_overlap, lookup_join
+from ..operators.lookups import id_overlap, lookup_join, with_row
 from ..operators.ranking import first_rows, order_statistics, quantile_bins
 from ..functions.binning import edges_at_or_below, equal_width_edges
 from ..session import fresh_path
@@ -62,6 +62,15 @@ def row_cap(b):
     return b.admissions().select("subject_id", "hadm_id").orderBy("subject_id", "hadm_id").limit(500)
 
 
+@query("S4", "select least(500, count(*)) as capped, count(*) as n from admissions")
+def row_cap_of_scan(b):
+    root = fresh_path(b.spark, "cap")
+    b.admissions().write.parquet(f"{root}/admissions.parquet")
+    capped = tables.scan_table(b.spark, root, "admissions", columns=["hadm_id"], nrows=500).agg(
+        F.count(F.lit(1)).alias("capped"))
+    return with_row(tables.scan_table(b.spark, root, "admissions").agg(F.count(F.lit(1)).alias("n")), capped)
+
+
 @query("S5", f"""select count(*) as n, count(dischtime) as n_disch, {B('sum(hadm_id)', 'id_sum')},
 {TS('min(admittime)', 'first')}, {TS('max(admittime)', 'last')} from admissions""")
 def parquet_sink_roundtrip(b):
@@ -82,14 +91,13 @@ def partitioned_sink_pruned(b):
             .alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("id_sum")))
 
 
-@query("S7", """select 'keep' as mode, year(o_orderdate) as year, count(*) as n from orders where
-year(o_orderdate) <= 1998 group by all union all
-select 'overwrite', y, count(*) filter (y < 1998 or m <= 6)
-from (select year(o_orderdate) as y, month(o_orderdate) as m from orders) where y <= 1998 group by y
+@query("S7", """select 'keep' as mode, year(o_orderdate) as year, count(*) as n from orders
+group by all union all
+select 'overwrite', y, count(*) filter (y <> 1998 or m <= 6)
+from (select year(o_orderdate) as y, month(o_orderdate) as m from orders) group by y
 union all select 'dry_run', 0, 0""")
 def write_modes(b):
-    rows = b.table("orders").select("o_orderkey", F.col("o_orderdate").alias("charttime")) \
-        .where(F.year("charttime") <= 1998)
+    rows = b.table("orders").select("o_orderkey", F.col("o_orderdate").alias("charttime"))
     half = rows.where((F.year("charttime") == 1998) & (F.month("charttime") <= 6))
     kept, replaced, dry = (fresh_path(b.spark, m) for m in ("keep", "overwrite", "dry"))
     sinks.ingest(rows, kept, "labevents", "overwrite", "year")

@@ -41,11 +41,16 @@ def write_time_partitioned(df: DataFrame, path: str, by: str = "month", mode: st
 
 def ingest(df: DataFrame, path: str, name: str, mode: str = "keep", by: str = "none",
            dry_run: bool = False) -> DataFrame:
-    """Write one typed table (unless dry_run, or keep mode finds it written) and return its profile."""
+    """Write one typed table (unless dry_run, or keep mode finds it written) and return its profile.
+
+    A whole table is profiled from what was written, so its source is parsed once; a partitioned target may
+    hold partitions of earlier writes, so there the profile is of the frame.
+    """
     kept = mode == "keep" and path_exists(df.sparkSession, path)
     if not dry_run and not kept:
         if by == "none":
             write_parquet(df, path, mode)
+            df = df.sparkSession.read.schema(df.schema).parquet(path)
         else:
             write_time_partitioned(df, path, by, mode)
     return ingest_profile(df, name)
