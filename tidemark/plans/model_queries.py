@@ -789,9 +789,29 @@ def artifact_metric_rows(b):
     return rounded(A.calibration_metric_rows(b.spark, _write_calibration_json(b)).drop("dir"))
 
 
-@query("S10", f"with {SELECTED} select variant, rule, {R('threshold')} from selected")
+VAL_SELECTED = f"""fold_preds as (select variant, y_true, score, index_time < timestamp '1998-07-01' as val
+from long_preds join group_meta using (subject_id)), choose_preds as (select * from fold_preds where val),
+apply_preds as (select * from fold_preds where not val), {SELECTED.replace('long_preds', 'choose_preds')}"""
+
+
+def _by_fold(b):
+    """The long predictions of the validation fold and of the test fold."""
+    meta = b.group_meta().select("subject_id", prediction_fold("index_time").alias("fold"))
+    long = P.long_predictions(b.calibrated()).join(meta, "subject_id")
+    return long.where(F.col("fold") == "val"), long.where(F.col("fold") != "val")
+
+
+@query("E8 E9", f"""with {VAL_SELECTED}, rules as (select * from selected) select variant, rule, {R('threshold')}, tp, fp, tn,
+fn, {R('sens', 'sensitivity')}, {R('spec', 'specificity')}, {R('ppv')}, {R('npv')}, {R('acc', 'accuracy')}, {R('f1')}
+from ({confusion_sql('apply_preds', 'variant')})""")
+def validation_thresholds_on_test(b):
+    val, test = _by_fold(b)
+    return rounded(E.confusion_at(test, E.select_thresholds(val, ["variant"]), ["variant"]))
+
+
+@query("S10", f"with {VAL_SELECTED} select variant, rule, {R('threshold')} from selected")
 def artifact_threshold_rows(b):
-    t = E.select_thresholds(P.long_predictions(b.calibrated()), ["variant"])
+    t = E.select_thresholds(_by_fold(b)[0], ["variant"])
     per = t.groupBy("variant").agg(F.map_from_entries(F.collect_list(F.struct("rule", "threshold"))).alias("m"))
     doc = per.agg(F.map_from_entries(F.collect_list(F.struct("variant", "m"))).alias("m"))
     path = fresh_path(b.spark, "thresholds")
