@@ -446,6 +446,22 @@ def test_nearest_edges(spark):
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_with_uneven_norms(spark):
+    """Recall at the production factor: one very long vector, and spread norms, over several full shards."""
+    rng = np.random.default_rng(9)
+    even = rng.normal(size=(3000, 16))
+    even /= np.sqrt((even**2).sum(1))[:, None]
+    one = even.copy()
+    one[1234] *= 10
+    ids = np.arange(3000)
+    for vectors in (one, even * rng.lognormal(0, 1, (3000, 1))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=1000).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        assert dict(got) == dict(plain_nearest(ids, vectors, ids[ids % 20 == 0], 20))
+
+
 # BPE
 
 

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from .rows import pick
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8_192, 1_024, 64
-#: Pruning factor: a branch is left out if factor times its lower bound is over the distance to beat.
-FACTOR = 1.6
+#: Pruning factor: a branch is left out if factor times its lower bound is over the distance to beat. One is exact;
+#: over one the share of neighbours lost depends on how much norms differ within a shard, so nothing here uses it.
+FACTOR = 1.0
 _SLACK = 1e-9
 
 
 class Tree:
     """A vantage-point tree over vectors, for inner products.
 
-    With M the largest norm of all vectors, a further coordinate sqrt(M^2 - |x|^2) for vectors and 0 for queries
+    With M the largest norm of its own vectors, a further coordinate sqrt(M^2 - |x|^2) for vectors and 0 for queries
     turns the largest inner product into the smallest distance, which is what the tree is built on.
     nodes: vantage row, then child nodes, then the rows of a leaf (first, stop); bounds: nearest and farthest
     distance from the vantage row in either child.
@@ -159,20 +160,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-_TREE = "dim int, shard int, ids binary, vectors binary, nodes binary, bounds binary"
+_TREE = "dim int, shard int, ids binary, vectors binary, nodes binary, bounds binary, top double"
 
 
-def trees(rows: DataFrame, shards: int, top: float, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """One vantage-point tree per dimension and shard; a shard is a hash of the id, so shards are even."""
+def trees(rows: DataFrame, shards: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """One vantage-point tree per dimension and shard; a shard is a hash of the id, so shards are even.
+
+    Each tree is lifted by the largest norm of its shard, so a long vector makes distances alike in its shard only.
+    """
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy().astype(np.int64)
-        t = Tree.build(ids, _matrix(table.column("vector")), top, leaf_rows)
+        vectors = _matrix(table.column("vector"))
+        top = float(np.sqrt((vectors * vectors).sum(1).max())) * (1 + 1e-12)
+        t = Tree.build(ids, vectors, top, leaf_rows)
         row = [table.column("dim")[0].as_py(), table.column("shard")[0].as_py(), t.ids.tobytes(), t.vectors.tobytes(),
-               t.nodes.tobytes(), t.bounds.tobytes()]
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
+               t.nodes.tobytes(), t.bounds.tobytes(), t.top]
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4 + [pa.float64()]
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)],
-                                    ["dim", "shard", "ids", "vectors", "nodes", "bounds"])
+                                    ["dim", "shard", "ids", "vectors", "nodes", "bounds", "top"])
 
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
     return rows.select("dim", shard, "vec_id", "vector").groupBy("dim", "shard").applyInArrow(build, _TREE)
@@ -195,7 +201,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, factor: float = FACTOR, sh
 
     queries is a condition on vec_id. Only vectors of the query's length are compared; see `usable` for rows
     that take no part. Ties go to the smaller vec_id; queries with fewer than k candidates get all of them.
-    factor one is exact; larger ones prune more. The score is a sum in double precision over the given vectors.
+    factor one is exact; larger ones prune more and lose neighbours. The score is a sum in double precision over the given vectors.
 
     Queries travel in blocks to every shard; a shard's tree is bounded by shard_rows, a block by BLOCK_ROWS,
     and each pair returns k rows per query.
@@ -204,19 +210,16 @@ def nearest(vectors: DataFrame, queries, k: int = 20, factor: float = FACTOR, sh
 
     rows = stored(usable(vectors), "vectors")
     asked = rows.where(queries)
-    norm = F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
-    n, top = rows.agg(F.count("*"), norm).first()
-    n_asked = asked.count()
+    n, n_asked = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // BLOCK_ROWS))
-    top = float(top or 0.0) * (1 + 1e-12)
-    built = trees(rows, shards, top)
+    built = trees(rows, shards)
     sent = _blocks(asked, blocks).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                t = _opened(r["ids"], r["vectors"], r["nodes"], r["bounds"], r["dim"], top)
+                t = _opened(r["ids"], r["vectors"], r["nodes"], r["bounds"], r["dim"], r["top"])
                 ids = np.frombuffer(r["query_ids"], np.int64)
                 score, found = t.search(ids, np.frombuffer(r["queries"]).reshape(-1, r["dim"]), k, factor)
                 full = score > -np.inf
@@ -224,7 +227,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, factor: float = FACTOR, sh
                     [pa.array(np.repeat(ids, full.sum(1))), pa.array(found[full]), pa.array(score[full])],
                     ["query_id", "vec_id", "score"])
 
-    pairs = built.join(sent, ["dim", "shard"]).select("dim", "ids", "vectors", "nodes", "bounds", "query_ids", "queries")
+    pairs = built.join(sent, ["dim", "shard"]).select(
+        "dim", "ids", "vectors", "nodes", "bounds", "top", "query_ids", "queries")
     partial = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
