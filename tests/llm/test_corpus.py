@@ -313,6 +313,43 @@ def test_pseudo_likelihood(edges, nothing, documents):
     assert pseudo_lm.pseudo_likelihood(nothing).count() == 0
 
 
+def test_pseudo_likelihood_knows_words_and_their_order(spark, documents, monkeypatch):
+    """Against plain counts over several blocks and buckets; text in order beats the same words shuffled."""
+    monkeypatch.setattr(pseudo_lm, "BLOCK_WORDS", 4000)
+    monkeypatch.setattr(pseudo_lm, "BUCKET_KEYS", 6000)
+    fits, fit = [], pseudo_lm.fit
+    monkeypatch.setattr(pseudo_lm, "fit", lambda rows: fits.append(fit(rows)) or fits[-1])
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in rng.permutation(900)]
+    order = [[names[(a + i) % 900] for i in range(60)] for a in rng.integers(0, 900, 300)]
+    mean = []
+    for texts in (order, [list(rng.permutation(t)) for t in order]):
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(300, None), (301, " ")], "doc_id long, text string")
+        rows = {r["doc_id"]: r for r in pseudo_lm.pseudo_likelihood(df).collect()}
+        assert len(rows) == 302 and rows[300]["n_words"] == rows[301]["n_words"] == 0
+        mean.append(np.mean([rows[i]["mean_log_likelihood"] for i in range(300)]))
+        m, words, pairs = fits[-1], Counter(), Counter()
+        for t in texts:
+            words.update([*t, ""])
+            pairs.update(zip(["", *t], [*t, ""]))
+        for i in (0, 7, 299):
+            t = [w.encode() for w in texts[i]]
+            sym = np.array([zlib.crc32(w) & 65535 for w in t])
+            window = m.window[pseudo_lm._windows(m.classes[sym], np.array([len(t)]), m.groups)]
+            want, around = 0.0, ["", *texts[i], ""]
+            for j, w in enumerate(texts[i]):
+                base = np.exp(window[j] + m.within[sym[j]]) * words[w] / m.counts[sym[j]]
+                l, r = around[j], around[j + 2]
+                want += np.log((base + (pairs[l, w] - 1 + pseudo_lm.PRIOR * base) / (words[l] - 1 + pseudo_lm.PRIOR)
+                                + (pairs[w, r] - 1 + pseudo_lm.PRIOR * base) / (words[r] - 1 + pseudo_lm.PRIOR)) / 3)
+            assert rows[i]["log_likelihood"] == pytest.approx(want)
+    assert mean[0] > mean[1] + 3
+    texts = [(d, (t or "").split()) for d, t in table_rows(documents)]
+    mixed = spark.createDataFrame([(d, " ".join(rng.permutation(t))) for d, t in texts], "doc_id long, text string")
+    real, shuffled = (df.agg(F.sum("log_likelihood")).first()[0] for df in map(pseudo_lm.pseudo_likelihood, (documents, mixed)))
+    assert real > shuffled
+
+
 # Toxicity
 
 
