@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-DATA = "/root/testdata/sf0.001"
+from testdata import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,7 @@ import pytest
 
 from tidemark.operators import events as EV
 from tidemark.plans.bindings import Bindings
-from conftest import DATA
+from testdata import DATA
 
 T0 = datetime(2020, 1, 10)
 US = timedelta(microseconds=1)

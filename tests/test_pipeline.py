@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from statistics import NormalDist
 
-from conftest import DATA
+from testdata import DATA
 from tidemark.operators import calibrate as K
 from tidemark.operators import evaluate as E
 from tidemark.operators import explain as X

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import difference
-from conftest import DATA
+from testdata import DATA
 
 from tidemark.plans.bindings import Bindings
 from tidemark.plans.catalogue import REGISTRY
