@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, grammar, lengths, lines, mixing, pseudo_lm, quality, simhash, toxicity, vptree
+from . import bpe, filter_audit, grammar, lengths, lines, mixing, pseudo_lm, quality, simhash, toxicity, vptree
 from .rows import fold, position
 
 RANKS, WORD_BPE, BYTE_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -71,9 +71,15 @@ def op10_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.round_trip(table(spark, root, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_filter_audit(spark: SparkSession, root: str) -> DataFrame:
+    filters = filter_audit.standard_filters()
+    cells = filter_audit.mask_cells(filter_audit.failures(table(spark, root, "documents"), filters), table(spark, root, "labels"))
+    return filter_audit.audit(cells, "".join(f.letter for f in filters))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_line_dedup, op3_simhash, op4_quality_rules, op5_token_files, op6_pseudo_likelihood,
-    op7_toxicity, op8_mixing, op9_nearest, op10_bpe)}
+    op7_toxicity, op8_mixing, op9_nearest, op10_bpe, op11_filter_audit)}
 
 _SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
@@ -117,4 +123,34 @@ select doc_id, size, s as source_size, target,
 from placed
 """
 
-ORACLES = {"op2_line_dedup": _LINE_DEDUP, "op8_mixing": _MIXING}
+_AUDIT = """
+with recursive filters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+measured as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws, min(doc_id) over (partition by t) as first from texts),
+marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+judged as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+                  (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int
+                  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int
+                  + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(first < doc_id, false)::int as mask
+           from measured left join marks using (doc_id)),
+cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from judged group by all),
+orders(o, used) as (select letter, bit from filters
+                    union all select o || letter, used + bit from orders join filters on used & bit = 0),
+steps as (select o as filter_order, s::int as step, substr(o, s::int, 1) as letter,
+                 (select sum(bit) from filters where instr(substr(o, 1, s::int - 1), letter) > 0) as before
+          from orders, range(1, 6) as r(s) where length(o) = 5),
+numbers as (
+  select part, filter_order, step, letter,
+         sum(n * (mask & (coalesce(before, 0) | bit) = 0)::int)::bigint as kept,
+         sum(n * (mask & coalesce(before, 0) = 0 and mask & bit <> 0)::int)::bigint as removed,
+         sum(n * (mask & coalesce(before, 0) <> 0 and mask & bit <> 0)::int)::bigint as redundant,
+         sum(n * (mask = bit)::int)::bigint as unique_fails,
+         sum(good * (mask & coalesce(before, 0) = 0 and mask & bit <> 0)::int)::bigint as good_lost,
+         sum(toxic * (mask & coalesce(before, 0) = 0 and mask & bit <> 0)::int)::bigint as toxic_lost
+  from cells, steps join filters using (letter) group by part, filter_order, step, letter)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, letter))::bigint as shapley
+from numbers
+"""
+
+ORACLES = {"op11_filter_audit": _AUDIT, "op2_line_dedup": _LINE_DEDUP, "op8_mixing": _MIXING}
