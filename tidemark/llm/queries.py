@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, grammar, lengths, lines, mixing, pseudo_lm, quality, simhash, toxicity, vptree
+from . import bpe, filter_audit, grammar, language, lengths, lines, mixing, pseudo_lm, quality, simhash, toxicity, treap, vptree
 from .rows import fold, position
 
 RANKS, WORD_BPE, BYTE_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -77,9 +77,22 @@ def op11_filter_audit(spark: SparkSession, root: str) -> DataFrame:
     return filter_audit.audit(cells, "".join(f.letter for f in filters))
 
 
+def op12_lexical_search(spark: SparkSession, root: str) -> DataFrame:
+    return treap.search(treap.build(table(spark, root, "documents")), table(spark, root, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    read = language.predict(docs, language.fit(docs))
+    doc_id = F.col(f"c{position(docs, 'doc_id')}")
+    return read.select(doc_id.alias("doc_id"), language.held_out(doc_id).alias("held_out"), "lang_pred",
+                       F.col("lang_score").alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_line_dedup, op3_simhash, op4_quality_rules, op5_token_files, op6_pseudo_likelihood,
-    op7_toxicity, op8_mixing, op9_nearest, op10_bpe, op11_filter_audit)}
+    op7_toxicity, op8_mixing, op9_nearest, op10_bpe, op11_filter_audit,
+    op12_lexical_search, op13_language_id)}
 
 _SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
@@ -153,4 +166,23 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 from numbers
 """
 
-ORACLES = {"op11_filter_audit": _AUDIT, "op2_line_dedup": _LINE_DEDUP, "op8_mixing": _MIXING}
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_SEARCH = f"""
+with docs as (select doc_id, row_number() over () as d, {_TERMS} as ts from documents),
+lengths as (select doc_id, d, len(ts)::bigint as n from docs where len(ts) > 0),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as terms from lengths),
+postings as (select d, t, count(*)::bigint as tf from (select d, unnest(ts) as t from docs) group by d, t),
+items as (select item_id, t, count(*)::bigint as times
+          from (select item_id, unnest({_TERMS}) as t from (select distinct item_id, text from benchmark)) group by item_id, t),
+weights as (select t, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+            from postings, whole where t in (select t from items) group by t),
+scored as (select item_id, d, doc_id,
+                  sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint as score
+           from items join weights using (t) join postings using (t) join lengths using (d), whole group by item_id, d, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank
+           from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20
+"""
+
+ORACLES = {"op12_lexical_search": _SEARCH, "op11_filter_audit": _AUDIT, "op2_line_dedup": _LINE_DEDUP, "op8_mixing": _MIXING}
