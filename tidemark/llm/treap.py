@@ -24,7 +24,7 @@ SHARD_TERMS, SHARD_DOCS = 2_000_000, 60_000
 SENT_TERMS = 100_000
 #: Item terms in a block of items that is answered together.
 BLOCK_TERMS = 50_000
-#: Document ranges that are split at once: few at first, while a good threshold is still missing.
+#: Document ranges that are split at once: few at first, as long as there is no threshold to prune by.
 FIRST_SPLIT, MOST_SPLIT = 16, 256
 #: Documents are laid out by which of this many most frequent terms they hold, so that alike ones are neighbours.
 SIGNATURE = 16
@@ -130,7 +130,7 @@ class Treap:
             else:
                 d, p, c = depth, prefix, cells
                 bound, depth, prefix, cells = bound[:0], depth[:0], prefix[:0], cells[:0]
-            take = min(2 * take, MOST_SPLIT)
+            take = min(2 * take if len(score) == k else take + FIRST_SPLIT // 4, MOST_SPLIT)
             halves = [self._half(rows, weights, d, p, c, side) for side in (0, 1)]
             b, d, p, c = (np.concatenate(x) for x in zip(*halves))
             done = d == self.height
