@@ -115,16 +115,6 @@ def test_quantile_scaler(spark):
     assert np.allclose(got, want, atol=1e-5)
 
 
-def test_iterative_imputation_uses_relations(spark):
-    df = spark.range(400).select(
-        F.col("id").alias("subject_id"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("fold"),
-        (F.col("id") % 17).cast("double").alias("x"),
-        F.when(F.col("id") % 7 != 0, 3.0 * (F.col("id") % 17) + 1.0).alias("y"))
-    out = PR.iterative_impute(df, ["x", "y"], rounds=1)
-    worst = out.agg(F.max(F.abs(F.col("y") - 3.0 * F.col("x") - 1.0))).first()[0]
-    assert worst < 0.5 and out.where("y is null").isEmpty()
-
-
 def test_models_beat_prevalence(spark):
     b = Bindings(spark, DATA)
     m = b.stored_matrix()

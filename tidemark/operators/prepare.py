@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.binning import edges_at_or_below_many
-from ..session import checkpointed
+from .chained import ROUNDS, Chain, filled, fit_chain
 from .ranking import first_rows, quantiles
 
 # Limits of the quantile scaler's normal output, the normal quantiles of 1e-7 and 1 - 1e-7.
@@ -33,6 +31,7 @@ class Preparation:
     centre: dict[str, float] = field(default_factory=dict)
     scale: dict[str, float] = field(default_factory=dict)
     knots: dict[str, list[float]] = field(default_factory=dict)
+    chain: Chain | None = None
 
     @property
     def output(self) -> list[str]:
@@ -77,8 +76,9 @@ def modes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit(train: DataFrame, columns: Sequence[str], imputer: str = "median", scaler: str = "standard",
-        add_indicators: bool = True, keep_binary: bool = True, splits=None) -> Preparation:
-    """Fit imputer and scaler on training rows. Per pass, one short row per column is collected."""
+        add_indicators: bool = True, keep_binary: bool = True, splits=None, rounds: int = ROUNDS) -> Preparation:
+    """Fit imputer and scaler on training rows. Per pass, one short row per column is collected; the iterative imputer
+    also collects one number per pair of columns and incomplete column in each of its rounds."""
     columns = list(columns)
     prof = {r["feature"]: r for r in column_profile(train, columns).collect()}
     with_null = [c for c in columns if prof[c]["present"] < prof[c]["rows"]] if add_indicators else []
@@ -86,15 +86,18 @@ def fit(train: DataFrame, columns: Sequence[str], imputer: str = "median", scale
     constant = [c for c in columns if prof[c]["present"] > 0 and prof[c]["low"] == prof[c]["high"]]
     constant += [f"{c}__mis" for c in with_null if c in empty]
     used = [c for c in columns if c not in empty and c not in constant]
+    chain = None
     if imputer == "median":
-        table = medians(train, used, splits)
+        fill = {r["feature"]: r["fill"] for r in medians(train, used, splits).collect()}
     elif imputer == "most_frequent":
-        table = modes(train, used)
+        fill = {r["feature"]: r["fill"] for r in modes(train, used).collect()}
+    elif imputer == "iterative":
+        chain = fit_chain(train, prof, used, rounds)
+        fill = dict(chain.start)
     else:
         raise ValueError(f"unknown imputer {imputer!r}")
-    fill = {r["feature"]: r["fill"] for r in table.collect()}
     prep = Preparation(columns, [f"{c}__mis" for c in with_null], empty, constant,
-                       [c for c in used if prof[c]["binary"]] if keep_binary else [], fill)
+                       [c for c in used if prof[c]["binary"]] if keep_binary else [], fill, chain=chain)
     fit_scaler(prep, train, prof, scaler, splits)
     return prep
 
@@ -105,6 +108,10 @@ def fit_scaler(prep: Preparation, train: DataFrame, prof: dict, scaler: str, spl
     todo = [c for c in prep.output if c not in prep.binary]
     if scaler == "none" or not todo:
         return
+    if scaler == "standard" and prep.chain:
+        for r in column_profile(impute(train, prep), todo).collect():
+            prep.centre[r["feature"]], prep.scale[r["feature"]] = r["mean"], r["var"] ** 0.5 or 1.0
+        return
     if scaler == "standard":
         # the mean and variance after filling follow from those before it: no second pass
         for c in todo:
@@ -137,8 +144,13 @@ def fit_scaler(prep: Preparation, train: DataFrame, prof: dict, scaler: str, spl
 
 
 def impute(df: DataFrame, prep: Preparation) -> DataFrame:
-    """Indicators, then fills; binary columns are rounded to 0 or 1. Other columns are kept as ids."""
+    """Indicators, then fills; binary columns are rounded to 0 or 1. Other columns are kept as ids.
+
+    A column that had no gap in training is filled with its training mean before the chain of an iterative imputer."""
     rest = [c for c in df.columns if c not in prep.columns]
+    chained = prep.chain.targets if prep.chain else []
+    if chained:
+        df = df.withColumn("__chain", filled(prep.chain))
     out = [F.col(c) for c in rest]
     for c in prep.output:
         if c in prep.indicators:
@@ -146,7 +158,9 @@ def impute(df: DataFrame, prep: Preparation) -> DataFrame:
             value = C.finite_or_null(F.col(src).cast("double")).isNull().cast("double")
         else:
             value = C.finite_or_null(F.col(c).cast("double"))
-            if c in prep.fill:
+            if c in chained:
+                value = F.coalesce(value, F.col("__chain")[f"t{chained.index(c)}"])
+            elif c in prep.fill:
                 value = F.coalesce(value, F.lit(prep.fill[c]))
             if c in prep.binary:
                 value = (F.coalesce(value, F.lit(0.0)) >= 0.5).cast("double")
@@ -211,10 +225,29 @@ def parameter_rows(spark: SparkSession, prep: Preparation) -> DataFrame:
     for i, c in enumerate([*prep.columns, *prep.indicators]):
         state = "empty" if c in prep.dropped_empty else "constant" if c in prep.dropped_constant else "kept"
         rows.append((i, c, state, c in prep.binary, c in prep.indicators, prep.fill.get(c),
-                     prep.centre.get(c), prep.scale.get(c), prep.knots.get(c)))
+                     prep.centre.get(c), prep.scale.get(c), prep.knots.get(c), *_links(prep.chain, c)))
     return spark.createDataFrame(
         rows, "position int, feature string, state string, is_binary boolean, is_indicator boolean, "
-              "fill double, centre double, scale double, knots array<double>")
+              "fill double, centre double, scale double, knots array<double>, turn int, links array<array<double>>")
+
+
+def _links(chain: Chain | None, column: str) -> tuple[int | None, list[list[float]] | None]:
+    """Turn of a column in the chain (counted from 0) and its coefficients by round; -1 for a column that is only used."""
+    if chain is None or column not in chain.columns:
+        return None, None
+    if column not in chain.targets:
+        return -1, None
+    turn = chain.targets.index(column)
+    return turn, [step[turn] for step in chain.steps]
+
+
+def _chain_of(rows: list) -> Chain | None:
+    used = [r for r in rows if r["turn"] is not None]
+    if not used:
+        return None
+    turns = sorted((r for r in used if r["turn"] >= 0), key=lambda r: r["turn"])
+    steps = [[list(b) for b in step] for step in zip(*[r["links"] for r in turns])]
+    return Chain([r["feature"] for r in used], [r["feature"] for r in turns], {r["feature"]: r["fill"] for r in used}, steps)
 
 
 def from_parameter_rows(table: DataFrame, scaler: str) -> Preparation:
@@ -232,36 +265,5 @@ def from_parameter_rows(table: DataFrame, scaler: str) -> Preparation:
         centre={r["feature"]: r["centre"] for r in kept if r["centre"] is not None},
         scale={r["feature"]: r["scale"] for r in kept if r["scale"] is not None},
         knots={r["feature"]: list(r["knots"]) for r in kept if r["knots"] is not None},
+        chain=_chain_of(rows),
     )
-
-
-def iterative_impute(df: DataFrame, columns: Sequence[str], train_fold: str = "train", rounds: int = 10,
-                     estimator: str = "linear", seed: int = 42) -> DataFrame:
-    """Round-robin regression of each incomplete column on the others, models fitted on the train fold.
-
-    Starts from train means; complete columns are not modelled. Each round ends in a checkpoint,
-    so plans stay short and a lost executor costs at most one round.
-    """
-    columns = list(columns)
-    train = df.where(F.col("fold") == train_fold)
-    prof = {r["feature"]: r for r in column_profile(train, columns).collect()}
-    columns = [c for c in columns if prof[c]["present"] > 0]
-    todo = [c for c in columns if prof[c]["present"] < prof[c]["rows"]]
-    rest = [c for c in df.columns if c not in columns]
-    filled = df.select(*rest, *[F.coalesce(C.finite_or_null(F.col(c).cast("double")), F.lit(prof[c]["mean"])).alias(c)
-                                for c in columns],
-                       *[C.finite_or_null(F.col(c).cast("double")).isNull().alias(f"__no_{c}") for c in todo])
-    for _ in range(rounds):
-        for c in todo:
-            others = [o for o in columns if o != c]
-            pack = VectorAssembler(inputCols=others, outputCol="__x")
-            if estimator == "linear":
-                est = LinearRegression(featuresCol="__x", labelCol=c, predictionCol="__p", regParam=1e-3)
-            else:
-                est = RandomForestRegressor(featuresCol="__x", labelCol=c, predictionCol="__p", seed=seed)
-            packed = pack.transform(filled)
-            model = est.fit(packed.where((F.col("fold") == train_fold) & ~F.col(f"__no_{c}")))
-            filled = model.transform(packed).withColumn(
-                c, F.when(F.col(f"__no_{c}"), F.col("__p")).otherwise(F.col(c))).drop("__x", "__p")
-        filled = checkpointed(filled)
-    return filled.drop(*[f"__no_{c}" for c in todo])

@@ -235,10 +235,53 @@ def stored_preparation(b):
     return rounded(PR.apply(m.drop("y"), prep))
 
 
-@query("I5")
+CHAINED = ["f_tax", "f_urgent", "f_signal"]
+
+
+def _plane(y: str, u: str, v: str) -> str:
+    """Level and slopes of y on u and v over the training rows that have y, from their covariances."""
+    def cov(a, b):
+        return f"covar_pop({a}, {b}) filter (not no_{y} and fold = 'train')"
+
+    det = f"({cov(u, u)} * {cov(v, v)} - {cov(u, v)} * {cov(u, v)})"
+    bu = f"(({cov(u, y)} * {cov(v, v)} - {cov(v, y)} * {cov(u, v)}) / {det})"
+    bv = f"(({cov(v, y)} * {cov(u, u)} - {cov(u, y)} * {cov(u, v)}) / {det})"
+    mean = lambda x: f"avg({x}) filter (not no_{y} and fold = 'train')"
+    return f"{mean(y)} - {bu} * {mean(u)} - {bv} * {mean(v)} as {y}0, {bu} as {y}1, {bv} as {y}2"
+
+
+def chained_sql() -> str:
+    """Ten rounds of two regressions on two columns each: urgent has fewer gaps, so it is filled first."""
+    step = f"""select i + 1, subject_id, fold, no_f_tax, no_f_urgent, f_signal,
+ case when no_f_tax then f_tax0 + f_tax1 * u2 + f_tax2 * f_signal else f_tax end, u2
+ from (select *, case when no_f_urgent then f_urgent0 + f_urgent1 * f_tax + f_urgent2 * f_signal else f_urgent end as u2
+ from turn, (select {_plane('f_tax', 'f_urgent', 'f_signal')}, {_plane('f_urgent', 'f_tax', 'f_signal')} from turn) where i < 10)"""
+    return f"""with recursive means as (select avg(f_tax) as mt, avg(f_urgent) as mu from matrix where fold = 'train'),
+gaps as (select subject_id, fold, f_tax is null as no_f_tax, f_urgent is null as no_f_urgent, f_signal,
+ coalesce(f_tax, mt) as f_tax, coalesce(f_urgent, mu) as f_urgent from matrix, means),
+turn(i, subject_id, fold, no_f_tax, no_f_urgent, f_signal, f_tax, f_urgent) as (select 0, * from gaps union all {step})
+select subject_id, fold, {R('f_tax')}, {R('f_urgent')}, {R('f_signal')},
+cast(no_f_tax as double) as f_tax__mis, cast(no_f_urgent as double) as f_urgent__mis from turn where i = 10"""
+
+
+def _chained_prep(b):
+    m = b.stored_matrix().select("subject_id", "fold", *CHAINED)
+    return m, PR.fit(_fold(m, "train"), CHAINED, imputer="iterative", scaler="none", keep_binary=False)
+
+
+@query("I5", chained_sql())
 def impute_iterative(b):
-    cols = ["f_price", "f_lines", "f_qty", "f_disc", "f_signal"]
-    return rounded(PR.iterative_impute(b.matrix().select("subject_id", "fold", *cols), cols, rounds=2))
+    m, prep = _chained_prep(b)
+    return rounded(PR.impute(m, prep))
+
+
+@query("I5 I10", f"""{chained_sql().replace("where i = 10", "where i = 10 and fold <> 'train'")}""")
+def impute_iterative_stored(b):
+    """Fitted once, stored, read back and applied to the rows of the other folds alone."""
+    m, prep = _chained_prep(b)
+    path = fresh_path(b.spark, "chain")
+    PR.parameter_rows(b.spark, prep).write.parquet(path)
+    return rounded(PR.impute(m.where("fold <> 'train'"), PR.from_parameter_rows(b.spark.read.parquet(path), "none")))
 
 
 # --- models -----------------------------------------------------------------------------
