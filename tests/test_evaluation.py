@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import bootstrap as BS
 from tidemark.operators import calibrate as K
 from tidemark.operators import evaluate as E
 from tidemark.functions.columns import PROB_EPS
@@ -111,7 +112,7 @@ def test_decision_curve(spark, scored):
 def test_curve_interval_matches_resampling(spark, scored):
     y, s = scored
     got = {round(r["threshold"], 2): r for r in
-           E.decision_curve_intervals(long(spark, y, s), ["variant"], 400, grid=[0.2, 0.5]).collect()}
+           BS.decision_curve_intervals(long(spark, y, s), ["variant"], 400, grid=[0.2, 0.5]).collect()}
     rng = np.random.default_rng(0)
     for t in (0.2, 0.5):
         reps = []
@@ -187,8 +188,7 @@ def test_results_do_not_depend_on_partitioning(spark, scored):
     df = long(spark, y, s)
     one, many = df.coalesce(1), df.repartition(13)
     for f in (lambda d: E.metrics(d, ["variant"]), lambda d: E.select_thresholds(d, ["variant"]),
-              lambda d: E.percentile_interval(
-                  E.metrics(E.replicate_weights(d, 5, 1), ["variant", "replicate"], weight="w"), ["variant"], ["auroc"])):
+              lambda d: BS.replicate_metrics(d, ["variant"], 5, 1)):
         a, b = (sorted(map(str, [[round(v, 9) if isinstance(v, float) else v for v in r] for r in f(d).collect()]))
                 for d in (one, many))
         assert a == b

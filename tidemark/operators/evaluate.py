@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -292,83 +290,6 @@ def error_slices(scored: DataFrame, features: Sequence[str], bins: int = 4, thre
         F.count(F.lit(1)).alias("n"), F.avg("err").alias("error_rate"), F.avg("y_true").alias("prevalence"))
 
 
-# --- intervals ------------------------------------------------------------------------
-
-
-def replicate_weights(long: DataFrame, replicates: int, seed: int, id_col: str = "subject_id") -> DataFrame:
-    """Rows repeated per replicate with a Poisson(1) weight keyed by (seed, replicate, id); zeros dropped.
-
-    One digest yields the weights of four replicates.
-    """
-    blocks = -(-replicates // 4)
-    rows = long.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    digest = C.keyed_hash(seed, F.col("__block"), F.col(id_col))
-    rows = rows.withColumn("__digest", digest)
-    draws = F.array(*[C.uniform(F.col("__digest"), i) for i in range(4)])
-    keep = [c for c in long.columns]
-    rows = rows.select(*keep, "__block", F.posexplode(draws).alias("__i", "__u"))
-    return (rows.select(*keep, (F.col("__block") * 4 + F.col("__i")).alias("replicate"),
-                        C.poisson_one(F.col("__u")).alias("w"))
-            .where((F.col("replicate") < replicates) & (F.col("w") > 0)))
-
-
-def percentile_interval(values: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """2.5 and 97.5 percentile over the replicates of each key; undefined replicates are dropped."""
-    q = {n: F.percentile(C.finite_or_null(F.col(n).cast("double")), [0.025, 0.975]) for n in names}
-    rows = values.groupBy(*keys).agg(*[e.alias(n) for n, e in q.items()])
-    return rows.select(*keys, *[x for n in names for x in (
-        F.col(n)[0].alias(f"{n}_ci_lo"), F.col(n)[1].alias(f"{n}_ci_hi"))])
-
-
-def group_metric_intervals(grouped: DataFrame, replicates: int, seed: int = 42, splits=None) -> DataFrame:
-    keys = ["variant", "group_col", "group_val"]
-    reps = metrics(replicate_weights(grouped, replicates, seed), [*keys, "replicate"], splits, weight="w")
-    return percentile_interval(reps, keys, ["auroc", "auprc", "brier", "logloss"])
-
-
-def group_threshold_intervals(grouped: DataFrame, thresholds: DataFrame, replicates: int,
-                              seed: int = 42) -> DataFrame:
-    reps = group_threshold_metrics(replicate_weights(grouped, replicates, seed), thresholds,
-                                   extra=["replicate"], weight="w")
-    return percentile_interval(reps, ["variant", "group_col", "group_val", "rule"],
-                               ["tpr", "fpr", "ppv", "npv", "f1"])
-
-
-def decision_curve_intervals(long: DataFrame, keys: Sequence[str], replicates: int, seed: int = 42,
-                             grid: Sequence[float] | None = None) -> DataFrame:
-    """Bootstrap interval of the model net benefit per threshold.
-
-    Net benefit depends on the data only through the grid cells, and drawing n rows with replacement
-    fills the cells multinomially. So replicates are drawn from the cells, and the cost of a
-    replicate does not depend on the number of rows.
-    """
-    grid = list(grid) if grid is not None else threshold_grid()
-    cells = grid_cells(long, keys, grid)
-    arrays = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "pos", "neg"))).alias("cells"))
-    arrays = arrays.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    arrays = arrays.withColumn("__seed", F.xxhash64(F.lit(seed), F.col("replicate"), *keys)) \
-        .withColumn("__pos", F.col("cells.pos")).withColumn("__neg", F.col("cells.neg"))
-    odds = np.array(grid) / (1.0 - np.array(grid))
-
-    @F.pandas_udf("array<double>")
-    def draw(pos: pd.Series, neg: pd.Series, seeds: pd.Series) -> pd.Series:
-        out = []
-        for p, q, s in zip(pos, neg, seeds):
-            counts = np.concatenate([p, q]).astype(float)
-            n = int(counts.sum())
-            drawn = np.random.default_rng(int(s) & 0xFFFFFFFFFFFFFFFF).multinomial(n, counts / n)
-            tp = drawn[: len(p)][::-1].cumsum()[::-1][1:]
-            fp = drawn[len(p):][::-1].cumsum()[::-1][1:]
-            out.append(tp / n - fp / n * odds)
-        return pd.Series(out)
-
-    curves = arrays.select(*keys, "replicate", F.posexplode(draw("__pos", "__neg", "__seed")).alias("i", "nb"))
-    t = F.element_at(number_array(grid), F.col("i") + 1)
-    ci = curves.groupBy(*keys, "i").agg(F.percentile("nb", [0.025, 0.975]).alias("q"))
-    return ci.select(*keys, t.alias("threshold"), F.col("q")[0].alias("nb_model_lo"),
-                     F.col("q")[1].alias("nb_model_hi"))
-
-
 # --- result tables --------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.binning import equal_width_edges, threshold_grid
+from ..operators import bootstrap as BS
 from ..operators import calibrate as K
 from ..operators import evaluate as E
 from ..operators import events as EV
@@ -553,11 +554,6 @@ def operating_points(b):
     return rounded(E.operating_points(P.long_predictions(b.calibrated()), _rules(b)))
 
 
-@query("E16")
-def decision_curve_intervals(b):
-    return rounded(E.decision_curve_intervals(P.long_predictions(b.calibrated()), ["variant"], 50))
-
-
 # --- audits -----------------------------------------------------------------------------------
 
 
@@ -622,37 +618,57 @@ def error_slices(b):
     return rounded(out.withColumn("bin", F.col("bin").cast("bigint")))
 
 
-REPLICATES = 6
-UNIFORM = "(('0x' || substr(md5('42:' || (rep // 4) || ':' || subject_id), 1 + 8 * (rep % 4), 8))::bigint / 4294967296.0::double)"
+REPLICATES = 1000
+DRAWN = f"""drawn as (select * from (select id, rep, list_sum([cast(u >= c as int) for c in {BS.LIMITS}])::bigint as w from
+(select id, rep, ((x * x + s2) % {BS.PRIME}) >> 15 as u from (select *, (s0 + rep * s1) % {BS.PRIME} as x from
+(select id, ('0x' || substr(h, 1, 8))::bigint % {BS.PRIME} as s0, ('0x' || substr(h, 9, 8))::bigint % {BS.PRIME} as s1,
+('0x' || substr(h, 17, 8))::bigint % {BS.PRIME} as s2 from (select distinct subject_id as id, md5('42:' || subject_id) as h
+from long_preds)), range({REPLICATES}) r(rep)))) where w > 0)"""
 
 
-def poisson_cdf() -> list[float]:
-    out, mass, below = [], 0.36787944117144233, 0.0
-    for k in range(12):
-        below += mass
-        out.append(below)
-        mass /= k + 1
-    return out
+def replicate_metrics_sql(rel: str, keys: str) -> str:
+    """Metrics per key and replicate from weighted counts per distinct score, by running sums from the top."""
+    return f"""select {keys}, rep, case when p > 0 and q > 0 then pairs / (p * q) end as auroc, steps / greatest(p, 1) as auprc,
+square / (p + q) as brier, case when p > 0 and q > 0 then lg / (p + q) end as logloss from
+(select {keys}, rep, sum(pos)::double as p, sum(neg)::double as q, sum(neg * (tp - pos / 2.0)) as pairs,
+ sum(pos * tp / (tp + fp)) as steps, sum(pos * (1 - s) * (1 - s) + neg * s * s) as square, -sum(pos * ln(s) + neg * ln(1 - s)) as lg
+ from (select *, sum(pos) over w as tp, sum(neg) over w as fp from (select {keys}, rep, s, sum(w * y_true)::double as pos,
+  sum(w * (1 - y_true))::double as neg from (select *, greatest(1e-12::double, least(1 - 1e-12::double, score)) as s from {rel})
+  join drawn on id = subject_id group by all)
+  window w as (partition by {keys}, rep order by s desc rows between unbounded preceding and current row)) group by {keys}, rep)"""
 
 
-BOOT = f"""boot as (select * from (select *, len([c for c in [{', '.join(repr(c) + '::double' for c in poisson_cdf())}]
-if c <= u]) as w from (select *, {UNIFORM} as u from grouped, range({REPLICATES}) r(rep))), lateral
-(select unnest(range(w)) as copy) where w > 0)"""
+def _interval(names, label="_ci") -> str:
+    return ", ".join(f"{R(f'quantile_cont({m}, 0.025)', f'{m}{label}_lo')}, {R(f'quantile_cont({m}, 0.975)', f'{m}{label}_hi')}" for m in names)
 
 
-@query("E16 E17", f"""with {BOOT}, reps as ({metrics_sql('boot', 'variant, group_col, group_val, rep')})
-select variant, group_col, group_val, {', '.join(R(f'quantile_cont({m}, 0.025)', f'{m}_ci_lo') + ', ' +
-R(f'quantile_cont({m}, 0.975)', f'{m}_ci_hi') for m in METRIC_NAMES[:4])} from reps group by 1, 2, 3""")
+@query("E16 E17", f"""with {DRAWN}, reps as ({replicate_metrics_sql('grouped', 'variant, group_col, group_val')})
+select variant, group_col, group_val, {_interval(METRIC_NAMES[:4])} from reps group by 1, 2, 3""")
 def group_metric_intervals(b):
-    return rounded(E.group_metric_intervals(_grouped(b), REPLICATES))
+    return rounded(BS.group_metric_intervals(_grouped(b), REPLICATES))
 
 
-@query("E16 E18", f"""with {RULES_SQL}, {BOOT}, reps as (select *, sens as tpr, 1 - spec as fpr from
-({confusion_sql('boot', 'variant, group_col, group_val, rep')}))
-select variant, group_col, group_val, rule, {', '.join(R(f'quantile_cont({m}, 0.025)', f'{m}_ci_lo') + ', ' +
-R(f'quantile_cont({m}, 0.975)', f'{m}_ci_hi') for m in ('tpr', 'fpr', 'ppv', 'npv', 'f1'))} from reps group by 1, 2, 3, 4""")
+@query("E16 E18", f"""with {RULES_SQL}, {DRAWN}, counts as (select variant, group_col, group_val, rule, rep,
+coalesce(sum(w * y_true) filter (score >= threshold), 0)::double as tp, coalesce(sum(w * (1 - y_true)) filter (score >= threshold), 0)::double as fp,
+coalesce(sum(w * y_true) filter (score < threshold), 0)::double as fn, coalesce(sum(w * (1 - y_true)) filter (score < threshold), 0)::double as tn
+from grouped join drawn on id = subject_id join rules using (variant) group by all),
+reps as (select *, case when tp + fn > 0 then tp / (tp + fn) end as tpr, case when tn + fp > 0 then 1 - tn / (tn + fp) end as fpr,
+case when tp + fp > 0 then tp / (tp + fp) end as ppv, case when tn + fn > 0 then tn / (tn + fn) end as npv,
+case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) end as f1 from counts)
+select variant, group_col, group_val, rule, {_interval(('tpr', 'fpr', 'ppv', 'npv', 'f1'))} from reps group by 1, 2, 3, 4""")
 def group_threshold_intervals(b):
-    return rounded(E.group_threshold_intervals(_grouped(b), _rules(b), REPLICATES))
+    return rounded(BS.group_threshold_intervals(_grouped(b), _rules(b), REPLICATES))
+
+
+@query("E16 E14", f"""with {DRAWN}, {GRID_SQL},
+cells as (select variant, rep, len([g for g in (select list(t order by t) from grid) if g <= score]) as k,
+sum(w * y_true)::double as pos, sum(w * (1 - y_true))::double as neg from long_preds join drawn on id = subject_id group by all),
+sums as (select variant, rep, t, coalesce(sum(pos) filter (k >= i), 0) as tp, coalesce(sum(neg) filter (k >= i), 0) as fp,
+sum(pos + neg) as n from cells, (select t, row_number() over (order by t) as i from grid) group by all),
+reps as (select *, tp / n - fp / n * (t / (1 - t)) as nb_model from sums)
+select variant, {R('t', 'threshold')}, {_interval(['nb_model'], '')} from reps group by 1, 2""")
+def decision_curve_intervals(b):
+    return rounded(BS.decision_curve_intervals(P.long_predictions(b.calibrated()), ["variant"], REPLICATES))
 
 
 # --- explanation --------------------------------------------------------------------------------
