@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import stored
 from .evaluate import metrics
 from .lookups import with_row
 from .ranking import hash_positions
@@ -15,27 +16,23 @@ from .ranking import hash_positions
 LOWER_IS_BETTER = {"brier", "logloss"}
 
 
-def shuffled_values(df: DataFrame, features: Sequence[str], repeats: int, seed: int = 42,
-                    id_col: str = "subject_id") -> DataFrame:
-    """(id, feature, replicate, original, shuffled): values permuted across rows per feature and repeat.
+def shuffled_rows(df: DataFrame, features: Sequence[str], repeats: int, seed: int = 42,
+                  id_col: str = "subject_id") -> DataFrame:
+    """The rows of every repeat with `shuffled`, an array of the features' values of another row.
 
-    The row at position k of one keyed order receives the value of the row at position k of
-    another, so each (feature, repeat) is a true permutation that depends only on the seed.
+    Each repeat puts the rows in one hashed order and turns it by a keyed number of places; a row receives the values
+    of the row that many places on. So every feature is truly permuted, no row keeps its own values by position, and
+    one join on (repeat, place) serves all features. The order depends on the seed and the ids only.
     """
-    keys = ["feature", "replicate"]
-    rows = (
-        df.select(id_col, *[F.col(f).cast("double") for f in features])
-        .unpivot([id_col], list(features), "feature", "value")
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    )
-
-    def ordered(tag: str) -> DataFrame:
-        digest = C.keyed_hash(seed, tag, F.col("feature"), F.col("replicate"), F.col(id_col))
-        return hash_positions(rows.withColumn("__d", digest), keys, "__d", id_col)
-
-    takers = ordered("take").select(id_col, *keys, "pos", F.col("value").alias("original"))
-    givers = ordered("give").select(*keys, "pos", F.col("value").alias("shuffled"))
-    return takers.join(givers, [*keys, "pos"]).drop("pos")
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    digest = C.keyed_hash(seed, "order", F.col("replicate"), F.col(id_col))
+    placed = stored(hash_positions(rows.withColumn("__d", digest), ["replicate"], "__d", id_col).drop("__d"), "shuffled")
+    turn = C.hash_word(C.keyed_hash(seed, "turn", F.col("replicate")))
+    n = F.col("n_all")
+    on = F.when(n > 1, 1 + turn % F.greatest(n - 1, F.lit(1))).otherwise(0)
+    givers = placed.select("replicate", (F.pmod(F.col("pos") - 1 - on, n) + 1).alias("pos"), values.alias("shuffled"))
+    return placed.join(givers, ["replicate", "pos"]).drop("pos", "n_all")
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], rescore: Callable[[DataFrame], DataFrame],
@@ -45,10 +42,13 @@ def permutation_importance(df: DataFrame, features: Sequence[str], rescore: Call
 
     `df` holds the features, y_true and the base `score`. `rescore` turns rows carrying
     (feature, original, shuffled) into rows with a new `score`; all features and repeats go
-    through it in one run.
+    through it in one run, and what is shuffled after it is counts per distinct score.
     """
-    rows = shuffled_values(df, features, repeats, seed, id_col).join(df, id_col)
-    changed = metrics(rescore(rows).select("feature", "replicate", "y_true", "score"), ["feature", "replicate"])
+    rows = shuffled_rows(df, features, repeats, seed, id_col)
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("original"),
+                              F.col("shuffled")[i].alias("shuffled")) for i, f in enumerate(features)])
+    swaps = rows.withColumn("__swap", F.explode(each)).drop("shuffled").select("*", "__swap.*").drop("__swap")
+    changed = metrics(rescore(swaps).select("feature", "replicate", "y_true", "score"), ["feature", "replicate"])
     base = metrics(df.select("y_true", "score"), []).select(F.col(metric).alias("base"))
     sign = -1.0 if metric in LOWER_IS_BETTER else 1.0
     drop = with_row(changed, base).withColumn("drop", F.lit(sign) * (F.col("base") - F.col(metric)))

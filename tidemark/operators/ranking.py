@@ -164,11 +164,16 @@ def order_statistics(df: DataFrame, value: str, positions: dict[str, Column],
 
 
 def hash_positions(df: DataFrame, keys: Sequence[str], digest: str, tie: str,
-                   out: str = "pos", total: str = "n_all", digits: int = 3) -> DataFrame:
+                   out: str = "pos", total: str = "n_all", piece_rows: int = 200_000) -> DataFrame:
     """Position (1-based) of each row in the order of a hex digest, and the row count, per key.
 
-    Leading hex digits of a digest are uniform, so 16**digits pieces balance by construction.
+    Leading hex digits of a digest are uniform, so 16**digits pieces balance by construction; the rows are counted to
+    take as many digits as keep a piece near piece_rows.
     """
+    digits = 1
+    rows = df.count()
+    while rows > piece_rows * 16**digits:
+        digits += 1
     keys = list(keys)
     cut = df.withColumn("__piece", F.substring(digest, 1, digits))
     whole = Window.partitionBy(*keys)

@@ -673,22 +673,37 @@ def decision_curve_intervals(b):
 
 # --- explanation --------------------------------------------------------------------------------
 
-PERMUTED = f"""{LINEAR}, fr as (select subject_id, feature, value, rep from (select subject_id, f_signal, f_lines from lin)
-unpivot (value for feature in (f_signal, f_lines)), range(3) r(rep)),
-take as (select *, row_number() over (partition by feature, rep order by md5('42:take:' || feature || ':' || rep || ':' || subject_id)) as k from fr),
-give as (select feature as gf, rep as gr, value as shuffled, row_number() over (partition by feature, rep
-order by md5('42:give:' || feature || ':' || rep || ':' || subject_id)) as gk from fr),
-moved as (select t.feature, t.rep, y_true, 1 / (1 + exp(-round(margin + case t.feature when 'f_signal' then 4.0::double
-else -0.25037::double end * (shuffled - value), 12))) as score from take t join give on gf = feature and gr = rep and gk = k
-join lin using (subject_id))"""
+#: A linear model over every usable feature, absent values being 0.
+WIDE_COEF = {"f_price": 1.5e-6, "f_lines": -0.25037, "f_qty": 0.0102, "f_disc": 3.1, "f_tax": -2.3, "f_urgent": 0.4, "f_signal": 4.0}
+WIDE_MARGIN = "round(-2.0::double + " + " + ".join(f"({c!r}::double) * {f}" for f, c in WIDE_COEF.items()) + ", 12)"
 
 
-@query("E22", f"""with {PERMUTED}, base as ({metrics_sql('lin', '')}), per as ({metrics_sql('moved', 'feature, rep')})
+def _wide_rows(b: Bindings):
+    rows = _fold(b.matrix(), "test").select("subject_id", F.col("y").alias("y_true"), *[
+        F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in WIDE_COEF])
+    margin = F.lit(-2.0)
+    for f, c in WIDE_COEF.items():
+        margin = margin + F.lit(c) * F.col(f)
+    return rows.withColumn("margin", F.round(margin, 12)).withColumn("score", C.sigmoid("margin"))
+
+
+PERMUTED = f"""wide as (select *, 1 / (1 + exp(-margin)) as score from (select *, {WIDE_MARGIN} as margin from
+(select subject_id, y as y_true, {', '.join(f'coalesce({f}, 0) as {f}' for f in WIDE_COEF)} from matrix where fold = 'test'))),
+placed as (select w.*, rep, count(*) over (partition by rep) as n, row_number() over (partition by rep
+ order by md5('42:order:' || rep || ':' || subject_id), subject_id) as pos from wide w, range(10) r(rep)),
+turned as (select *, (pos - 1 - (1 + ('0x' || substr(md5('42:turn:' || rep), 1, 8))::bigint % (n - 1)) + n) % n + 1 as to_pos from placed),
+swaps as (select t.rep, t.y_true, t.margin, feature, old, new from
+ (select rep, pos, y_true, margin, feature, old from placed unpivot (old for feature in ({', '.join(WIDE_COEF)}))) t
+ join (select rep as gr, to_pos, gf, new from turned unpivot (new for gf in ({', '.join(WIDE_COEF)}))) on gr = rep and to_pos = pos and gf = feature),
+moved as (select feature, rep, y_true, 1 / (1 + exp(-round(margin + case feature {' '.join(f"when '{f}' then ({c!r}::double)" for f, c in WIDE_COEF.items())}
+ end * (new - old), 12))) as score from swaps)"""
+
+
+@query("E22", f"""with {PERMUTED}, base as ({metrics_sql('wide', '')}), per as ({metrics_sql('moved', 'feature, rep')})
 select feature, {R('avg(base.auprc - per.auprc)', 'perm_importance_mean')},
 {R('stddev_pop(base.auprc - per.auprc)', 'perm_importance_std')} from per, base group by 1""")
 def permutation_importance(b):
-    rows = _linear_rows(b)
-    return rounded(X.permutation_importance(rows, list(COEF), X.linear_rescore(COEF), "auprc", repeats=3))
+    return rounded(X.permutation_importance(_wide_rows(b), list(WIDE_COEF), X.linear_rescore(WIDE_COEF), "auprc"))
 
 
 @query("E23", f"""with {LINEAR}, m as (select avg(f_signal) as ms, avg(f_lines) as ml from lin_all where fold = 'val')
