@@ -86,7 +86,6 @@ def test_audit_of_nothing(spark, nothing):
 
 @pytest.mark.parametrize("letters", ["A", "AB", "XYZ"])
 def test_walks_are_permutations(spark, letters):
-    masks = spark.createDataFrame([(0,), (1,)], "mask int")
-    walked = filter_audit.walk_orders(masks, letters).collect()
+    walked = filter_audit.walk_orders(spark, [0, 1], letters).collect()
     want = Counter("".join(p) for n in range(1, len(letters) + 1) for p in permutations(letters, n))
     assert Counter(r["prefix"] for r in walked) == Counter({k: 2 * v for k, v in want.items()})

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -81,11 +81,12 @@ def mask_cells(failed: DataFrame, labels: DataFrame) -> DataFrame:
 #: A prefix of an order is extended by each filter it lacks. Every level carries the bits applied before it, and says
 #: of each cell what the new filter does with it.
 _WALK = """
-with recursive walk(prefix, step, applied, bit, mask) as (
-    select cast('' as string), 0, 0, 0, mask from {masks}
+with recursive filters(letter, bit) as (values {filters}),
+walk(prefix, step, applied, bit, mask) as (
+    select cast('' as string), 0, 0, 0, mask from values {masks} as cells(mask)
     union all
-    select concat(w.prefix, f.letter), w.step + 1, w.applied | w.bit, f.bit, w.mask
-    from walk w join {filters} f on ((w.applied | w.bit) & f.bit) = 0 and w.step < {k})
+    select /*+ broadcast(f) */ concat(w.prefix, f.letter), w.step + 1, w.applied | w.bit, f.bit, w.mask
+    from walk w join filters f on ((w.applied | w.bit) & f.bit) = 0 and w.step < {k})
 select prefix, step, mask,
        cast((mask & (applied | bit)) = 0 as int) as kept,
        cast((mask & applied) = 0 and (mask & bit) <> 0 as int) as removed,
@@ -95,15 +96,15 @@ from walk where step > 0
 """
 
 
-def walk_orders(masks: DataFrame, letters: str) -> DataFrame:
+def walk_orders(spark: SparkSession, masks: list[int], letters: str) -> DataFrame:
     """prefix, step, mask, and as 0 or 1: kept, removed, redundant, unique_fails, for every prefix of every order.
 
-    masks has one row for each set of failures that occurs, at most two to the number of filters. Up to six filters
-    stay below the million rows that Spark allows a recursion.
+    masks are the sets of failures that occur, at most two to the number of filters. Up to six filters stay below the
+    million rows that Spark allows a recursion.
     """
-    spark = masks.sparkSession
-    filters = spark.createDataFrame([(c, 1 << i) for i, c in enumerate(letters)], "letter string, bit int")
-    return spark.sql(_WALK.replace("{k}", str(len(letters))), masks=masks.select("mask"), filters=filters)
+    filters = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate(letters))
+    cells = ", ".join(f"({m})" for m in masks) or "(0)"
+    return spark.sql(_WALK.format(filters=filters, masks=cells, k=len(letters)))
 
 
 def audit(cells: DataFrame, letters: str) -> DataFrame:
@@ -113,7 +114,8 @@ def audit(cells: DataFrame, letters: str) -> DataFrame:
     all orders that begin with it. shapley is a filter's removed, summed over all orders. No cells give no rows.
     """
     cells = stored(cells, "cells")
-    walked = stored(walk_orders(cells.select("mask").distinct(), letters), "walk")
+    masks = sorted(r["mask"] for r in cells.select("mask").distinct().collect())
+    walked = stored(walk_orders(cells.sparkSession, masks, letters), "walk")
     flags = ("kept", "removed", "redundant", "unique_fails")
     sums = [F.sum(F.col(f) * F.col("n")).alias(f) for f in flags]
     sums += [F.sum(F.col("removed") * F.col(c)).alias(f"{c}_lost") for c in ("good", "toxic")]
