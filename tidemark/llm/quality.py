@@ -61,96 +61,114 @@ def features(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad (0) at or over one bound of a ratio, good (1) at or under another, else abstains."""
+    """Speaks for one side only: votes bad (0) or good (1) where its condition holds, else abstains (-1)."""
 
     name: str
-    top: str
-    bottom: str
-    good: float
-    bad: float
-    least: int = 0
+    side: int
+    holds: Column
 
     def vote(self) -> Column:
-        ratio = F.col(self.top) / F.greatest(F.col(self.bottom), F.lit(1))
-        said = F.when(ratio >= self.bad, 0).when(ratio <= self.good, 1)
-        return F.coalesce(F.when(F.col(self.bottom) >= self.least, said), F.lit(-1)).cast("int")
+        return F.when(self.holds, self.side).otherwise(-1).cast("int")
 
 
-#: Each compares one count with another; a text too short for a rule makes it abstain.
-RULES = (
-    Rule("symbols", "n_symbols", "n_words", 0.05, 0.20),
-    Rule("exclamations", "n_bangs", "n_words", 0.05, 0.30),
-    Rule("capitals", "n_upper", "n_letters", 0.15, 0.40, 20),
-    Rule("repeated_words", "n_repeat_words", "n_words", 0.15, 0.35, 20),
-    Rule("repeated_lines", "n_dup_lines", "n_words", 0.004, 0.02, 20),
-    Rule("word_length", "word_chars", "n_words", 9.0, 14.0, 20),
-)
+def _ratio(top: str, bottom: str) -> Column:
+    return F.col(top) / F.greatest(F.col(bottom), F.lit(1))
+
+
+def standard_rules() -> tuple[Rule, ...]:
+    """Markup symbols, shouting, repetition and overlong words speak against a text, plain varied words for it.
+
+    What nearly always fires together is one rule: exclamation marks and capitals, repeated words and repeated lines.
+    """
+    some = F.col("n_words") >= 20
+    shouted = (_ratio("n_bangs", "n_words") >= 0.30) | ((F.col("n_letters") >= 20) & (_ratio("n_upper", "n_letters") >= 0.40))
+    repeated = (_ratio("n_repeat_words", "n_words") >= 0.35) | (_ratio("n_dup_lines", "n_words") >= 0.03)
+    plain = (_ratio("n_distinct", "n_words") >= 0.5) & (_ratio("n_symbols", "n_words") <= 0.02) & (_ratio("n_upper", "n_letters") <= 0.10)
+    return (Rule("symbols", 0, _ratio("n_symbols", "n_words") >= 0.20),
+            Rule("shouting", 0, some & shouted),
+            Rule("repetition", 0, some & repeated),
+            Rule("long_words", 0, some & (_ratio("word_chars", "n_words") >= 14)),
+            Rule("plain", 1, some & plain & (_ratio("n_repeat_words", "n_words") <= 0.15)))
+
+
+#: A vote counts as right for this share of its number before anything is learned, so votes are trusted unless
+#: others contradict them, at any size of the corpus.
+TRUST = 0.25
 
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Share of good documents, and for each rule its distribution of votes given bad and given good."""
+    """Share of good documents, each rule's rate of voting on bad and on good ones, and its weight."""
 
     prior: float
-    given: tuple  # per rule: ((abstain, bad, good) given bad, the same given good)
+    rates: tuple  # per rule: (given bad, given good)
+    weights: tuple
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 1.0) -> VoteModel:
+def vote_weights(patterns: np.ndarray, counts: np.ndarray, sides: list[int]) -> np.ndarray:
+    """One divided by the number of rules of a rule's side that vote along with it, on average, itself included.
+
+    Rules that fire together thus share one vote instead of confirming each other.
+    """
+    spoken = (patterns >= 0).astype(float)
+    both = spoken.T @ (spoken * counts[:, None])
+    alike = np.equal.outer(sides, sides)
+    own = np.maximum(np.diag(both), 1e-12)
+    return np.where(np.diag(both) > 0, own / np.maximum((both * alike).sum(1), 1e-12), 1.0)
+
+
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, sides: list[int], rounds: int = 200, smooth: float = 1.0) -> VoteModel:
     """Expectation-maximisation over patterns of votes (-1, 0, 1) and how many documents have each.
 
-    Starts from the share of good votes among all votes. Counts are smoothed, and a rule is never allowed to be
-    worse than chance, so good and bad can't change places. No pattern at all gives even odds.
+    Starts from each document's votes, by count; a document without any is even. A rule that votes is right with
+    TRUST, so the classes can't change places and one group of documents can't claim a class for itself. No pattern at
+    all gives even odds.
     """
-    k = patterns.shape[1]
+    sides = list(sides)
+    weights = vote_weights(patterns, counts, sides)
     if not counts.sum():
-        even = (1 / 3, 1 / 3, 1 / 3)
-        return VoteModel(0.5, tuple((even, even) for _ in range(k)))
-    good_votes, bad_votes = (patterns == 1).sum(1), (patterns == 0).sum(1)
-    p = (good_votes + 1.0) / (good_votes + 3.0 * bad_votes + 2.0)
-    given = np.zeros((k, 2, 3))
-    prior = 0.5
+        return VoteModel(0.5, tuple((0.5, 0.5) for _ in sides), tuple(weights.tolist()))
+    spoken = patterns >= 0
+    good, bad = (patterns == 1).sum(1), (patterns == 0).sum(1)
+    p = (good + 0.5) / (good + 4.0 * bad + 1.0)
+    votes = (spoken * counts[:, None]).sum(0)
+    rates, prior = np.zeros((len(sides), 2)), 0.5
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - p), counts * p])
-        prior = float(np.clip((weight[1].sum() + smooth) / (counts.sum() + 2 * smooth), 0.02, 0.98))
-        for r in range(k):
-            for v in (-1, 0, 1):
-                given[r, :, v + 1] = weight[:, patterns[:, r] == v].sum(1) + smooth
-            given[r] /= given[r].sum(1, keepdims=True)
-            for v, better in ((0, 0), (1, 1)):
-                if given[r, better, v + 1] < given[r, 1 - better, v + 1]:
-                    given[r, :, v + 1] = given[r, :, v + 1].mean()
-            given[r] /= given[r].sum(1, keepdims=True)
-        log = np.zeros((2, len(patterns)))
-        for r in range(k):
-            log += np.log(given[r][:, patterns[:, r] + 1])
-        odds = np.log(prior / (1 - prior)) + log[1] - log[0]
-        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        share = np.stack([counts * (1 - p), counts * p])
+        prior = float(np.clip((share[1].sum() + smooth) / (counts.sum() + 2 * smooth), 0.02, 0.98))
+        for z in (0, 1):
+            trusted = TRUST * votes * (np.array(sides) == z)
+            rates[:, z] = (share[z] @ spoken + trusted + smooth) / (share[z].sum() + trusted + 2 * smooth)
+        new = 1 / (1 + np.exp(-np.clip(_odds(prior, rates, weights, spoken), -500, 500)))
         settled = np.abs(new - p).max() < 1e-12
         p = new
         if settled:
             break
-    return VoteModel(prior, tuple(tuple(map(tuple, g.tolist())) for g in given))
+    return VoteModel(prior, tuple(map(tuple, rates.tolist())), tuple(weights.tolist()))
+
+
+def _odds(prior: float, rates: np.ndarray, weights: np.ndarray, spoken: np.ndarray) -> np.ndarray:
+    """Log-odds of good. Only votes count: a rule that abstains has said nothing for either side."""
+    return np.log(prior / (1 - prior)) + spoken @ (weights * np.log(rates[:, 1] / rates[:, 0]))
 
 
-def votes(measured: DataFrame, rules=RULES) -> DataFrame:
+def votes(measured: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return measured.withColumns({f"vote_{r.name}": r.vote() for r in rules})
 
 
-def vote_patterns(voted: DataFrame, rules=RULES) -> tuple[np.ndarray, np.ndarray]:
-    """Every pattern of votes with its number of documents: at most three to the number of rules."""
+def vote_patterns(voted: DataFrame, rules: tuple[Rule, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Every pattern of votes with its number of documents: at most two to the number of rules."""
     names = [f"vote_{r.name}" for r in rules]
     rows = sorted(voted.groupBy(*names).count().collect())
     table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, len(names) + 1)
     return table[:, :-1], table[:, -1]
 
 
-def posterior(model: VoteModel, rules=RULES) -> Column:
+def posterior(model: VoteModel, rules: tuple[Rule, ...]) -> Column:
     """Probability that a document with these votes is good."""
     odds = F.lit(float(np.log(model.prior / (1 - model.prior))))
-    for rule, (bad, good) in zip(rules, model.given):
-        step = [float(np.log(g / b)) for b, g in zip(bad, good)]
-        vote = F.col(f"vote_{rule.name}")
-        odds = odds + F.when(vote == 0, step[1]).when(vote == 1, step[2]).otherwise(step[0])
+    for rule, (bad, good), weight in zip(rules, model.rates, model.weights):
+        odds = odds + F.when(F.col(f"vote_{rule.name}") >= 0, weight * float(np.log(good / bad))).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -158,7 +176,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, FEATURES, votes, base_failed, quality (posterior probability of good) and kept.
 
     One row per input row. Rules vote on every document; the model is fitted to the counts of all patterns of
@@ -167,7 +185,8 @@ def judge(docs: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """
     from ..session import stored
 
+    rules = rules or standard_rules()
     voted = stored(votes(features(docs), rules), "votes")
-    model = fit_votes(*vote_patterns(voted, rules))
+    model = fit_votes(*vote_patterns(voted, rules), [r.side for r in rules])
     scored = voted.withColumn("quality", posterior(model, rules)).withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
