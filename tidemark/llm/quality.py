@@ -105,32 +105,47 @@ class VoteModel:
     weights: tuple
 
 
-def vote_weights(patterns: np.ndarray, counts: np.ndarray, sides: list[int]) -> np.ndarray:
-    """One divided by the number of rules of a rule's side that vote along with it, on average, itself included.
+def vote_weights(patterns: np.ndarray, counts: np.ndarray, sides: list[int], p: np.ndarray) -> np.ndarray:
+    """A rule's weight: one over one plus the share of its votes that other rules of its side repeat.
 
-    Rules that fire together thus share one vote instead of confirming each other.
+    Two rules repeat each other where they vote together more often than rules that are independent within either
+    class (p: a pattern's probability of good) would; a copy of a rule repeats all of its votes. Rules that only agree
+    about the truth keep their weight.
     """
     spoken = (patterns >= 0).astype(float)
     both = spoken.T @ (spoken * counts[:, None])
-    alike = np.equal.outer(sides, sides)
-    own = np.maximum(np.diag(both), 1e-12)
-    return np.where(np.diag(both) > 0, own / np.maximum((both * alike).sum(1), 1e-12), 1.0)
+    chance = np.zeros_like(both)
+    for part in (counts * (1 - p), counts * p):
+        mine = part @ spoken
+        chance += np.outer(mine, mine) / max(part.sum(), 1e-12)
+    number = np.maximum(np.diag(both), 1e-12)
+    most = np.minimum.outer(number, number)
+    shared = np.clip((both - chance) / np.maximum(most - chance, 1e-12), 0, 1) * most * np.equal.outer(sides, sides)
+    np.fill_diagonal(shared, 0.0)
+    return 1 / (1 + shared.sum(1) / number)
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, sides: list[int], rounds: int = 200, smooth: float = 1.0) -> VoteModel:
     """Expectation-maximisation over patterns of votes (-1, 0, 1) and how many documents have each.
 
     Starts from each document's votes, by count; a document without any is even. A rule that votes is right with
-    TRUST, so the classes can't change places and one group of documents can't claim a class for itself. No pattern at
-    all gives even odds.
+    TRUST, so the classes can't change places and one group of documents can't claim a class for itself. It runs with
+    the weights that follow from the start, and again with those that follow from the first result. No pattern at all
+    gives even odds.
     """
     sides = list(sides)
-    weights = vote_weights(patterns, counts, sides)
     if not counts.sum():
-        return VoteModel(0.5, tuple((0.5, 0.5) for _ in sides), tuple(weights.tolist()))
-    spoken = patterns >= 0
+        return VoteModel(0.5, tuple((0.5, 0.5) for _ in sides), tuple(1.0 for _ in sides))
     good, bad = (patterns == 1).sum(1), (patterns == 0).sum(1)
-    p = (good + 0.5) / (good + 4.0 * bad + 1.0)
+    start = p = (good + 0.5) / (good + 4.0 * bad + 1.0)
+    for _ in range(2):
+        weights = vote_weights(patterns, counts, sides, p)
+        prior, rates, p = _settle(patterns, counts, sides, weights, start, rounds, smooth)
+    return VoteModel(prior, tuple(map(tuple, rates.tolist())), tuple(weights.tolist()))
+
+
+def _settle(patterns, counts, sides, weights, p, rounds: int, smooth: float) -> tuple[float, np.ndarray, np.ndarray]:
+    spoken = patterns >= 0
     votes = (spoken * counts[:, None]).sum(0)
     rates, prior = np.zeros((len(sides), 2)), 0.5
     for _ in range(rounds):
@@ -139,16 +154,18 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, sides: list[int], rounds
         for z in (0, 1):
             trusted = TRUST * votes * (np.array(sides) == z)
             rates[:, z] = (share[z] @ spoken + trusted + smooth) / (share[z].sum() + trusted + 2 * smooth)
-        new = 1 / (1 + np.exp(-np.clip(_odds(prior, rates, weights, spoken), -500, 500)))
+        silence = ~spoken @ (weights * np.log((1 - rates[:, 1]) / (1 - rates[:, 0])))
+        new = 1 / (1 + np.exp(-np.clip(_odds(prior, rates, weights, spoken) + silence, -500, 500)))
         settled = np.abs(new - p).max() < 1e-12
         p = new
         if settled:
             break
-    return VoteModel(prior, tuple(map(tuple, rates.tolist())), tuple(weights.tolist()))
+    return prior, rates, p
 
 
 def _odds(prior: float, rates: np.ndarray, weights: np.ndarray, spoken: np.ndarray) -> np.ndarray:
-    """Log-odds of good. Only votes count: a rule that abstains has said nothing for either side."""
+    """Log-odds of good by what was voted. Rates are learned from votes and silence, but no document is judged for
+    silence: one without a vote has the odds of the corpus."""
     return np.log(prior / (1 - prior)) + spoken @ (weights * np.log(rates[:, 1] / rates[:, 0]))
 
 
