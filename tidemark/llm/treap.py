@@ -15,11 +15,10 @@ from ..session import stored
 from .rows import pick
 
 #: A term is a run of ASCII letters and digits, A-Z lower-cased, and of anything beyond ASCII.
-TERM_PATTERN = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _KEPT = {*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)}
 _FOLDED = bytes((c + 32 if 65 <= c <= 90 else c) if c in _KEPT else 32 for c in range(256))
 #: A shard ends with the document that brings it to this many terms, repeats included, or this many documents.
-SHARD_TERMS, SHARD_DOCS = 2_000_000, 60_000
+SHARD_TERMS, SHARD_DOCS = 1_500_000, 60_000
 #: Item terms that are sent to every task that reads a dictionary; more of them are joined by a shuffle.
 SENT_TERMS = 100_000
 #: Item terms in a block of items that is answered together.
@@ -187,6 +186,14 @@ def _shard(ids: list, sizes: list, tokens: list, vocabulary: list[bytes], docume
     return [ids[i] for i in layout], packed, [vocabulary[i] for i in by], df[by]
 
 
+def _count(batches):
+    """Documents with terms, and their terms, of each batch."""
+    for batch in batches:
+        sizes = [len(terms_of(t.as_py() or b"")) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in sizes)]), pa.array([sum(sizes)], pa.int64())],
+                                         ["documents", "terms"])
+
+
 _INDEX = ("shard long, doc_ids array<long>, height int, quads binary, tops binary, points_row binary, "
           "points_column binary, terms array<binary>, df array<long>")
 _TREAP = ["shard", "doc_ids", "height", "quads", "tops", "points_row", "points_column"]
@@ -208,8 +215,9 @@ def build(docs: DataFrame, shard_terms: int = SHARD_TERMS, shard_docs: int = SHA
     gathers anywhere. Repeated ids are documents of their own; a null id is kept as such.
     """
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    count = F.coalesce(F.regexp_count("text", F.lit(TERM_PATTERN)), F.lit(0)).cast("long")
-    documents, terms = rows.select(count.alias("n")).agg(F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows = rows.select("doc_id", F.col("text").cast("binary"))
+    documents, terms = rows.select("text").mapInArrow(_count, "documents long, terms long").agg(
+        F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
 
     def run(batches):
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -245,7 +253,7 @@ def build(docs: DataFrame, shard_terms: int = SHARD_TERMS, shard_docs: int = SHA
         if ids:
             yield finish()
 
-    shards = rows.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, _INDEX)
+    shards = rows.mapInArrow(run, _INDEX)
     return Index(stored(shards, "treaps"), documents, terms)
 
 
