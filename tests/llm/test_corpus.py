@@ -37,6 +37,19 @@ def edge_texts():
 # Token counts
 
 
+def test_long_white_space_is_counted():
+    """The same as the encoder's own count where that can count, and a count where it can't."""
+    enc = lengths.encoder(RANKS)
+    for blank in (" ", "\n", "\t", "\u2003", " \n", "\x1c"):
+        for k in (1999, 2000, 2001, 5000):
+            for before, after in (("", ""), ("a b", ""), ("", "c"), ("a b", "c d"), ("a\n", "'s"), ("1", "  2")):
+                text = before + blank * k + after
+                assert lengths.encoded_length(enc, text) == len(enc.encode_ordinary(text)), (blank, k, before, after)
+    long = "x" + " " * 3_000_000 + "\n" * 1_000_000 + "y"
+    assert 0 < lengths.encoded_length(enc, long) < len(long)
+    assert abs(lengths.encoded_length(enc, long + long) - 2 * lengths.encoded_length(enc, long)) <= 2
+
+
 def check_lengths(docs, texts):
     enc = lengths.encoder(RANKS)
     sizes = [len(enc.encode_ordinary(t or "")) for _, t in texts]
@@ -517,14 +530,65 @@ def test_line_dedup_agrees_with_sql(spark, oracle):
 def test_mixing(edges, nothing, spark):
     got = mixing.allocation(edges).collect()
     assert len(got) == edges.count() and all(r["taken"] <= 2 * r["size"] for r in got)
-    assert sorted((r["doc_id"] is None, r["doc_id"], r["taken"]) for r in got if r["doc_id"] is not None) == sorted(
-        (r["doc_id"] is None, r["doc_id"], r["taken"]) for r in mixing.allocation(edges.repartition(3)).collect()
-        if r["doc_id"] is not None)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, mixing.allocation(edges.repartition(3)).collect()))
     out = mixing.mixed(edges)
     assert out.columns == edges.columns
     assert mixing.allocation(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
+@pytest.mark.parametrize("piece", [20_000, 64])
+def test_equal_rows_are_drawn_one_by_one(spark, monkeypatch, piece):
+    """A thousand equal rows come as near to their target as different ones, and the mix writes what was allocated."""
+    monkeypatch.setattr(mixing, "SLICE", piece)
+    rows = [(i, "v " * 10, "a") for i in range(1000)] + [(7, "w " * 10, "b")] * 1000 + [(8, "w " * 10, "c")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.allocation(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sorted((round(r["target"]), r["n"]) for r in got) == [(8333, 1000), (16667, 1000), (20000, 1000)]
+    assert all(abs(r["taken"] - r["target"]) <= 5 for r in got)
+    out = mixing.mixed(docs)
+    words = {r["source"]: r["words"] for r in out.groupBy("source").agg((10 * F.count("*")).alias("words")).collect()}
+    assert words == {"a": 20000, "b": 8330, "c": 16670}
+
+
+def test_null_ids_have_keys_of_their_own(spark):
+    rows = [(None, f"text number {i}", "s") for i in range(400)] + [(1, "x " * 3600, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = mixing.draw(docs).where("source_size = 1200").collect()
+    taken = [r["copies"] for r in drawn]
+    assert abs(3 * sum(taken) - drawn[0]["target"]) <= 3
+    keys = mixing._units(docs, "mix").where("doc_id is null").select("key").distinct().count()
+    assert keys == 400
+
+
+def test_slices_are_even(spark, monkeypatch):
+    """Documents of unlike weights, sorted by key, spread evenly: no slice holds far more than its share."""
+    monkeypatch.setattr(mixing, "SLICE", 100)
+    rows = [(i, " ".join(f"w{j % (1 + i % 40)}" for j in range(40)), "s") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    units = mixing._units(docs, "mix")
+    above = F.aggregate("mixture", F.lit(0.0), lambda s, x: s + x["p"] * F.exp(-x["w"] * F.col("key")))
+    cells = units.join(mixing._mixture(units), ["no_source", "source"]).groupBy(F.floor((1 - above) * 100).alias("slice")).count().collect()
+    assert len(cells) >= 99 and max(r["count"] for r in cells) < 200
+
+
+def test_mixing_agrees_with_sql_on_repeats(spark, oracle):
+    """The registered SQL and the query agree where rows and null ids repeat."""
+    import duckdb
+    import tempfile
+
+    from compare import difference
+
+    folder = tempfile.mkdtemp()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(9)).unionByName(docs.limit(7).withColumn("doc_id", F.lit(None).cast("long")))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    got, want = queries.op8_mixing(spark, folder).toPandas(), con.execute(queries.ORACLES["op8_mixing"]).df()
+    assert difference(got.astype({"doc_id": "Int64"}), want.astype({"doc_id": "Int64"})) is None
+
+
 def test_hot_source_meets_its_target(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SLICE", 50)
     rows = [(i, "w " * (1 + i * 7 % 13), "big" if i % 3 else f"s{i % 5}") for i in range(1500)]

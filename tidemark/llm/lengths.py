@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,25 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A run of this much white space would make the splitter recurse too deeply, so it is cut out before.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+
+
+def encoded_length(enc: tiktoken.Encoding, text: str) -> int:
+    """Tokens of a text, whatever white space it has.
+
+    The split pattern makes one piece of a run of white space but for its last character, which goes with what
+    follows; at the end of a text all of the run is one piece. A long run is given to the merges as that piece, and
+    the texts between such runs are split as ever.
+    """
+    n = at = 0
+    for run in LONG_BLANK.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : stop]))
+        at = stop
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def length_histogram(docs: DataFrame, path: str) -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length.
 
@@ -37,7 +57,7 @@ def length_histogram(docs: DataFrame, path: str) -> DataFrame:
     def count(batches):
         enc = encoder(path)
         for batch in batches:
-            lengths = [len(enc.encode_ordinary(t.as_py() or "")) for t in batch.column(0)]
+            lengths = [encoded_length(enc, t.as_py() or "") for t in batch.column(0)]
             values, counts = np.unique(np.asarray(lengths, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64))], ["n_tokens", "n"])
 

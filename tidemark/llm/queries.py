@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path, stored
 from . import bpe, filter_audit, grammar, language, lengths, lines, mixing, pseudo_lm, quality, simhash, toxicity, treap, vptree
 from .rows import fold, position
 
@@ -19,7 +20,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, root: str) -> DataFrame:
     """Exact totals, suffix sums and quantiles for every encoded length that occurs."""
     hist = lengths.length_histogram(table(spark, root, "documents"), public_tokenizers.path(RANKS))
-    return lengths.context_table(hist)
+    return lengths.context_table(stored(hist, "lengths"))
 
 
 def op2_line_dedup(spark: SparkSession, root: str) -> DataFrame:
@@ -39,8 +40,6 @@ def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, root: str) -> DataFrame:
-    from ..session import fresh_path
-
     path = fresh_path(spark, "token-files")
     grammar.write_token_files(table(spark, root, "documents"), path, public_tokenizers.path(WORD_BPE))
     return grammar.read_token_files(spark, path, ids=False)
@@ -112,7 +111,9 @@ _WORDS = "[^\\x20\\x09-\\x0D]+"
 
 _MIXING = f"""
 with cut as (select doc_id, source, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as ws,
-                    md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '')) as h from documents),
+                    md5('{mixing.SEED}:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))
+                        || case when nth > 1 then ':' || nth else '' end) as h
+             from (select *, row_number() over (partition by doc_id, text, lang, source, n_chars) as nth from documents)),
 units as (select doc_id, source, len(ws)::bigint as size,
                  -ln((list_sum(list_transform(range(1, 14), lambda i: (instr('0123456789abcdef', substr(h, i, 1)) - 1)
                       * pow(16::double, 13 - i))) + 0.5) / pow(16::double, 13))
