@@ -16,6 +16,8 @@ from .rows import numbered, pick, position
 HIDDEN, WINDOW = 8, 96
 #: Bound of the training sample: different texts per language, and windows per text.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 400, 8
+#: Parts in which a language's hashes are ranked first, so that a common language spreads over tasks.
+SALTS = 64
 STEPS, BATCH, RATE, SEED = 400, 64, 0.02, 5
 #: Windows that are read at once.
 WIDTH = 2048
@@ -193,8 +195,10 @@ def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     known = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull()
                        & F.col("text").rlike("\\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    least = known.select("lang", "h").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
+    least = known.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt")).distinct()
+    for keys in (["lang", "salt"], ["lang"]):  # a salt's smallest hashes hold its share of the language's
+        order = Window.partitionBy(*keys).orderBy("h")
+        least = least.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
     last = least.groupBy("lang").agg(F.max("h").alias("last"))
     chosen = known.join(F.broadcast(last) if last.count() <= 10_000 else last, "lang").where(F.col("h") <= F.col("last"))
     return chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
