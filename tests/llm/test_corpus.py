@@ -391,10 +391,53 @@ def test_token_files(spark, edges, nothing, documents, tmp_path):
     assert grammar.read_token_files(spark, str(tmp_path / "n")).count() == 0
 
 
+def test_no_pair_is_left_that_pays():
+    """Rules are made until no pair within documents occurs four times; copies become few symbols."""
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 40_000, 700)
+    docs = [np.concatenate([rng.integers(0, 40_000, 50), passage, [2]]) for _ in range(9)] + [rng.integers(0, 30, 4000)]
+    ids, n = np.concatenate(docs), np.array([len(d) for d in docs])
+    made = grammar.compress(ids, n, 49_408)
+    block = grammar.Block({**made, "vocab": 49_408, "n_ids": n, "n_symbols": made["n_symbols"]})
+    assert (block.all_ids() == ids).all()
+    pairs, at = Counter(), 0
+    for k in made["n_symbols"]:
+        s = block.symbols[at : at + k].tolist()
+        at += k
+        taken = {}
+        for i, p in enumerate(zip(s, s[1:])):
+            if taken.get(p) != i - 1:  # of three equal symbols only one pair can be replaced
+                pairs[p] += 1
+                taken[p] = i
+    assert max(pairs.values()) < 4
+    assert made["n_symbols"][:9].max() < 70 and block.lengths.max() > 600
+    for doc in (0, 4, 9):
+        assert (block.document(doc) == docs[doc]).all() and (block.span(doc, 17, 333) == docs[doc][17:333]).all()
+
+
+def test_word_encoder_matches_the_library():
+    """Every kind of text, also with few pieces remembered: the same ids as the whole pipeline of the library."""
+    tok, rng = Tokenizer.from_file(WORDS), np.random.default_rng(8)
+    alphabet = [*"abcxyzABCÉÀÍéàíßÿñ", " ", " ", "\n", "\t", ".", ",", "!", "?", "-", "'", "s", "1", "23", "<", "|", ">", "œ", "ſ", "×", "÷",
+                "\u0301", "Σ", "\x00", "\x1c", "\u2003", "日本", "<|endoftext|>", "don't", "it's", "..."]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(600)] + ["", " ", "ÀÍ àí", "a" * 3000]
+    for limit in (grammar.KNOWN_PIECES, 50):
+        enc = grammar.WordEncoder(WORDS)
+        held, grammar.KNOWN_PIECES = grammar.KNOWN_PIECES, limit
+        try:
+            for i in range(0, len(texts), 37):
+                part = texts[i : i + 37]
+                ids, n = enc.encode([t.encode() for t in part])
+                want = [tok.encode(t, add_special_tokens=False).ids for t in part]
+                assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+        finally:
+            grammar.KNOWN_PIECES = held
+
+
 def test_grammar_replaces_runs_without_overlap():
     for vocab in (10, 70_000):
         ids = np.array([1] * 301 + [1, 2] * 200 + [3, 1, 2] * 100)
-        made = grammar.compress(ids, np.array([301, 400, 300]), vocab, rounds=6)
+        made = grammar.compress(ids, np.array([301, 400, 300]), vocab)
         row = made | {"vocab": vocab, "n_ids": [301, 400, 300]}
         assert (grammar.Block(row).all_ids() == ids).all() and sum(made["n_symbols"]) < len(ids) / 5
 

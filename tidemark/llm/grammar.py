@@ -4,31 +4,65 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from .rows import pick, text_key
 
-#: Ids per block, rounds of pair replacement, and the fewest occurrences of a pair that gets a rule.
-BLOCK_IDS, ROUNDS, LEAST = 1_000_000, 4, 8
-#: Symbols of a block fit two bytes where the vocabulary leaves room for this many rules, else four.
-MIN_ROOM = 4_096
-KNOWN_WORDS, KNOWN_BASES = 200_000, 800_000
-#: Letters of ASCII and Latin-1, then marks that are no letters, digits, apostrophes or brackets: the vocabulary
-#: lower-cases such a word and splits it between the two.
-_LETTERS_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:*$%&#|]*)")
+#: Ids per block, and the occurrences of a pair from which it gets a rule, from round to round; the last is repeated
+#: until no pair has as many. A rule takes about eight bytes of a file and saves two at each occurrence, so pairs found
+#: less than four times don't pay.
+BLOCK_IDS, LEAST = 1_000_000, (16, 4)
+#: Pieces of text that a worker remembers.
+KNOWN_PIECES = 800_000
+#: Fixed values of the vocabulary's splitter: digits stand alone, and so do runs of marks; letters are lower-cased. An
+#: apostrophe may take letters with it and a bracket may begin a special token, so neither is among the marks.
+_MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+_PIECES = re.compile(b"(?:[a-z]|\xc3.)+|[0-9]|[" + re.escape(_MARKS) + b"]+", re.DOTALL)
+_RUN = re.compile(b"[" + re.escape(_MARKS) + b"]{2}")
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+_LETTERS_BLANKS = bytes([*range(97, 123), 32, *range(9, 14), *range(128, 256)])
+#: Bytes of texts that may be cut between letters, digits and marks: those, white space, and the Latin-1 letters'.
+_PLAIN = bytes([*range(48, 58), *range(65, 91), *range(97, 123), 32, *range(9, 14), 0xC3, *range(0x80, 0xC0)]) + _MARKS
+#: The vocabulary's symbols for the only bytes of such letters that aren't symbols themselves.
+_SYMBOL_A0, _SYMBOL_AD = chr(322), chr(323)
+
+
+def _is_plain(text: bytes) -> bool:
+    return not text.translate(None, _PLAIN) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
+
+
+def pieces_of(text: bytes) -> list[bytes]:
+    """Parts of a text that the vocabulary neither normalises nor merges across, in order.
+
+    A line of ASCII and Latin-1 letters, digits and marks is lower-cased and cut between those kinds; any other line is
+    cut at white space only.
+    """
+    if not _is_plain(text):
+        lines = text.split(b"\n")
+        return [p for line in lines for p in (pieces_of(line) if _is_plain(line) else line.split())]
+    lowered = text.lower() if text.isascii() else text.decode().lower().encode()
+    if _RUN.search(lowered):
+        return _PIECES.findall(lowered)
+    for c in set(lowered.translate(None, _LETTERS_BLANKS)):
+        lowered = lowered.replace(bytes([c]), b" %c " % c)
+    return lowered.split()
 
 
 class WordEncoder:
-    """Ids of white-space separated words by the tokenizers library, each distinct word encoded once.
+    """Ids of texts by the tokenizers library, each distinct piece encoded once.
 
-    Texts are cut only at ASCII white space, across which the vocabulary neither normalises nor merges. New
-    words of a batch go to the library in one call, with a special token between them to tell their ids apart.
+    New pieces of a batch go to the library together: words of lower-case letters in the symbols of the vocabulary, as
+    they need neither its normaliser nor its splitter and each ends with a token that ends a word; others as they are,
+    with a special token between them to tell their ids apart. A piece's number leads to its ids.
     """
 
     def __init__(self, path: str):
@@ -39,77 +73,84 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         special = sorted((i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special)
         self.mark, self.mark_text = special[0] if special else (None, None)
-        self.vocab, self.known, self.bases, self.marks = size, {}, {}, {b"": b""}
+        self.letters = Tokenizer(self.tok.model)
+        self.letters.pre_tokenizer = CharDelimiterSplit(" ")
         suffix = getattr(self.tok.model, "end_of_word_suffix", None)
         self.ends_word = np.array([(self.tok.id_to_token(i) or "").endswith(suffix) for i in range(size)]) if suffix else None
-
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _call(self, joined: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
-
-    def _cut(self, ids: np.ndarray, ends: np.ndarray, gap: int) -> list[bytes]:
-        """The ids between cuts as bytes; gap ids lie between one part and the next."""
-        flat = ids.astype(self.kind)
-        return [flat[a:b].tobytes() for a, b in zip([0, *(ends[:-1] + gap).tolist()], ends.tolist())]
-
-    def _any(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of any kind: one call, with a special token between them."""
-        texts = [w.decode("utf-8", "replace") for w in words]
+        self.vocab = size
+        self.known = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.ids, self.starts, self.sizes = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.used = 0
+
+    def _call(self, tok: Tokenizer, text: str) -> np.ndarray:
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _any(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers for pieces of any kind: one call, with a special token between them."""
+        texts = [p.decode("utf-8", "replace") for p in pieces]
         if self.mark is not None:
-            ids = self._call(self.mark_text.join(texts))
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            if len(ends) == len(words):
-                return self._cut(ids, ends, 1)
-        return list(map(self._one, texts))
-
-    def _letters(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of letters only, each of which ends with one token that ends a word: one plain call."""
+            ids = self._call(self.tok, self.mark_text.join(texts))
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(pieces) - 1:
+                return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+        each = [self._call(self.tok, t) for t in texts]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of lower-case Latin letters."""
         if self.ends_word is not None:
-            ids = self._call(b" ".join(words).decode())
+            symbols = b" ".join(words).decode("latin-1").replace("\xa0", _SYMBOL_A0).replace("\xad", _SYMBOL_AD)
+            ids = self._call(self.letters, symbols)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(words):
-                return self._cut(ids, ends, 0)
+                return ids, np.diff(ends, prepend=0)
         return self._any(words)
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words. Latin letters with marks after them are two words that occur in many others."""
-        plain, other, bases = [], [], set()
-        for w in words:
-            m = _LETTERS_MARKS.fullmatch(w)
-            if m is None:
-                other.append(w)
-            else:
-                base = m[1].lower() if m[1].isascii() else m[1].decode().lower().encode()
-                plain.append((w, base, m[2]))
-                bases.add(base)
-        new_bases = bases.difference(self.bases)
-        for found, learn, new in ((self.bases, self._letters, new_bases), (self.marks, self._any, {m for _, _, m in plain}),
-                                  (self.known, self._any, other)):
-            new = [w for w in new if w not in found]
-            for i in range(0, len(new), 1_000):
-                found.update(zip(new[i : i + 1_000], learn(new[i : i + 1_000])))
-        known, of, marks = self.known, self.bases, self.marks
-        for w, base, mark in plain:
-            known[w] = of[base] + marks[mark]
-        if len(self.bases) > KNOWN_BASES:
-            for base in new_bases:
-                del self.bases[base]
-        if len(self.marks) > KNOWN_WORDS:
-            self.marks = {b"": b""}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as bytes."""
-        split = [t.split() for t in texts]
-        known = self.known
-        new = list(set().union(*split).difference(known)) if split else []
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > KNOWN_WORDS:
-            for w in new:
-                del known[w]
-        return out
+    def _learn(self, first: int) -> None:
+        """Ids of the pieces numbered from `first` on, in their order."""
+        new = list(islice(reversed(self.known), len(self.known) - first))[::-1]
+        word = np.array([_LETTERS.fullmatch(p) is not None for p in new])
+        sizes = np.zeros(len(new), np.int64)
+        found = []
+        for which, learn in ((np.flatnonzero(word), self._words), (np.flatnonzero(~word), self._any)):
+            for i in range(0, len(which), 2_000):
+                part = which[i : i + 2_000]
+                ids, n = learn([new[k] for k in part])
+                sizes[part] = n
+                found.append((part, ids, n))
+        starts = self.used + np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.known) > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        for part, ids, n in found:
+            self.ids[_spans(starts[part], n)] = ids
+        self.starts[first : first + len(new)], self.sizes[first : first + len(new)] = starts, sizes
+        self.used += total
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        first, used = len(self.known), self.used
+        cut = [pieces_of(t) for t in texts]
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        if len(self.known) > first:
+            self._learn(first)
+        n = self.sizes[number]
+        ids = self.ids[_spans(self.starts[number], n)]
+        ends = np.append(0, np.cumsum(n))[np.cumsum([len(c) for c in cut])]
+        if len(self.known) > KNOWN_PIECES:
+            for piece in list(islice(reversed(self.known), len(self.known) - first)):
+                del self.known[piece]
+            self.used = used
+        return ids, np.diff(ends, prepend=0)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each span, one span after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -117,25 +158,24 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _replace(symbols: np.ndarray, last: np.ndarray, base: int, top: int):
-    """One round: the most frequent pairs become new symbols from base on; None if no pair is frequent.
+def _replace(symbols: np.ndarray, last: np.ndarray, base: int, least: int, places: np.ndarray | None = None):
+    """One round: the pairs found at least `least` times at these places (all, if None) become new symbols from base on.
 
-    Pairs are sorted together with their positions, so a frequent pair's places lie side by side.
+    Returns symbols, last, rules and the places to look at in the next round, or None if no pair is found. Pairs are
+    sorted together with their positions, so a pair's places lie side by side.
     """
     half, room = np.uint64((base - 1).bit_length()), np.uint64(64 - 2 * (base - 1).bit_length())
-    inside = np.flatnonzero(~last[:-1])
-    if len(inside) < LEAST or len(symbols) >> int(room):  # a pair and its position must share one number
+    inside = np.flatnonzero(~last[:-1]) if places is None else places[~last[places]]
+    if len(inside) < least or len(symbols) >> int(room):  # a pair and its position must share one number
         return None
     wide = symbols.astype(np.uint64)
     ordered = np.sort(((wide[inside] << half | wide[inside + 1]) << room) | inside.astype(np.uint64))
     key = ordered >> room
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     counts = np.diff(np.append(starts, len(key)))
-    often = np.flatnonzero(counts >= LEAST)
+    often = np.flatnonzero(counts >= least)
     if not len(often):
         return None
-    if len(often) > top:
-        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:top]])
     pairs = key[starts[often]]
     chosen = np.zeros(len(counts), bool)
     chosen[often] = True
@@ -144,40 +184,73 @@ def _replace(symbols: np.ndarray, last: np.ndarray, base: int, top: int):
     met = np.sort(at << rank_bits | np.repeat(np.arange(len(often), dtype=np.uint64), counts[often]))
     at = (met >> rank_bits).astype(np.int64)
     rank = (met & ((np.uint64(1) << rank_bits) - np.uint64(1))).astype(np.int64)
-    # Pairs that overlap in a row of matches: every second one, from the left.
-    begin = np.concatenate(([True], at[1:] != at[:-1] + 1))
-    order = np.arange(len(at))
-    take = (order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0
+    pays, all_at, all_rank = np.ones(len(often), bool), at, rank
+    while True:
+        # Pairs that overlap in a row of matches: every second one, from the left.
+        begin = np.concatenate(([True], at[1:] != at[:-1] + 1))
+        order = np.arange(len(at))
+        take = (order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0
+        left = np.bincount(rank[take], minlength=len(often))
+        # Some pairs lose too many places to others to pay for a rule: the rarer ones of them give way to the rest.
+        poor = np.flatnonzero(pays & (left < min(least, LEAST[-1])))
+        if not len(poor):
+            break
+        pays[poor[np.argsort(counts[often[poor]], kind="stable")[: -(-7 * len(poor) // 8)]]] = False
+        stays = pays[rank]
+        at, rank = at[stays], rank[stays]
+        if not len(at):
+            return None
     at, rank = at[take], rank[take]
-    seen = np.bincount(rank, minlength=len(often)) > 0
-    number = (np.cumsum(seen) - 1)[rank]
-    rules = np.stack([pairs[seen] >> half, pairs[seen] & ((np.uint64(1) << half) - np.uint64(1))], axis=1).astype(np.uint32)
+    number = (np.cumsum(pays) - 1)[rank]
+    rules = np.stack([pairs[pays] >> half, pairs[pays] & ((np.uint64(1) << half) - np.uint64(1))], axis=1).astype(np.uint32)
     symbols, last = symbols.copy(), last.copy()
     symbols[at] = base + number
     last[at] = last[at + 1]
     keep = np.ones(len(symbols), bool)
     keep[at + 1] = False
-    return symbols[keep], last[keep], rules
+    symbols, last = symbols[keep], last[keep]
+    # Pairs that may now be frequent: those beside new symbols, and those that gave way in this round.
+    new = at - np.arange(len(at))
+    aside = all_at[~pays[all_rank]]
+    aside = aside[keep[aside]]
+    moved = np.concatenate([new - 1, new, aside - np.searchsorted(at + 1, aside)])
+    moved = np.unique(moved)
+    return symbols, last, rules, moved[(moved >= 0) & (moved < len(symbols) - 1)]
+
+
+def _planes(symbols: np.ndarray, wide: bool) -> bytes:
+    """Two bytes a symbol; where that isn't enough the third bytes follow, all together."""
+    low = (symbols & 0xFFFF).astype("<u2").tobytes()
+    return low + (symbols >> 16).astype(np.uint8).tobytes() if wide else low
 
 
-def compress(ids: np.ndarray, n_ids: np.ndarray, vocab: int, rounds: int = ROUNDS) -> dict:
+def _symbols(stored: bytes, wide: bool) -> np.ndarray:
+    n = len(stored) // (3 if wide else 2)
+    low = np.frombuffer(stored, "<u2", n).astype(np.uint32)
+    return low | np.frombuffer(stored, np.uint8, n, 2 * n).astype(np.uint32) << 16 if wide else low
+
+
+def compress(ids: np.ndarray, n_ids: np.ndarray, vocab: int, least: tuple = LEAST) -> dict:
     """A grammar for the ids of consecutive documents, none of whose rules crosses a document's end.
 
-    Symbols from vocab on are rules, in the order of `rules`; `lengths` has the number of ids each expands to.
+    The most frequent pairs get rules first, all that are found `least` times in a round; the last number is
+    repeated until no pair pays. After such a round all other pairs are too rare, so the next one only looks beside new
+    symbols and where a pair gave way to others. Symbols from vocab on are rules, in the order of `rules`; `lengths` has the number
+    of ids each expands to.
     """
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(n_ids) - 1] = True
-    room = (1 << 16) - vocab
-    room = room if room >= MIN_ROOM else 1 << 16
-    rules, base = [np.empty((0, 2), np.uint32)], vocab
-    for k in range(rounds):
-        found = _replace(symbols, last, base, (room - (base - vocab)) // (rounds - k))
+    rules, base, k, places = [np.empty((0, 2), np.uint32)], vocab, 0, None
+    while k < len(least):
+        found = _replace(symbols, last, base, least[k], places)
         if found is None:
-            break
-        symbols, last, new = found
+            k, places = k + 1, None
+            continue
+        symbols, last, new, near = found
         rules.append(new)
         base += len(new)
+        k, places = (k + 1, None) if k + 1 < len(least) else (k, near)
     table = np.concatenate(rules)
     lengths = np.ones(base, np.uint32)
     at = vocab
@@ -185,9 +258,9 @@ def compress(ids: np.ndarray, n_ids: np.ndarray, vocab: int, rounds: int = ROUND
         lengths[at : at + len(new)] = lengths[new].sum(axis=1)
         at += len(new)
     ends = np.flatnonzero(last) + 1
+    wide = base > 1 << 16
     return {"rules": table.astype("<u4").tobytes(), "lengths": lengths[vocab:].astype("<u4").tobytes(),
-            "symbols": symbols.astype("<u2" if base <= 1 << 16 else "<u4").tobytes(), "wide": base > 1 << 16,
-            "n_symbols": np.diff(np.concatenate(([0], ends)))}
+            "symbols": _planes(symbols, wide), "wide": wide, "n_symbols": np.diff(np.concatenate(([0], ends)))}
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, vocab: int) -> np.ndarray:
@@ -211,12 +284,17 @@ class Block:
         self.vocab = row["vocab"]
         self.rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
         self.lengths = np.frombuffer(row["lengths"], "<u4")
-        self.symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2")
+        self.symbols = _symbols(row["symbols"], row["wide"])
         self.ends = np.cumsum(row["n_symbols"])
         self.id_ends = np.cumsum(row["n_ids"])
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.vocab)
+        """Every rule is expanded once, then all symbols are looked up."""
+        own = expand(np.arange(self.vocab, self.vocab + len(self.rules)), self.rules, self.vocab)
+        ids = np.concatenate([np.arange(self.vocab, dtype=np.uint32), own])
+        sizes = np.concatenate([np.ones(self.vocab, np.int64), self.lengths.astype(np.int64)])
+        n = sizes[self.symbols]
+        return ids[_spans((np.cumsum(sizes) - sizes)[self.symbols], n)]
 
     def _of(self, doc: int) -> np.ndarray:
         return self.symbols[self.ends[doc - 1] if doc else 0 : self.ends[doc]]
@@ -259,31 +337,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         from pyspark import TaskContext
 
         enc = word_encoder(tokenizer)
-        end = np.array([end_id], enc.kind).tobytes()
         part, block, base = TaskContext.get().partitionId(), 0, 0
-        docs_held, ids_held, size = [], [], 0
+        docs_held, sizes_held, ids_held, size = [], [], [], 0
 
         def flush():
-            nonlocal block, base, docs_held, ids_held, size
-            n_ids = np.array([len(x) // enc.kind.itemsize for x in ids_held], np.int64)
-            made = compress(np.frombuffer(b"".join(ids_held), enc.kind), n_ids, enc.vocab)
+            nonlocal block, base, docs_held, sizes_held, ids_held, size
+            n_ids = np.concatenate(sizes_held) + 1
+            ids = np.insert(np.concatenate(ids_held), np.cumsum(n_ids - 1), end_id)
+            made = compress(ids, n_ids, enc.vocab)
             row = {"part": part, "block": block, "base": base, "vocab": enc.vocab, "doc_ids": docs_held,
                    "n_ids": n_ids.tolist()} | made | {"n_symbols": made["n_symbols"].tolist()}
-            block, base = block + 1, base + int(n_ids.sum())
-            docs_held, ids_held, size = [], [], 0
+            block, base = block + 1, base + len(ids)
+            docs_held, sizes_held, ids_held, size = [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_arrow)
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t.as_py() or b"" for t in batch.column(1)]
-            for i in range(0, len(ids), 512):
-                coded = enc.encode(texts[i : i + 512])
-                for doc, x in zip(ids[i : i + 512], coded):
-                    docs_held.append(doc)
-                    ids_held.append(x + end)
-                    size += len(x) // enc.kind.itemsize + 1
-                    if size >= BLOCK_IDS:
-                        yield flush()
+            for i in range(0, len(ids), 256):
+                coded, sizes = enc.encode(texts[i : i + 256])
+                docs_held += ids[i : i + 256]
+                sizes_held.append(sizes)
+                ids_held.append(coded)
+                size += len(coded) + len(sizes)
+                if size >= BLOCK_IDS:
+                    yield flush()
         if docs_held:
             yield flush()
 
