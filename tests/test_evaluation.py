@@ -174,12 +174,13 @@ def test_calibrators(spark, scored):
     rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(probe)], "i int, y_score double")
     got = [r["c"] for r in K.apply_isotonic(rows, "y_score", iso, "c").orderBy("i").collect()]
     assert np.allclose(got, want)
-    assert all(b >= a for a, b in zip(iso.y, iso.y[1:]))
+    steps = [r["y"] for r in iso.knots.orderBy("x").collect()]
+    assert all(b > a for a, b in zip(steps, steps[1:]))
     split = K.fit_platt(long(spark, [0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9]).withColumnRenamed("score", "y_score"))
     assert K.is_finite(split)
     alike = K.fit_platt(long(spark, [0, 1], [0.3, 0.3]).withColumnRenamed("score", "y_score"))
     assert (alike.A, alike.B) == (0.0, 0.0)
-    knots = K.Isotonic((0.4, 0.8), (0.5, 1.0))
+    knots = K.Isotonic(spark.createDataFrame([(0.4, 0.5), (0.8, 1.0)], "x double, y double"))
     assert K.apply_isotonic(spark.createDataFrame([(0.6,)], "p double"), "p", knots, "c").first()["c"] == 0.5
 
 

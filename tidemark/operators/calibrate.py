@@ -9,13 +9,15 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.binning import edges_at_or_below, number_array
+from ..functions.binning import edges_at_or_below
+from ..session import stored
+from .asof import last_at_or_before
+from .ranking import running_totals, split_points
 
 # A fit has settled at steps below the first, and is singular at a determinant up to the second.
 SETTLED, SINGULAR = 1e-6, 1e-12
@@ -32,10 +34,9 @@ class Platt:
 
 @dataclass(frozen=True)
 class Isotonic:
-    """Right-continuous steps: y[i] holds from x[i] up to x[i+1]; y[0] also below x[0]."""
+    """Right-continuous steps as a table (x, y): y holds from its x up to the next; the first also below it."""
 
-    x: tuple[float, ...]
-    y: tuple[float, ...]
+    knots: DataFrame
 
 
 def distinct_scores(preds: DataFrame, y: str = "y_true", score: str = "y_score") -> DataFrame:
@@ -87,30 +88,56 @@ def apply_platt(p, prm: Platt) -> Column:
     return C.sigmoid(F.lit(prm.B) + F.lit(prm.A) * C.logit(p, prm.eps))
 
 
-def fit_isotonic(preds: DataFrame, y: str = "y_true", score: str = "y_score") -> Isotonic:
-    """Pool-adjacent-violators on distinct scores with their counts as weights.
+#: Neighbouring score ranges that one task pools together.
+FAN_IN = 16
 
-    Only block edges come back. They are corners of a convex chain through integer points
-    (rows, positives), so their number grows at most like the 2/3 power of the rows.
-    """
-    data = distinct_scores(preds, y, score).select(
-        F.col("score"), (F.col("pos") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("n"))
-    packed = VectorAssembler(inputCols=["score"], outputCol="features").transform(data)
-    model = IsotonicRegression(featuresCol="features", labelCol="rate", weightCol="n").fit(packed)
-    return step_knots(list(model.boundaries), list(model.predictions))
 
+def pool(x: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators over ordered blocks: first x, rows and positives of blocks whose rates strictly rise.
 
-def step_knots(xs: list[float], ys: list[float]) -> Isotonic:
-    """Keep the first knot of every run of equal values; a step lookup needs no other."""
-    kept = [(x, y) for i, (x, y) in enumerate(zip(xs, ys)) if i == 0 or y != ys[i - 1]]
-    return Isotonic(tuple(float(x) for x, _ in kept), tuple(float(y) for _, y in kept))
+    Rates are compared as whole numbers, so equal ones always pool.
+    """
+    blocks: list[tuple[float, int, int]] = []
+    for first, rows, hits in zip(x.tolist(), n.tolist(), pos.tolist()):
+        while blocks and blocks[-1][2] * rows >= hits * blocks[-1][1]:
+            first, r, h = blocks.pop()
+            rows, hits = rows + r, hits + h
+        blocks.append((first, rows, hits))
+    out = np.array(blocks, dtype=object).reshape(-1, 3)
+    return out[:, 0].astype(float), out[:, 1].astype(np.int64), out[:, 2].astype(np.int64)
+
+
+def fit_isotonic(preds: DataFrame, y: str = "y_true", score: str = "y_score", splits: Sequence[float] | None = None) -> Isotonic:
+    """Isotonic regression on distinct scores with their counts as weights, as a stored table of steps.
+
+    Each score range is pooled by itself, then neighbouring ranges' blocks are pooled together, FAN_IN at a time:
+    pooling is the same whatever was pooled before. Blocks are corners of a convex chain through whole points (rows,
+    positives), so the last task sees about the 2/3 power of the rows, and nothing reaches the driver.
+    """
+    data = stored(distinct_scores(preds, y, score), "distinct-scores")
+    edges = split_points(data, "score") if splits is None else list(splits)
+    blocks = edges_at_or_below(data, "score", edges, "piece").select(
+        "piece", F.col("score").alias("x"), F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+
+    def merge(table: pa.Table) -> pa.Table:
+        x, n, pos = (table.column(c).to_numpy() for c in ("x", "n", "pos"))
+        order = np.argsort(x, kind="stable")
+        x, n, pos = pool(x[order], n[order], pos[order])
+        return pa.table({"piece": pa.array(np.full(len(x), table.column("piece")[0].as_py(), np.int32)), "x": x, "n": n, "pos": pos})
+
+    ranges = len(edges) + 1
+    while True:
+        blocks = blocks.groupBy("piece").applyInArrow(merge, "piece int, x double, n long, pos long")
+        if ranges == 1:
+            break
+        blocks = blocks.withColumn("piece", F.floor(F.col("piece") / FAN_IN).cast("int"))
+        ranges = -(-ranges // FAN_IN)
+    return Isotonic(stored(blocks.select("x", (F.col("pos") / F.col("n")).alias("y")), "knots"))
 
 
 def apply_isotonic(df: DataFrame, score: str, prm: Isotonic, out: str) -> DataFrame:
-    """Step lookup by binary search over the knots."""
-    cut = edges_at_or_below(df, score, prm.x[1:], "__step")
-    values = number_array(prm.y)
-    return cut.withColumn(out, F.element_at(values, F.col("__step") + 1)).drop("__step")
+    """The step at each score, by an as-of join with the table of steps."""
+    return last_at_or_before(df, score, prm.knots, "x", "y", out)
 
 
 def calibrated_scores(preds: DataFrame, platt: Platt | None, isotonic: Isotonic | None,
@@ -131,14 +158,21 @@ def best_variant(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame
         F.min_by("variant", F.struct("brier", "variant")).alias("variant"), F.min("brier").alias("brier"))
 
 
-def parameter_rows(spark, platt: Platt | None, isotonic: Isotonic | None) -> DataFrame:
+def parameter_rows(spark: SparkSession, platt: Platt | None, isotonic: Isotonic | None) -> DataFrame:
     """Calibrator parameters as a table (method, position, x, y); Platt holds A in x and B in y."""
-    rows = []
-    if platt is not None:
-        rows.append(("platt", 0, platt.A, platt.B))
-    if isotonic is not None:
-        rows += [("isotonic", i, x, y) for i, (x, y) in enumerate(zip(isotonic.x, isotonic.y))]
-    return spark.createDataFrame(rows, "method string, position int, x double, y double")
+    schema = "method string, position long, x double, y double"
+    rows = spark.createDataFrame([("platt", 0, platt.A, platt.B)] if platt is not None else [], schema)
+    if isotonic is None:
+        return rows
+    placed = running_totals(isotonic.knots, [], "x", {"n": F.lit(1), "y": F.col("y")})
+    return rows.unionByName(placed.select(F.lit("isotonic").alias("method"), (F.col("n_to") - 1).alias("position"), "x", "y"))
+
+
+def from_parameter_rows(table: DataFrame) -> tuple[Platt | None, Isotonic | None]:
+    """The calibrators of a stored parameter table; None for a method that it lacks."""
+    found = table.where("method = 'platt'").select("x", "y").first()
+    knots = table.where("method = 'isotonic'").select("x", "y")
+    return None if found is None else Platt(found["x"], found["y"]), None if knots.isEmpty() else Isotonic(knots)
 
 
 def is_finite(prm: Platt) -> bool:

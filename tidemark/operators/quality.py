@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import path_exists
+from .asof import previous_rows
 from .calibrate import Platt, is_finite
 from .lookups import id_overlap
 
@@ -72,10 +73,9 @@ def auprc_below_prevalence(metrics: DataFrame, where: Column | str, margin: floa
 
 def knot_problems(knots: DataFrame, where: str) -> DataFrame:
     """Knots (position, x, y): x must not fall (error), y should not fall (warning), none may be null."""
-    w = Window.partitionBy("method").orderBy("position")
-    seen = knots.withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w))
-    counts = seen.agg(F.count_if(F.col("x") < F.col("px")).alias("x_falls"),
-                      F.count_if(F.col("y") < F.col("py")).alias("y_falls"),
+    seen = previous_rows(knots, ["method"], "position", ["x", "y"])
+    counts = seen.agg(F.count_if(F.col("x") < F.col("previous.x")).alias("x_falls"),
+                      F.count_if(F.col("y") < F.col("previous.y")).alias("y_falls"),
                       F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("holes"))
     return _from_counts(counts, [("holes", "ERROR", "BAD_CAL_PARAMS", "knots without x or y"),
                                  ("x_falls", "ERROR", "BAD_CAL_PARAMS", "x decreases"),

@@ -18,6 +18,7 @@ from ..operators import prepare as PR
 from ..operators import quality as Q
 from ..operators import robustness as RB
 from ..operators import split as SP
+from ..operators.ranking import running_totals
 from ..session import fresh_path
 from ..sources import artifacts as A
 from ..sources import predictions as P
@@ -726,17 +727,20 @@ def top_feature_names(b):
 
 # --- external validation and robustness ------------------------------------------------------------
 
-PLATT, ISO = K.Platt(0.9, -0.1), K.Isotonic((0.1, 0.4, 0.7), (0.05, 0.3, 0.8))
-EXTERNAL = f"""{LINEAR}, ext as (select subject_id, y_true, score as raw, 1 / (1 + exp(-(-0.1::double + 0.9::double
-* ln(c / (1 - c))))) as platt, case when score >= 0.7 then 0.8::double when score >= 0.4 then 0.3::double else 0.05::double end as isotonic
-from (select *, greatest(1e-6::double, least(1 - 1e-6::double, score)) as c from lin)),
+EXTERNAL = f"""{LINEAR}, ext as (select subject_id, y_true, score as raw, 1 / (1 + exp(-(b + a * ln(cl / (1 - cl))))) as platt,
+coalesce(i.v, (select arg_min(v, s) from iso_fit)) as isotonic from (select *, greatest(1e-6::double, least(1 - 1e-6::double,
+score)) as cl from lin) f cross join platt_fit asof left join iso_fit i on f.score >= i.s),
 ext_long as (select y_true, variant, score from ext unpivot (score for variant in (raw, platt, isotonic)))"""
 
 
 def _external(b):
+    """Another cohort's scores under calibrators that were fitted on the validation fold, stored and read back."""
+    path = fresh_path(b.spark, "calibrators")
+    K.parameter_rows(b.spark, *_fitted(b)).write.parquet(path)
+    platt, isotonic = K.from_parameter_rows(b.spark.read.parquet(path))
     m = _fold(b.matrix(), "test").select("subject_id", "f_signal", F.coalesce("f_lines", F.lit(0.0)).alias("f_lines"))
     labels = b.matrix().select("subject_id", "y")
-    return RB.external_scores(m, labels, "y", lambda d: _with_margin(d).withColumnRenamed("score", "y_score"), PLATT, ISO)
+    return RB.external_scores(m, labels, "y", lambda d: _with_margin(d).withColumnRenamed("score", "y_score"), platt, isotonic)
 
 
 @query("E24", f"""with {EXTERNAL} select variant, {ROUNDED_METRICS}, {R('ece')} from ({metrics_sql('ext_long', 'variant')})
@@ -967,16 +971,13 @@ w as (select *, case when i % 100 = 0 then 1 - v else v end as bad from k)
 select 'WARN' as severity, 'CAL_NON_MONOTONE' as code, 'isotonic' as "where",
 'y decreases: ' || count(*) as detail from (select bad, lag(bad) over (order by i) as pb from w) where bad < pb""")
 def check_knots(b):
-    from pyspark.sql import Window
-
     iso = K.fit_isotonic(b.folded_predictions("val"))
     # every distinct validation score with its fitted value, then planted errors
     scores = b.folded_predictions("val").select("y_score").distinct()
-    pos = F.row_number().over(Window.partitionBy("method").orderBy("x"))
-    knots = K.apply_isotonic(scores, "y_score", iso, "y").select(F.lit("isotonic").alias("method"),
-                                                                 F.col("y_score").alias("x"), "y")
-    knots = knots.withColumn("position", pos).withColumn(
-        "y", F.when(F.col("position") % 100 == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    fitted = K.apply_isotonic(scores, "y_score", iso, "y").select(F.col("y_score").alias("x"), "y")
+    placed = running_totals(fitted, [], "x", {"n": F.lit(1), "y": F.col("y")}).select(F.col("n_to").alias("position"), "x", "y")
+    knots = placed.select(F.lit("isotonic").alias("method"), "position", "x",
+                          F.when(F.col("position") % 100 == 0, 1 - F.col("y")).otherwise(F.col("y")).alias("y"))
     ok = Q.knot_problems(K.parameter_rows(b.spark, None, iso), "fitted")
     return Q.knot_problems(knots, "isotonic").unionByName(ok).unionByName(
         Q.platt_problems(b.spark, K.Platt(1.0, 0.0), "platt"))
