@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.codes import FULL_CODEBOOKS, NARROW_CODEBOOKS, Codebook, in_codebook
-from .lookups import lookup_join
+from .lookups import lookup_join, with_row
 from .ranking import first_rows, quantiles
 
 # Drug classes searched in lower-case drug text.
@@ -35,6 +35,9 @@ VITAL_SIGNS = {
     "temp": r"temperature|temp",
 }
 
+# Fixed value: what feature tables say of the events they may see.
+LEAKAGE_GUARD = "strictly before index_time"
+
 LAB_STATS = ["min", "max", "mean", "last", "count"]
 ZERO_FILL_ENDINGS = ["_count", "_any", "_missing", "_recent_30d", "_recent_90d"]
 
@@ -264,13 +267,20 @@ def lab_table(cohort: DataFrame, labevents: DataFrame, dictionary: DataFrame | N
 def pivot_stats(long: DataFrame, labels: Sequence[str], stats: Sequence[str], prefix: str = "lab") -> DataFrame:
     """Wide table with one column per (sanitised label, statistic).
 
-    Labels that share a sanitised name are combined by mean. The values are listed, so no extra
-    pass looks for them and the width is known.
+    Labels that share a sanitised name are combined by mean. A subject's rows become one map from name to statistics,
+    out of which the listed columns are projected once, so the work per row doesn't depend on how many labels there
+    are. The values are listed, so no extra pass looks for them and the width is known.
     """
     names = sorted({C.feature_name_text(v) for v in labels})
-    keyed = long.withColumn("__name", C.feature_name("label"))
-    return keyed.groupBy("subject_id").agg(*[
-        F.avg(F.when(F.col("__name") == n, F.col(s))).alias(f"{prefix}_{n}_{s}") for n in names for s in stats])
+    keyed = long.withColumn("__name", C.feature_name("label")).where(F.col("__name").isin(names))
+    one = keyed.groupBy("subject_id", "__name").agg(*[F.avg(F.col(s).cast("double")).alias(s) for s in stats])
+    maps = one.groupBy("subject_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("__name", F.struct(*stats)))).alias("__stats"))
+    wide = maps.select("subject_id", *[F.try_element_at("__stats", F.lit(n)).alias(f"__{i}") for i, n in enumerate(names)])
+    # Subjects whose labels are all unlisted stay, without values.
+    subjects = long.select("subject_id").distinct()
+    return subjects.join(wide, "subject_id", "left").select(
+        "subject_id", *[F.col(f"__{i}")[s].alias(f"{prefix}_{n}_{s}") for i, n in enumerate(names) for s in stats])
 
 
 def add_missing_flags(wide: DataFrame, suffix: str = "_last") -> DataFrame:
@@ -318,11 +328,14 @@ def vital_long(cohort: DataFrame, chartevents: DataFrame, lookback_days: int = 3
 
 
 def vital_table(cohort: DataFrame, chartevents: DataFrame, lookback_days: int = 365,
-                signs: dict[str, str] | None = None, row_id: str = "event_id") -> DataFrame:
-    """Wide vital features for every cohort subject, with missing flags."""
+                signs: dict[str, str] | None = None, row_id: str = "event_id",
+                winsor: tuple[float, float] | None = None) -> DataFrame:
+    """Wide vital features for every cohort subject, with missing flags; statistics are winsorised if limits are given."""
     signs = signs or VITAL_SIGNS
     long = vital_long(cohort, chartevents, lookback_days, signs, row_id).withColumnRenamed("vital", "label")
     wide = pivot_stats(long, list(signs), ["min", "max", "mean", "last", "recency_days"], "vital")
+    if winsor:
+        wide = winsorise_columns(wide, continuous_columns(wide), *winsor)
     return add_missing_flags(cohort.select("subject_id").join(wide, "subject_id", "left"))
 
 
@@ -343,6 +356,29 @@ def winsorise(long: DataFrame, limits: DataFrame, key: str, value: str) -> DataF
     return joined.withColumn(value, clipped).drop("lo", "hi")
 
 
+def continuous_columns(wide: DataFrame) -> list[str]:
+    """The statistics that are winsorised: min, max, mean and last."""
+    return [c for c in wide.columns if c.endswith(("_min", "_max", "_mean", "_last"))]
+
+
+def winsorise_columns(wide: DataFrame, columns: Sequence[str], low: float = 0.005, high: float = 0.995,
+                      fit_on: DataFrame | None = None) -> DataFrame:
+    """Clip columns to their own quantiles, found for all of them in one pass over fit_on (the table itself if None).
+
+    The limits stay in the plan as one row; columns without a value are left as they are.
+    """
+    columns = list(columns)
+    if not columns:
+        return wide
+    rows = (wide if fit_on is None else fit_on).select(*[F.col(c).cast("double") for c in columns])
+    limits = winsor_limits(rows.unpivot([], columns, "feature", "value"), ["feature"], "value", low, high)
+    row = limits.agg(*[F.max(F.when(F.col("feature") == c, F.struct("lo", "hi"))).alias(f"__{i}") for i, c in enumerate(columns)])
+    out = with_row(wide, row)
+    clipped = {c: F.when(F.col(f"__{i}").isNull(), F.col(c)).otherwise(C.clamp(c, F.col(f"__{i}")["lo"], F.col(f"__{i}")["hi"]))
+               for i, c in enumerate(columns)}
+    return out.withColumns(clipped).select(*wide.columns)
+
+
 # --- feature tables -------------------------------------------------------------------
 
 
@@ -361,10 +397,11 @@ def gender_indicators(cohort: DataFrame, values: Sequence[str] | None = None) ->
 
 def event_features(cohort: DataFrame, labs: DataFrame | None = None, lab_labels: Sequence[str] = (),
                    meds: DataFrame | None = None, vitals: DataFrame | None = None,
-                   genders: Sequence[str] | None = None) -> DataFrame:
+                   genders: Sequence[str] | None = None, winsor: tuple[float, float] | None = None) -> DataFrame:
     """Wide feature table: demographics, labs (from the long table), medication, vitals.
 
-    Missing flags are set on subjects with labs, then nulls of flag and count columns become 0.
+    Lab statistics are winsorised if limits are given, over the subjects with labs. Missing flags are set on subjects
+    with labs, then nulls of flag and count columns become 0.
     """
     base = cohort.select("subject_id", "age_at_admit")
     if "gender" in cohort.columns:
@@ -372,7 +409,8 @@ def event_features(cohort: DataFrame, labs: DataFrame | None = None, lab_labels:
     parts = []
     if labs is not None:
         stats = [*LAB_STATS, "recency_days", "per_day"]
-        parts.append(add_missing_flags(pivot_stats(labs, lab_labels, stats)))
+        wide = pivot_stats(labs, lab_labels, stats)
+        parts.append(add_missing_flags(winsorise_columns(wide, continuous_columns(wide), *winsor) if winsor else wide))
     parts += [p for p in (meds, vitals) if p is not None]
     for p in parts:
         base = base.join(p, "subject_id", "left")
@@ -424,10 +462,10 @@ def feature_catalogue(spark, lab_units: DataFrame | None, drug_classes: Sequence
 
     `lab_units` has (label, unit), one row per lab label; its rows stay distributed.
     """
-    guard = "strictly before index_time"
+    guard = LEAKAGE_GUARD
     schema = ("name string, dtype string, source string, description string, units string, "
               "lookback_days int, agg string, leakage_guard string")
-    rows = [("age_at_admit", "float64", "cohort", "Age (years) at index admission", None, None, None, guard)]
+    rows = [("age_at_admit", "float64", "cohort", "Age in years when the index stay began", None, None, None, guard)]
     src = "prescriptions"
     rows += [("med_any_count", "int32", src, "Any prescriptions", None, lookback_days, "count", guard),
              ("med_recency_days", "float64", src, "Days since last prescription", "days", lookback_days,

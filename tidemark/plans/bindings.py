@@ -98,6 +98,17 @@ class Bindings:
                 .groupBy(F.col("user_id").alias("subject_id"))
                 .agg(at.alias("index_time"), at.alias("feature_time_upper_bound")))
 
+    def full_cohort(self) -> DataFrame:
+        """Subjects with labs, vitals, prescriptions and demographics at one index time."""
+        age = F.col("anchor_age").cast("double") + F.year("index_time") - F.col("anchor_year")
+        return self.lab_cohort().join(self.patients(), "subject_id", "left").select(
+            "subject_id", "index_time", "feature_time_upper_bound", "gender",
+            F.least(F.lit(120.0), F.greatest(F.lit(0.0), age)).alias("age_at_admit"))
+
+    def recent_prescriptions(self) -> DataFrame:
+        """Prescriptions moved into the years of the lab events."""
+        return self.prescriptions().withColumn("starttime", F.col("starttime") + F.make_ym_interval(F.lit(24)))
+
     def cohort(self) -> DataFrame:
         return EV.index_stays(self.admissions(), self.patients(), 18, START_YEAR)
 
@@ -204,6 +215,12 @@ SQL_VIEWS = {
         count(valuenum) as "count",
         date_diff('microsecond', max(charttime), max(index_time)) / 8.64e10 as recency_days
         from chart_window group by subject_id, vital""",
+    "full_cohort": """select c.*, gender,
+        least(120.0, greatest(0.0, cast(anchor_age as double) + year(index_time) - anchor_year)) as age_at_admit
+        from lab_cohort c left join patients using (subject_id)""",
+    "recent_window": """select subject_id, lower(drug) as d, starttime + interval 24 year as starttime, index_time
+        from prescriptions join full_cohort using (subject_id) where starttime + interval 24 year < feature_time_upper_bound
+        and starttime + interval 24 year >= index_time - interval 365 day""",
     "stays": """select a.*, date_diff('microsecond', admittime, dischtime) / 3.6e9 as los_hours
         from admissions a where subject_id is not null and hadm_id is not null and dischtime >= admittime""",
     "aged": """select s.*, p.gender, p.ethnicity,

@@ -11,7 +11,7 @@ from ..operators import events as EV
 from ..operators.lookups import id_overlap, lookup_join, with_row
 from ..operators.ranking import first_rows, order_statistics, quantile_bins
 from ..functions.binning import edges_at_or_below, equal_width_edges
-from ..session import fresh_path
+from ..session import fresh_path, stored
 from ..sources import predictions as P
 from ..sources import sinks, tables
 from .bindings import CHART_SIGNS, EVENT_LABELS, LAB_LOOKBACK, RX_CLASSES, START_YEAR, Bindings
@@ -280,6 +280,37 @@ def drug_class_flags(b):
         .groupBy(*RX_CLASSES).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Texts that the shipped classes and signs must sort out, dealt to the rows by their keys.
+DRUG_TEXTS = ["Insulin Glargine", "metFORMIN 500 mg", "GlipiZIDE", "Atorvastatin Calcium", "Metoprolol Tartrate", "Lisinopril", "losartan",
+              "Furosemide (Lasix)", "lisinoprilat", "Aspirin", "Insulinase", "Hydrochlorothiazide-Losartan", "Rosuvastatin"]
+CHART_TEXTS = ["Heart Rate", "Arterial Line Systolic", "NBP Diastolic", "DBP", "SpO2 Desat Limit", "Resp Rate (Total)", "Temperature Celsius",
+               "temp site", "Systolic BP Systolic", "Oxygen Saturation", "Weight", "Respiratory Rate"]
+
+
+def _dealt(texts: list[str], key: str) -> str:
+    return f"[{', '.join(repr(t) for t in texts)}][1 + {key} % {len(texts)}]"
+
+
+def _text_of(texts: list[str], key: str):
+    return F.lower(F.element_at(F.array(*map(F.lit, texts)), (F.col(key) % len(texts) + 1).cast("int")))
+
+
+@query("P17 A5", rf"""with t as (select lower({_dealt(DRUG_TEXTS, 'p_partkey')}) as d from part)
+select d, count(*) as n, {', '.join(f"bool_or(regexp_matches(d, '{p}')) as {n}" for n, p in EV.DRUG_CLASSES.items())} from t group by 1""")
+def shipped_drug_classes(b):
+    t = b.table("part").select(_text_of(DRUG_TEXTS, "p_partkey").alias("d"))
+    return t.groupBy("d").agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(F.col("d").rlike(p)).alias(n) for n, p in EV.DRUG_CLASSES.items()])
+
+
+@query("P18 A7", rf"""with t as (select lower({_dealt(CHART_TEXTS, 'event_id')}) as d, value from events)
+select d, count(*) as n, {R('avg(value)', 'mean')}, {', '.join(f"bool_or(regexp_matches(d, '{p}')) as {n}" for n, p in EV.VITAL_SIGNS.items())}
+from t group by 1""")
+def shipped_vital_signs(b):
+    t = b.table("events").select(_text_of(CHART_TEXTS, "event_id").alias("d"), "value")
+    return rounded(t.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
+                                      *[F.bool_or(F.col("d").rlike(p)).alias(n) for n, p in EV.VITAL_SIGNS.items()]))
+
+
 @query("P18", """select vital, count(*) as n from (select unnest([v for v in [
 case when regexp_matches(label, 'purchase|view') then 'buying' end, case when regexp_matches(label, 'err')
 then 'fault' end, case when regexp_matches(label, 'sign ?up|click') then 'entry' end] if v is not null]) as vital
@@ -510,12 +541,12 @@ def vital_statistics(b):
     return rounded(EV.vital_long(b.stored_lab_cohort(), b.labevents(), LAB_LOOKBACK, CHART_SIGNS))
 
 
-@query("A7 P20", f"""select c.subject_id, {', '.join(f'''(round(max("last") filter (vital = '{v}'), 6)) as vital_{v}_last,
-case when max("last") filter (vital = '{v}') is null then 1 else 0 end as vital_{v}_missing''' for v in CHART_SIGNS)}
+@query("A7 P20", f"""select c.subject_id, {', '.join(f'''(round(max("{s}") filter (vital = '{v}'), 6)) as vital_{v}_{s}'''
+for v in CHART_SIGNS for s in ('min', 'max', 'mean', 'last', 'recency_days'))},
+{', '.join(f'''case when max("last") filter (vital = '{v}') is null then 1 else 0 end as vital_{v}_missing''' for v in CHART_SIGNS)}
 from lab_cohort c left join vital_stats v on c.subject_id = v.subject_id group by 1""")
 def vital_wide_table(b):
-    wide = EV.vital_table(b.stored_lab_cohort(), b.labevents(), LAB_LOOKBACK, CHART_SIGNS)
-    return rounded(wide.select("subject_id", *[f"vital_{v}_{s}" for v in CHART_SIGNS for s in ("last", "missing")]))
+    return rounded(EV.vital_table(b.stored_lab_cohort(), b.labevents(), LAB_LOOKBACK, CHART_SIGNS))
 
 
 @query("A8", """select c.subject_id, count(*) as prev_adm_365d from cohort c join admissions a
@@ -700,6 +731,48 @@ def event_feature_table(b):
                               *[f"med_{n}_count" for n in RX_CLASSES]))
 
 
+LAB_COLUMNS = [(v, s) for v in EVENT_LABELS for s in ("min", "max", "mean", "last", "count", "recency_days", "per_day")]
+VITAL_COLUMNS = [(v, s) for v in CHART_SIGNS for s in ("min", "max", "mean", "last", "recency_days")]
+MED_COLUMNS = [f"{n}_{s}" for n in RX_CLASSES for s in ("count", "any", "recent_30d", "recent_90d")]
+
+
+def _clipped_sql(prefix: str, columns: list, source: str, key: str) -> str:
+    """A wide table of the statistics, the continuous ones clipped to their own quantiles."""
+    wide = ", ".join(f"(max(\"{s}\") filter ({key} = '{v}'))::double as {prefix}_{v}_{s}" for v, s in columns)
+    held = [f"{prefix}_{v}_{s}" for v, s in columns if s in ("min", "max", "mean", "last")]
+    limits = ", ".join(f"quantile_cont({c}, 0.05) as lo_{c}, quantile_cont({c}, 0.95) as hi_{c}" for c in held)
+    clip = ", ".join(f"case when {c} is not null then greatest(lo_{c}, least(hi_{c}, {c})) end as {c}" for c in held)
+    return f"""{prefix}_wide as (select subject_id, {wide} from {source} group by 1), {prefix}_limits as (select {limits} from {prefix}_wide),
+{prefix}_table as (select {prefix}_wide.* replace ({clip}) from {prefix}_wide, {prefix}_limits)"""
+
+
+@query("C4 C7 P14 P20", rf"""with labs as (select l.* from lab_long l join full_cohort using (subject_id)),
+vitals as (select v.* from vital_stats v join full_cohort using (subject_id)),
+{_clipped_sql('lab', LAB_COLUMNS, 'labs', 'label')}, {_clipped_sql('vital', VITAL_COLUMNS, 'vitals', 'vital')},
+m as (select subject_id, count(*) as med_any_count, date_diff('microsecond', max(starttime), max(index_time)) / 8.64e10 as med_recency_days,
+count(*) / 365.0::double as med_any_per_day, {', '.join(f"""count(*) filter (regexp_matches(d, '{p}')) as med_{n}_count,
+max(cast(regexp_matches(d, '{p}') as int)) as med_{n}_any,
+max(cast(regexp_matches(d, '{p}') and starttime >= index_time - interval 30 day as int)) as med_{n}_recent_30d,
+max(cast(regexp_matches(d, '{p}') and starttime >= index_time - interval 90 day as int)) as med_{n}_recent_90d"""
+for n, p in RX_CLASSES.items())} from recent_window group by 1)
+select c.subject_id, {R('age_at_admit')}, case when gender = 'F' then 1 else 0 end as gender_f, case when gender = 'M' then 1 else 0 end as gender_m,
+{', '.join(f"coalesce(lab_{v}_count, 0)::int as lab_{v}_count" if s == 'count' else R(f'lab_{v}_{s}') for v, s in LAB_COLUMNS)},
+{', '.join(f"case when l.subject_id is not null and lab_{v}_last is null then 1 else 0 end as lab_{v}_missing" for v in EVENT_LABELS)},
+coalesce(med_any_count, 0)::int as med_any_count, {R('med_recency_days')}, {R('med_any_per_day')},
+{', '.join(f'coalesce(med_{c}, 0)::int as med_{c}' for c in MED_COLUMNS)}, {', '.join(R(f'vital_{v}_{s}') for v, s in VITAL_COLUMNS)},
+{', '.join(f"case when vital_{v}_last is null then 1 else 0 end as vital_{v}_missing" for v in CHART_SIGNS)}
+from full_cohort c left join lab_table l using (subject_id) left join m using (subject_id) left join vital_table v using (subject_id)""")
+def complete_feature_table(b):
+    """Demographics, labs, medication and vitals of one cohort, statistics winsorised, in one run."""
+    c = stored(b.full_cohort(), "full_cohort")
+    limits = (0.05, 0.95)
+    window = EV.events_in_window(b.labevents(), c, "charttime", LAB_LOOKBACK, keep=["event_id", "label", "valuenum"])
+    labs = EV.lab_statistics(window, "event_id").withColumn("per_day", F.col("count") / F.lit(float(LAB_LOOKBACK)))
+    meds = EV.medication_table(c, b.recent_prescriptions(), 365, (30, 90), RX_CLASSES)
+    vitals = EV.vital_table(c, b.labevents(), LAB_LOOKBACK, CHART_SIGNS, winsor=limits)
+    return rounded(EV.event_features(c, labs, EVENT_LABELS, meds, vitals, ["F", "M"], limits))
+
+
 @query("C5 P13 P14", f"""with prev as (select c.subject_id, count(*) as k from cohort c join admissions a
 on a.subject_id = c.subject_id and a.admittime < c.index_time and a.admittime >= c.index_time - interval 365 day
 group by 1), hist as (select c.subject_id, max(cast(is_diab as int)) as dm, max(cast(is_cvd as int)) as cv
@@ -712,17 +785,35 @@ def compact_feature_matrix(b):
     return rounded(EV.compact_features(b.stored_cohort(), b.admissions(), b.diagnoses()))
 
 
+def _catalogue_sql() -> str:
+    """Rows of the fixed features, from lists of classes, signs and statistics."""
+    classes, signs = (", ".join(f"('{n}')" for n in names) for names in (RX_CLASSES, CHART_SIGNS))
+    return f"""fixed as (select 'age_at_admit' as name, 'float64' as dtype, 'cohort' as source,
+ 'Age in years when the index stay began' as description, null as units, null::int as lookback_days, null as agg
+union all select * from (values ('med_any_count', 'int32', 'prescriptions', 'Any prescriptions', null, 7, 'count'),
+ ('med_recency_days', 'float64', 'prescriptions', 'Days since last prescription', 'days', 7, 'recency_days'),
+ ('med_any_per_day', 'float64', 'prescriptions', 'Prescriptions per day', 'count/day', 7, 'count_per_day'))
+union all select 'med_' || n || s, t, 'prescriptions', d || n || e, null, k, a from (values {classes}) c(n),
+ (values ('_count', 'int32', 'Count of ', '', 7, 'count'), ('_any', 'int8', 'Any ', '', 7, 'any'),
+  ('_recent_30d', 'int8', 'Any ', ' within 30 days', 30, 'recent_any'), ('_recent_90d', 'int8', 'Any ', ' within 90 days', 90, 'recent_any')) p(s, t, d, e, k, a)
+union all select 'vital_' || n || '_' || s, 'float64', 'chartevents', n || ' ' || s, null, 7, s from (values {signs}) c(n),
+ (values ('min'), ('max'), ('mean'), ('last')) p(s)
+union all select 'vital_' || n || s, t, 'chartevents', d || n || e, u, 7, a from (values {signs}) c(n),
+ (values ('_recency_days', 'float64', 'Days since last ', '', 'days', 'recency_days'), ('_missing', 'int8', 'No ', ' in window', null, 'missing_flag')) p(s, t, d, e, u, a))"""
+
+
 @query("C6", f"""with l as (select label, 'u' || length(label) as unit from (select distinct label from lab_window)),
-s as (select * from (values ('min'), ('max'), ('mean'), ('last'), ('count'), ('recency_days'), ('per_day'), ('missing')) t(stat))
-select 'lab_' || label || '_' || stat as name, case when stat in ('min','max','mean','last') then unit
-when stat = 'recency_days' then 'days' when stat = 'per_day' then 'count/day' end as units,
-case stat when 'per_day' then 'count_per_day' when 'missing' then 'missing_flag' else stat end as agg,
-7 as lookback_days, 'strictly before index_time' as leakage_guard from l, s""")
+s as (select * from (values ('min'), ('max'), ('mean'), ('last'), ('count'), ('recency_days'), ('per_day'), ('missing')) t(stat)),
+{_catalogue_sql()}
+select * replace (lookback_days::varchar as lookback_days), 'strictly before index_time' as leakage_guard from (select * from fixed union all
+select 'lab_' || label || '_' || stat, case when stat = 'missing' then 'int8' else 'float64' end, 'labevents', label || ' ' || stat,
+case when stat in ('min','max','mean','last') then unit when stat = 'recency_days' then 'days' when stat = 'per_day' then 'count/day' end, 7,
+case stat when 'per_day' then 'count_per_day' when 'missing' then 'missing_flag' else stat end from l, s)""")
 def feature_metadata(b):
     units = _lab_window(b).select("label").distinct() \
         .withColumn("unit", F.concat(F.lit("u"), F.length("label").cast("string")))
-    cat = EV.feature_catalogue(b.spark, units, list(RX_CLASSES), list(CHART_SIGNS), LAB_LOOKBACK, (30, 90))
-    return cat.where(F.col("source") == "labevents").select("name", "units", "agg", "lookback_days", "leakage_guard")
+    rows = EV.feature_catalogue(b.spark, units, list(RX_CLASSES), list(CHART_SIGNS), LAB_LOOKBACK, (30, 90))
+    return rows.withColumn("lookback_days", F.col("lookback_days").cast("string"))
 
 
 @query("C7", f"""with q as (select label, quantile_cont(mean, 0.05) as lo, quantile_cont(mean, 0.95) as hi from lab_long
