@@ -660,11 +660,34 @@ def test_tree_is_exact_at_factor_one():
     vectors = rng.normal(size=(1500, 12)) * rng.uniform(0.2, 3, (1500, 1))
     vectors[300:700] = vectors[300]
     ids = rng.permutation(1500).astype(np.int64)
-    tree = vptree.Tree.build(ids, vectors, float(np.sqrt((vectors**2).sum(1)).max()), 32)
+    tree = vptree.Tree.build(ids, ids, vectors, 32)
     asked = ids[::25]
-    _, found = tree.search(asked, vectors[::25], 20, 1.0)
-    for (q, want), got in zip(plain_nearest(ids, vectors, asked, 20), found):
-        assert list(got) == want
+    score, place = tree.search(asked, vectors[::25], 20, 1.0)
+    for i, (q, want) in enumerate(plain_nearest(ids, vectors, asked, 20)):
+        assert tree.ids[place[i]].tolist() == want
+        found, _ = tree.search(asked[i : i + 1], vectors[::25][i : i + 1], 20, 1.0, score[i, -1:])
+        assert (found[0] == score[i]).all()
+
+
+def clustered(n=6000, norms=False, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(30, 32))[rng.integers(30, size=n)] + 0.25 * rng.normal(size=(n, 32))
+    return x * rng.lognormal(0, 0.5, (n, 1)) if norms else x
+
+
+@pytest.mark.parametrize("norms", [False, True])
+def test_trees_leave_out_most_pairs(norms):
+    """On vectors in clusters a tree scans few of them, all neighbours at factor one and nearly all at the one in use."""
+    x = clustered(norms=norms)
+    rows, asked = np.arange(len(x)), np.arange(0, len(x), 20)
+    exact = x[asked] @ x.T
+    exact[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-exact, axis=1, kind="stable")[:, :20]
+    for factor, least in ((1.0, 1.0), (vptree.FACTOR, 0.95)):
+        tree = vptree.Tree.build(rows, rows, x)
+        _, place = tree.search(asked, x[asked], 20, factor)
+        assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(tree.ids[place].tolist(), want.tolist())]) >= least
+        assert tree.scanned < 0.3 * len(asked) * len(x)
 
 
 def test_nearest(spark):
@@ -680,30 +703,49 @@ def test_nearest(spark):
 
 
 def test_nearest_edges(spark):
+    """Vectors that take no part; rows that share an id, also as queries; rows without one; unlike lengths; ties."""
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]),
-            (7, [None, 1.0]), (None, [1.0, 1.0]), (20, [2.0, 0.0]), (20, [2.0, 0.0]), (40, [1.0, 2.0, 3.0]), (41, [])]
+            (7, [None, 1.0]), (None, [1.0, 1.0]), (20, [2.0, 0.0]), (20, [0.5, 0.5]), (40, [1.0, 2.0, 3.0]), (41, [])]
     df = spark.createDataFrame([(v, i, "x") for i, v in rows], "embedding array<float>, vec_id long, score string")
-    got = [tuple(r) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, k=20, factor=1.0, shard_rows=2).orderBy(
-        "query_id", "rank").collect()]
-    assert got == [(0, 1, 20, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (20, 1, 0, 2.0), (20, 2, 1, 2.0), (20, 3, 2, 2.0)]
+    got = [tuple(r) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, k=20, factor=1.0, shard_rows=2).collect()]
+    want = Counter({(0, 20, 2.0): 1, (0, 1, 1.0): 1, (0, 2, 1.0): 1, (0, None, 1.0): 1, (0, 20, 0.5): 1,
+                    (20, 0, 2.0): 1, (20, 1, 2.0): 1, (20, 2, 2.0): 1, (20, None, 2.0): 1, (20, 20, 1.0): 2,
+                    (20, None, 1.0): 1, (20, 0, 0.5): 1, (20, 1, 0.5): 1, (20, 2, 0.5): 1})
+    assert Counter((q, v, s) for q, _, v, s in got) == want
+    assert sorted(r for q, r, *_ in got if q == 20) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert [v for q, r, v, _ in sorted(got, key=lambda x: x[1]) if q == 0] == [20, 1, 2, None, 20]
     assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_nearest_with_uneven_norms(spark):
-    """Recall at the production factor: one very long vector, and spread norms, over several full shards."""
+def test_every_row_of_an_id_is_a_candidate(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.5, 0.5]), (20, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(20, 1, 5, 1.0), (20, 2, 5, 0.5)]
+
+
+@pytest.mark.parametrize("kind", ["one long", "spread norms", "clusters"])
+def test_nearest_over_several_shards(spark, monkeypatch, kind):
+    """Exact at factor one; the recall of the factor in use, where shards are ruled out by their bounds."""
+    monkeypatch.setattr(vptree, "PIVOT_ROWS", 300)
     rng = np.random.default_rng(9)
-    even = rng.normal(size=(3000, 16))
-    even /= np.sqrt((even**2).sum(1))[:, None]
-    one = even.copy()
-    one[1234] *= 10
+    vectors = rng.normal(size=(3000, 16))
+    vectors /= np.sqrt((vectors**2).sum(1))[:, None]
+    if kind == "one long":
+        vectors[1234] *= 10
+    elif kind == "spread norms":
+        vectors *= rng.lognormal(0, 1, (3000, 1))
+    else:
+        vectors = clustered(3000)
     ids = np.arange(3000)
-    for vectors in (one, even * rng.lognormal(0, 1, (3000, 1))):
-        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    want = dict(plain_nearest(ids, vectors, ids[ids % 20 == 0], 20))
+    for factor, least in ((1.0, 1.0), (vptree.FACTOR, 0.95)):
         got = defaultdict(list)
-        for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=1000).orderBy("query_id", "rank").collect():
+        for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, factor=factor, shard_rows=400).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append(r["vec_id"])
-        assert dict(got) == dict(plain_nearest(ids, vectors, ids[ids % 20 == 0], 20))
+        assert set(got) == set(want) and (least < 1 or dict(got) == want)
+        assert np.mean([len(set(got[q]) & set(w)) / 20 for q, w in want.items()]) >= least
 
 
 # BPE
