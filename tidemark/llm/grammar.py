@@ -65,7 +65,7 @@ class WordEncoder:
     with a special token between them to tell their ids apart. A piece's number leads to its ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int | None = None):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -80,8 +80,10 @@ class WordEncoder:
         self.vocab = size
         self.known = defaultdict()
         self.known.default_factory = self.known.__len__
-        self.ids, self.starts, self.sizes = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.used = 0
+        self.ids, self.starts, self.sizes = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        # None stands for a text's end.
+        self.used = self.sizes[self.known[None]] = 0 if end_id is None else 1
+        self.ids[0] = end_id or 0
 
     def _call(self, tok: Tokenizer, text: str) -> np.ndarray:
         return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -119,7 +121,7 @@ class WordEncoder:
                 ids, n = learn([new[k] for k in part])
                 sizes[part] = n
                 found.append((part, ids, n))
-        starts = self.used + np.cumsum(sizes) - sizes
+        starts = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
         total = int(sizes.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -131,15 +133,17 @@ class WordEncoder:
         self.used += total
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each has."""
+        """The ids of all texts, one after another, each followed by the end id, and how many each has."""
         first, used = len(self.known), self.used
         cut = [pieces_of(t) for t in texts]
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        for pieces in cut:
+            pieces.append(None)
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int32)
         if len(self.known) > first:
             self._learn(first)
         n = self.sizes[number]
         ids = self.ids[_spans(self.starts[number], n)]
-        ends = np.append(0, np.cumsum(n))[np.cumsum([len(c) for c in cut])]
+        ends = np.cumsum(n)[np.cumsum([len(c) for c in cut]) - 1] if cut else np.zeros(0, np.int64)
         if len(self.known) > KNOWN_PIECES:
             for piece in list(islice(reversed(self.known), len(self.known) - first)):
                 del self.known[piece]
@@ -149,73 +153,83 @@ class WordEncoder:
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each span, one span after another."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(sizes, dtype=np.int32)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, end_id: int) -> WordEncoder:
+    return WordEncoder(path, end_id)
 
 
-def _replace(symbols: np.ndarray, last: np.ndarray, base: int, least: int, places: np.ndarray | None = None):
+def _replace(symbols: np.ndarray, last: np.ndarray, base: int, least: int, places: np.ndarray | None, more: bool):
     """One round: the pairs found at least `least` times at these places (all, if None) become new symbols from base on.
 
-    Returns symbols, last, rules and the places to look at in the next round, or None if no pair is found. Pairs are
-    sorted together with their positions, so a pair's places lie side by side.
+    Returns symbols, last, rules and, if there are more rounds of this kind, the places to look at in the next one; None
+    if no pair is found. Pairs are sorted together with their positions, so a pair's places lie side by side.
     """
     half, room = np.uint64((base - 1).bit_length()), np.uint64(64 - 2 * (base - 1).bit_length())
-    inside = np.flatnonzero(~last[:-1]) if places is None else places[~last[places]]
-    if len(inside) < least or len(symbols) >> int(room):  # a pair and its position must share one number
+    low = (np.uint64(1) << room) - np.uint64(1)
+    if len(symbols) >> int(room):  # a pair and its position must share one number
         return None
     wide = symbols.astype(np.uint64)
-    ordered = np.sort(((wide[inside] << half | wide[inside + 1]) << room) | inside.astype(np.uint64))
+    if places is None:
+        ordered = ((wide[:-1] << half | wide[1:]) << room | np.arange(len(wide) - 1, dtype=np.uint64))[~last[:-1]]
+    else:
+        inside = places[~last[places]]
+        ordered = (wide[inside] << half | wide[inside + 1]) << room | inside.astype(np.uint64)
+    if len(ordered) < least:
+        return None
+    ordered.sort()
     key = ordered >> room
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     counts = np.diff(np.append(starts, len(key)))
     often = np.flatnonzero(counts >= least)
     if not len(often):
         return None
-    pairs = key[starts[often]]
-    chosen = np.zeros(len(counts), bool)
-    chosen[often] = True
-    at = ordered[np.repeat(chosen, counts)] & ((np.uint64(1) << room) - np.uint64(1))
+    pairs, number = key[starts[often]], counts[often]
+    at = ordered[np.repeat(counts >= least, counts)] & low
     rank_bits = np.uint64(len(often).bit_length())
-    met = np.sort(at << rank_bits | np.repeat(np.arange(len(often), dtype=np.uint64), counts[often]))
-    at = (met >> rank_bits).astype(np.int64)
-    rank = (met & ((np.uint64(1) << rank_bits) - np.uint64(1))).astype(np.int64)
+    at = at << rank_bits | np.repeat(np.arange(len(often), dtype=np.uint64), number)
+    at.sort()
+    rank = (at & ((np.uint64(1) << rank_bits) - np.uint64(1))).astype(np.int32)
+    at = (at >> rank_bits).astype(np.int32)
     pays, all_at, all_rank = np.ones(len(often), bool), at, rank
     while True:
         # Pairs that overlap in a row of matches: every second one, from the left.
-        begin = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        order = np.arange(len(at))
-        take = (order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0
+        order = np.arange(len(at), dtype=np.int32)
+        begin = np.where(np.diff(at, prepend=-2) != 1, order, 0)
+        take = ((order - np.maximum.accumulate(begin)) & 1) == 0
         left = np.bincount(rank[take], minlength=len(often))
-        # Some pairs lose too many places to others to pay for a rule: the rarer ones of them give way to the rest.
+        # Pairs that lose too many places to others to pay for a rule give way to them, but never all at once.
         poor = np.flatnonzero(pays & (left < min(least, LEAST[-1])))
         if not len(poor):
             break
-        pays[poor[np.argsort(counts[often[poor]], kind="stable")[: -(-7 * len(poor) // 8)]]] = False
+        if len(poor) == pays.sum():
+            poor = poor[np.argsort(number[poor], kind="stable")[: -(-7 * len(poor) // 8)]]
+        pays[poor] = False
         stays = pays[rank]
         at, rank = at[stays], rank[stays]
         if not len(at):
             return None
     at, rank = at[take], rank[take]
-    number = (np.cumsum(pays) - 1)[rank]
     rules = np.stack([pairs[pays] >> half, pairs[pays] & ((np.uint64(1) << half) - np.uint64(1))], axis=1).astype(np.uint32)
     symbols, last = symbols.copy(), last.copy()
-    symbols[at] = base + number
+    symbols[at] = (base - 1 + np.cumsum(pays)).astype(np.uint32)[rank]
     last[at] = last[at + 1]
     keep = np.ones(len(symbols), bool)
     keep[at + 1] = False
     symbols, last = symbols[keep], last[keep]
+    if not more:
+        return symbols, last, rules, None
     # Pairs that may now be frequent: those beside new symbols, and those that gave way in this round.
     new = at - np.arange(len(at))
     aside = all_at[~pays[all_rank]]
     aside = aside[keep[aside]]
-    moved = np.concatenate([new - 1, new, aside - np.searchsorted(at + 1, aside)])
-    moved = np.unique(moved)
-    return symbols, last, rules, moved[(moved >= 0) & (moved < len(symbols) - 1)]
+    look = np.zeros(len(symbols) + 1, bool)
+    look[new] = look[new - 1] = True
+    look[aside - np.searchsorted(at + 1, aside)] = True
+    return symbols, last, rules, np.flatnonzero(look[: len(symbols) - 1])
 
 
 def _planes(symbols: np.ndarray, wide: bool) -> bytes:
@@ -243,7 +257,7 @@ def compress(ids: np.ndarray, n_ids: np.ndarray, vocab: int, least: tuple = LEAS
     last[np.cumsum(n_ids) - 1] = True
     rules, base, k, places = [np.empty((0, 2), np.uint32)], vocab, 0, None
     while k < len(least):
-        found = _replace(symbols, last, base, least[k], places)
+        found = _replace(symbols, last, base, least[k], places, k + 1 == len(least))
         if found is None:
             k, places = k + 1, None
             continue
@@ -336,14 +350,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches):
         from pyspark import TaskContext
 
-        enc = word_encoder(tokenizer)
+        enc = word_encoder(tokenizer, end_id)
         part, block, base = TaskContext.get().partitionId(), 0, 0
         docs_held, sizes_held, ids_held, size = [], [], [], 0
 
         def flush():
             nonlocal block, base, docs_held, sizes_held, ids_held, size
-            n_ids = np.concatenate(sizes_held) + 1
-            ids = np.insert(np.concatenate(ids_held), np.cumsum(n_ids - 1), end_id)
+            n_ids, ids = np.concatenate(sizes_held), np.concatenate(ids_held)
             made = compress(ids, n_ids, enc.vocab)
             row = {"part": part, "block": block, "base": base, "vocab": enc.vocab, "doc_ids": docs_held,
                    "n_ids": n_ids.tolist()} | made | {"n_symbols": made["n_symbols"].tolist()}
@@ -354,12 +367,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t.as_py() or b"" for t in batch.column(1)]
-            for i in range(0, len(ids), 256):
-                coded, sizes = enc.encode(texts[i : i + 256])
-                docs_held += ids[i : i + 256]
+            for i in range(0, len(ids), 1024):
+                coded, sizes = enc.encode(texts[i : i + 1024])
+                docs_held += ids[i : i + 1024]
                 sizes_held.append(sizes)
                 ids_held.append(coded)
-                size += len(coded) + len(sizes)
+                size += len(coded)
                 if size >= BLOCK_IDS:
                     yield flush()
         if docs_held:
