@@ -26,18 +26,15 @@ class Codebook:
         )
 
 
-def _numbered(letter: str, *ranges: tuple[int, int]) -> tuple[str, ...]:
-    return tuple(f"{letter}{n:02d}" for a, b in ranges for n in range(a, b + 1))
-
-
 # Full-range code sets.
 DIABETES = Codebook(
     v9=("249", "250"),
     v10=("E08", "E09", "E10", "E11", "E13"),
 )
 CARDIOVASCULAR = Codebook(
-    v9=_numbered("", (410, 414), (428, 428), (433, 438), (440, 440)),
-    v10=_numbered("I", (20, 25), (50, 50), (60, 69), (70, 70)),
+    v9=("410", "411", "412", "413", "414", "428", "433", "434", "435", "436", "437", "438", "440"),
+    v10=("I20", "I21", "I22", "I23", "I24", "I25", "I50",
+         "I60", "I61", "I62", "I63", "I64", "I65", "I66", "I67", "I68", "I69", "I70"),
 )
 FULL_CODEBOOKS = {"diab": DIABETES, "cvd": CARDIOVASCULAR}
 
@@ -47,8 +44,8 @@ DIABETES_NARROW = Codebook(
     v10=("E10", "E11", "E13", "E14"),
 )
 CARDIOVASCULAR_NARROW = Codebook(
-    v9=_numbered("", (410, 414), (428, 428), (433, 434), (436, 436)),
-    v10=_numbered("I", (20, 25), (50, 50), (63, 64)),
+    v9=("410", "411", "412", "413", "414", "428", "433", "434", "436"),
+    v10=("I20", "I21", "I22", "I23", "I24", "I25", "I50", "I63", "I64"),
 )
 NARROW_CODEBOOKS = {"diab": DIABETES_NARROW, "cvd": CARDIOVASCULAR_NARROW}
 

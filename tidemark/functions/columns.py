@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,6 +230,16 @@ def inverse_normal_sql(p: str) -> str:
             f"else {q} * {poly(_INV_A, r)} / {poly(_INV_B, r)} end")
 
 
+def inverse_normal_values(p: np.ndarray) -> np.ndarray:
+    """The same for numbers in (0,1) in an array."""
+    low, high = np.sqrt(-2.0 * np.log(np.minimum(p, 0.5))), np.sqrt(-2.0 * np.log(np.minimum(1.0 - p, 0.5)))
+    q = p - 0.5
+    r = q * q
+    inner = q * np.polyval(_INV_A, r) / np.polyval(_INV_B, r)
+    tail = [np.polyval(_INV_C, t) / np.polyval(_INV_D, t) for t in (low, high)]
+    return np.where(p < _INV_TAIL, tail[0], np.where(p > 1.0 - _INV_TAIL, -tail[1], inner))
+
+
 def inverse_normal(p: str) -> Column:
     return F.expr(inverse_normal_sql(f"`{p}`"))
 

@@ -17,6 +17,7 @@ from .lookups import with_row
 from .ranking import null_safe_join, quantile_bins, quantiles, running_totals
 
 RATES = ["sensitivity", "specificity", "ppv", "npv", "accuracy", "f1"]
+# The rates that are compared between groups.
 PARITY_METRICS = ["tpr", "fpr", "ppv", "npv", "accuracy", "f1"]
 
 
@@ -317,6 +318,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], rank: str, k: int, tie: s
     return df.where(F.col(rank).isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+# Columns an importance table is ranked by, the first that it has.
 RANK_PREFERENCE = ["shap_mean_abs", "perm_importance_mean", "value_abs", "value"]
 
 

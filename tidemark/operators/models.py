@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .evaluate import metrics
+from .logistic import LinearModel, fit_grid
 
 # The full search grids.
 LOGISTIC_GRID = [("l2", c) for c in (0.01, 0.1, 1.0, 10.0)] + [("l1", c) for c in (0.01, 0.1, 1.0)]
@@ -26,7 +27,7 @@ BOOSTED_GRID = [(eta, d, s, f) for eta in (0.01, 0.05, 0.1) for d in (3, 5, 7) f
 class Fitted:
     """A selected model, its setting and its validation score."""
 
-    model: Model
+    model: Model | LinearModel
     setting: tuple
     val_score: float
     features: list[str]
@@ -57,9 +58,11 @@ def with_balanced_weight(df: DataFrame, label: str = "y") -> tuple[DataFrame, fl
     return df.withColumn("w", w), float(b["n"])
 
 
-def score(model: Model, df: DataFrame, features: Sequence[str], label: str = "y", ids: Sequence[str] = ("subject_id",)
+def score(model: Model | LinearModel, df: DataFrame, features: Sequence[str], label: str = "y", ids: Sequence[str] = ("subject_id",)
           ) -> DataFrame:
     """(ids, y_true, y_score): probability of class 1."""
+    if isinstance(model, LinearModel):
+        return df.select(*ids, F.col(label).cast("int").alias("y_true"), model.score().alias("y_score"))
     out = model.transform(packed(df, features, label))
     return out.select(*ids, F.col(label).cast("int").alias("y_true"),
                       vector_to_array("probability")[1].alias("y_score"))
@@ -90,15 +93,9 @@ def pick_best(models: list[Model], settings: list[tuple], val: DataFrame, featur
 
 def fit_logistic(train: DataFrame, val: DataFrame, features: Sequence[str], label: str = "y",
                  metric: str = "auprc", grid: Sequence[tuple] = tuple(LOGISTIC_GRID), max_iter: int = 200) -> Fitted:
-    """Balanced logistic regression; C becomes regParam = 1 / (C * total weight)."""
-    weighted, total = with_balanced_weight(train, label)
-    data = packed(weighted, features, label).select("features", "label", "w").persist()
-    try:
-        models = [LogisticRegression(weightCol="w", standardization=False, maxIter=max_iter,
-                                     regParam=1.0 / (c * total), elasticNetParam=1.0 if kind == "l1" else 0.0)
-                  .fit(data) for kind, c in grid]
-    finally:
-        data.unpersist()
+    """Balanced logistic regression, all settings of the grid in one run of rounds."""
+    b = class_balance(train, label).first()
+    models = fit_grid(train, features, grid, label, (b["weight_neg"] or 1.0, b["weight_pos"] or 1.0), max_iter)
     return pick_best(models, list(grid), val, features, metric, label)
 
 
@@ -139,9 +136,8 @@ def fit_boosted(train: DataFrame, val: DataFrame, features: Sequence[str], label
 def native_importances(spark: SparkSession, fitted: Fitted) -> DataFrame:
     """(feature, value, kind, derived, derived_value): coefficients with odds ratios, or tree importances."""
     m = fitted.model
-    if hasattr(m, "coefficients"):
-        values = spark.createDataFrame(
-            [(f, float(v)) for f, v in zip(fitted.features, m.coefficients.toArray())], "feature string, value double")
+    if isinstance(m, LinearModel):
+        values = spark.createDataFrame(list(zip(m.features, m.coefficients)), "feature string, value double")
         return values.select("*", F.lit("coefficient").alias("kind"), F.lit("odds_ratio").alias("derived"),
                              F.exp("value").alias("derived_value"))
     kind = "boosted_importance" if "GBT" in type(m).__name__ else "gini_importance"
@@ -159,5 +155,12 @@ def fit_two_tasks(train: DataFrame, val: DataFrame, features: Sequence[str], tas
     return fitted, sum(f.val_score for f in fitted.values()) / len(fitted)
 
 
-def save_model(model: Model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: Model | LinearModel, path: str) -> None:
+    if isinstance(model, LinearModel):
+        model.rows(spark).write.mode("overwrite").parquet(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_linear(spark: SparkSession, path: str) -> LinearModel:
+    return LinearModel.from_rows(spark.read.parquet(path))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.binning import edges_at_or_below_many
 from .chained import ROUNDS, Chain, filled, fit_chain
 from .ranking import first_rows, quantiles
 
@@ -178,45 +179,38 @@ def apply(df: DataFrame, prep: Preparation) -> DataFrame:
         for c in out.columns])
 
 
+def normal_scores(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """Normal quantiles of the levels that values have among sorted knots; NaN stays.
+
+    Between knots the level is interpolated; on a repeated knot it is the middle of its levels.
+    """
+    edges, first, counts = np.unique(knots, return_index=True, return_counts=True)
+    lo, hi = first / (len(knots) - 1), (first + counts - 1) / (len(knots) - 1)
+    k = np.clip(np.searchsorted(edges, x, side="right") - 1, 0, max(len(edges) - 2, 0))
+    after = np.minimum(k + 1, len(edges) - 1)
+    gap = np.where(edges[after] > edges[k], edges[after] - edges[k], 1.0)
+    level = np.where(x == edges[k], (lo[k] + hi[k]) / 2, hi[k] + (x - edges[k]) / gap * (lo[after] - hi[k]))
+    level = np.where(x <= edges[0], 0.0, np.where(x >= edges[-1], 1.0, level))
+    z = C.inverse_normal_values(np.clip(level, 1e-7, 1 - 1e-7))
+    z = np.where(level <= 1e-7, -NORMAL_LIMIT, np.where(level >= 1 - 1e-7, NORMAL_LIMIT, z))
+    return np.where(np.isnan(x), np.nan, z)
+
+
 def quantile_normal(df: DataFrame, knots: dict[str, Sequence[float]]) -> DataFrame:
     """Map columns through the empirical distribution of their knots to a standard normal.
 
-    Between knots the level is interpolated; on a repeated knot it is the middle of its levels.
+    The knots, at most 1,000 a column, are sent to the tasks and looked up there, so the plan names the columns and
+    nothing else.
     """
-    edges: dict[str, list[float]] = {}
-    first: dict[str, list[float]] = {}
-    last: dict[str, list[float]] = {}
-    for c, values in knots.items():
-        e, lo, hi = [], [], []
-        for i, v in enumerate(values):
-            level = i / (len(values) - 1)
-            if e and e[-1] == v:
-                hi[-1] = level
-            else:
-                e.append(v)
-                lo.append(level)
-                hi.append(level)
-        edges[c], first[c], last[c] = e, lo, hi
-    out = edges_at_or_below_many(df, edges, "__k")
-
-    def constant(values: Sequence[float]) -> str:
-        return f"cast(split('{','.join(repr(float(v)) for v in values)}', ',') as array<double>)"
-
-    # SQL text with lambda variables: each neighbour and level is evaluated once per row
-    mapped = {}
-    for c in knots:
-        x, k = f"`{c}`", f"`{c}__k`"
-        e, lo, hi = constant(edges[c]), constant(first[c]), constant(last[c])
-        near = (f"named_struct('e', get({e}, {k} - 1), 'e2', get({e}, {k}), 'lo', get({lo}, {k} - 1), "
-                f"'hi', get({hi}, {k} - 1), 'lo2', get({lo}, {k}))")
-        level = (f"case when {x} <= {edges[c][0]!r}D then 0D when {x} >= {edges[c][-1]!r}D then 1D "
-                 f"when {x} = n.e then (n.lo + n.hi) / 2D "
-                 f"else n.hi + ({x} - n.e) / (n.e2 - n.e) * (n.lo2 - n.hi) end")
-        normal = (f"case when p <= 1e-7D then -{NORMAL_LIMIT!r}D when p >= 1D - 1e-7D then {NORMAL_LIMIT!r}D "
-                  f"else {C.inverse_normal_sql('p')} end")
-        z = f"transform(array(transform(array({near}), n -> {level})[0]), p -> {normal})[0]"
-        mapped[c] = F.expr(f"case when {x} is not null then {z} end")
-    return out.withColumns(mapped).drop(*[f"{c}__k" for c in knots])
+    columns = list(knots)
+    held = df.sparkSession.sparkContext.broadcast({c: np.array(knots[c], float) for c in columns})
+
+    @F.pandas_udf(", ".join(f"q{i} double" for i in range(len(columns))))
+    def scores(*values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({f"q{i}": normal_scores(v.to_numpy(float), held.value[c]) for i, (c, v) in enumerate(zip(columns, values))})
+
+    out = df.withColumn("__q", scores(*[F.col(c).cast("double") for c in columns]))
+    return out.withColumns({c: F.col("__q")[f"q{i}"] for i, c in enumerate(columns)}).drop("__q")
 
 
 def parameter_rows(spark: SparkSession, prep: Preparation) -> DataFrame:

@@ -306,7 +306,7 @@ def _test_metrics(b, fitted, design, features):
 @query("M1 M4")
 def train_logistic(b):
     d, f = _design(b)
-    return _test_metrics(b, M.fit_logistic(_fold(d, "train"), _fold(d, "val"), f, max_iter=50), d, f)
+    return _test_metrics(b, M.fit_logistic(_fold(d, "train"), _fold(d, "val"), f), d, f)
 
 
 @query("M2 M4")
@@ -326,27 +326,24 @@ def train_boosted(b):
 @query("M6")
 def native_importances(b):
     d, f = _design(b)
-    return rounded(M.native_importances(b.spark, M.fit_logistic(_fold(d, "train"), _fold(d, "val"), f,
-                                                                grid=[("l2", 1.0)], max_iter=50)))
+    return rounded(M.native_importances(b.spark, M.fit_logistic(_fold(d, "train"), _fold(d, "val"), f)))
 
 
 @query("M7")
 def train_two_tasks(b):
     d, f = _design(b)
     d = d.withColumn("y_big", (F.col("f_price") > 0).cast("int"))
-    fitted, _ = M.fit_two_tasks(_fold(d, "train"), _fold(d, "val"), f, ["y", "y_big"], grid=[("l2", 1.0)], max_iter=30)
+    fitted, _ = M.fit_two_tasks(_fold(d, "train"), _fold(d, "val"), f, ["y", "y_big"])
     return rounded(P.wide_task_predictions({t: M.score(m.model, _fold(d, "test"), f, t) for t, m in fitted.items()}))
 
 
 @query("M8 M5")
 def stored_model_scores(b):
-    from pyspark.ml.classification import LogisticRegressionModel
-
     d, f = _design(b)
-    fitted = M.fit_logistic(_fold(d, "train"), _fold(d, "val"), f, grid=[("l2", 1.0)], max_iter=30)
+    fitted = M.fit_logistic(_fold(d, "train"), _fold(d, "val"), f)
     path = fresh_path(b.spark, "model")
-    M.save_model(fitted.model, path)
-    return rounded(M.score(LogisticRegressionModel.load(path), _fold(d, "test"), f))
+    M.save_model(b.spark, fitted.model, path)
+    return rounded(M.score(M.load_linear(b.spark, path), _fold(d, "test"), f))
 
 
 COEF = {"f_signal": 4.0, "f_lines": -0.25037}
@@ -487,6 +484,82 @@ def precision_recall_points(b):
     return rounded(E.pr_points(P.long_predictions(b.calibrated()), ["variant"]))
 
 
+# --- one-feature models -------------------------------------------------------------------
+
+
+def newton_sql(label: str) -> str:
+    """Newton rounds of a logistic regression on one feature for every setting; the intercept is eliminated first."""
+    grid = ", ".join(f"({i}, '{k}', {c!r}::double)" for i, (k, c) in enumerate(M.LOGISTIC_GRID))
+    return f"""grid(nr, kind, c) as (values {grid}), tr as (select f_signal as x, {label} as y from matrix where fold = 'train'),
+d as materialized (select x, sum(w) as wa, sum(w * y) as wp from (select x, y, case when y = 1 then n / (2.0 * p) else n / (2.0 * (n - p)) end as w
+ from tr, (select count(*) as n, sum(y) as p from tr)) group by x),
+fits(i, nr, kind, c, a, b) as (select 0, nr, kind, c, 0.0::double, 0.0::double from grid union all
+ select i + 1, nr, kind, c, a - (g0 + h01 * (z - b)) / h00, z from
+ (select *, case when kind = 'l2' then u * h / (h + 1) else sign(u) * greatest(abs(u) - 1 / h, 0) end as z from
+ (select *, b - (g1 - g0 * h01 / h00) / h as u from (select *, h11 - h01 * h01 / h00 as h from
+ (select i, nr, kind, c, a, b, c * sum(wa * q - wp) as g0, c * sum((wa * q - wp) * x) as g1, c * sum(wa * q * (1 - q)) as h00,
+  c * sum(wa * q * (1 - q) * x) as h01, c * sum(wa * q * (1 - q) * x * x) as h11
+  from (select *, 1 / (1 + exp(-(a + b * x))) as q from fits, d where i < 20) group by i, nr, kind, c, a, b)))))"""
+
+
+def _one_feature(b):
+    m = b.stored_matrix().select("subject_id", "fold", "f_signal", "y")
+    return m, M.fit_grid(_fold(m, "train"), ["f_signal"], M.LOGISTIC_GRID, weights=_balance(_fold(m, "train")))
+
+
+def _balance(train):
+    w = M.class_balance(train).first()
+    return w["weight_neg"], w["weight_pos"]
+
+
+@query("M1 M4 A13", f"""with recursive {newton_sql('y')}, done as (select * from fits where i = 20),
+vs as (select nr, y as y_true, 1 / (1 + exp(-(a + b * f_signal))) as score from matrix, done where fold = 'val'),
+per as ({metrics_sql('vs', 'nr')})
+select kind, c, {R('a', 'intercept')}, {R('b', 'coefficient')}, {R('auprc', 'val_auprc')}, {R('brier', 'val_brier')}
+from done join per using (nr)""")
+def logistic_grid(b):
+    """All seven settings of the grid, fitted together, with their validation metrics."""
+    m, models = _one_feature(b)
+    val = M.validation_scores(models, _fold(m, "val"), ["f_signal"])
+    rows = [(i, k, float(c), x.intercept, x.coefficients[0]) for i, ((k, c), x) in enumerate(zip(M.LOGISTIC_GRID, models))]
+    fits = b.spark.createDataFrame(rows, "candidate int, kind string, c double, intercept double, coefficient double")
+    return rounded(fits.join(val, "candidate").select("kind", "c", "intercept", "coefficient", F.col("auprc").alias("val_auprc"),
+                                                      F.col("brier").alias("val_brier")))
+
+
+@query("M6 M1", f"""with recursive {newton_sql('y')}
+select 'f_signal' as feature, {R('b', 'value')}, 'coefficient' as kind, 'odds_ratio' as derived, {R('exp(b)', 'derived_value', 4)} from fits
+where i = 20 and kind = 'l2' and c = 1""")
+def logistic_importances(b):
+    m = b.stored_matrix()
+    fitted = M.fit_logistic(_fold(m, "train"), _fold(m, "val"), ["f_signal"], grid=[("l2", 1.0)])
+    out = rounded(M.native_importances(b.spark, fitted).drop("derived_value"))
+    return out.join(rounded(M.native_importances(b.spark, fitted).select("feature", "derived_value"), 4), "feature")
+
+
+@query("M8 M5 M1", f"""with recursive {newton_sql('y')}
+select subject_id, y as y_true, {R('1 / (1 + exp(-(a + b * f_signal)))', 'y_score')} from matrix, fits
+where i = 20 and kind = 'l1' and c = 0.1 and fold = 'test'""")
+def stored_logistic_scores(b):
+    """A model written as a table, read back, and applied to the test fold."""
+    m, models = _one_feature(b)
+    path = fresh_path(b.spark, "linear-model")
+    M.save_model(b.spark, models[M.LOGISTIC_GRID.index(("l1", 0.1))], path)
+    return rounded(M.score(M.load_linear(b.spark, path), _fold(m, "test"), ["f_signal"]))
+
+
+@query("M7 M1", f"""with recursive {newton_sql('y').replace('fits', 'fits_y').replace('grid(', 'grid_y(').replace('from grid ', 'from grid_y ').replace(' tr ', ' tr_y ').replace('from tr,', 'from tr_y,').replace('from tr)', 'from tr_y)').replace('d as materialized', 'd_y as materialized').replace('fits_y, d where', 'fits_y, d_y where')},
+{newton_sql('(f_price > 250000)::int')}
+select subject_id, y as y_y_true, (f_price > 250000)::int as y_big_y_true, {R('1 / (1 + exp(-(fy.a + fy.b * f_signal)))', 'y_y_score')},
+{R('1 / (1 + exp(-(fb.a + fb.b * f_signal)))', 'y_big_y_score')} from matrix, fits_y fy, fits fb
+where fy.i = 20 and fy.kind = 'l2' and fy.c = 1 and fb.i = 20 and fb.kind = 'l2' and fb.c = 1 and fold = 'test'""")
+def two_task_scores(b):
+    m = b.stored_matrix().withColumn("y_big", (F.col("f_price") > 250000).cast("int"))
+    fitted, _ = M.fit_two_tasks(_fold(m, "train"), _fold(m, "val"), ["f_signal"], ["y", "y_big"], grid=[("l2", 1.0)])
+    scores = {t: M.score(f.model, _fold(m, "test"), ["f_signal"], t) for t, f in fitted.items()}
+    return rounded(P.wide_task_predictions(scores))
+
+
 # --- calibration --------------------------------------------------------------------------
 
 
