@@ -26,9 +26,13 @@ def oracle():
 
 
 @pytest.fixture
-def large_paths(spark):
-    """Treat every input as large: split value ranges, no broadcast, split any skewed join."""
-    forced = {"tidemark.onePassInputBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1",
+def large_paths(spark, monkeypatch):
+    """Treat every input as large: keys cut at few values, no broadcast, split any skewed join."""
+    from tidemark.operators import ranking
+
+    monkeypatch.setattr(ranking, "PIECE_VALUES", 3)
+    monkeypatch.setattr(ranking, "PIECES", 8)
+    forced = {"spark.sql.autoBroadcastJoinThreshold": "-1",
               "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
               "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
               "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}

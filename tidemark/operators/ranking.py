@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import edges_at_or_below, number_array, right_closed_bin
 from .lookups import lookup_join, with_row
-from .sizing import ONE_PASS_BYTES, is_small
 
-MAX_LISTED_PROBS = 32
+#: A key with more distinct values than this is cut into pieces at its own quantiles, so many pieces.
+PIECE_VALUES, PIECES = 100_000, 64
 
 
 def split_points(df: DataFrame, value: str, pieces: int | None = None) -> list[float]:
@@ -35,11 +35,6 @@ def split_points(df: DataFrame, value: str, pieces: int | None = None) -> list[f
     return sorted(set(row["q"] or []))
 
 
-def choose_splits(df: DataFrame, value: str) -> list[float]:
-    """No cut for small inputs, else measured cut values."""
-    return [] if is_small(df, ONE_PASS_BYTES) else split_points(df, value)
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys where null equals null; the right side's keys are dropped."""
     names = {k: f"__r_{k}" for k in keys}
@@ -49,30 +44,39 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, cond, how).drop(*names.values())
 
 
+def _pieces(grouped: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds `__piece`, the range of the key's own quantiles that a value lies in; grouped has a row per (keys, value).
+
+    The quantiles are an aggregate in the same plan, over what is grouped already: the input is read once, every key is
+    cut by its own values, and a hot key gets pieces of its own.
+    """
+    probs = [i / PIECES for i in range(1, PIECES)]
+    x = F.col(value).cast("double")
+    cuts = grouped.groupBy(*keys).agg(
+        F.when(F.count(F.lit(1)) > PIECE_VALUES, F.percentile_approx(x, probs, 20 * PIECES)).alias("__cuts"))
+    joined = null_safe_join(grouped, cuts, keys) if keys else with_row(grouped, cuts)
+    return joined.withColumn("__piece", F.coalesce(F.size(F.filter("__cuts", lambda e: e <= x)), F.lit(0))).drop("__cuts")
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column],
                    descending: bool = False, splits: Sequence[float] | None = None) -> DataFrame:
-    """One row per (keys, value): each sum, `<name>_to` up to and including it, `<name>_all` per key."""
+    """One row per (keys, value): each sum, `<name>_to` up to and including it, `<name>_all` per key.
+
+    splits are cut values for all keys, if the caller has them.
+    """
     keys = list(keys)
-    if splits is None:
-        splits = choose_splits(df, value)
     order = F.col(value).desc() if descending else F.col(value).asc()
     totals = [F.sum(c).alias(n) for n, c in sums.items()]
-    if not splits:
-        grouped = df.groupBy(*keys, value).agg(*totals)
-        part = Window.partitionBy(*keys)
-        upto = part.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return grouped.select(
-            "*",
-            *[F.sum(n).over(upto).alias(f"{n}_to") for n in sums],
-            *[F.sum(n).over(part).alias(f"{n}_all") for n in sums],
-        )
-    cut = edges_at_or_below(df.withColumn("__v", F.col(value).cast("double")), "__v", splits, "__piece").drop("__v")
-    grouped = cut.groupBy(*keys, "__piece", value).agg(*totals)
+    grouped = df.groupBy(*keys, value).agg(*totals)
+    if splits is None:
+        grouped = _pieces(grouped, keys, value)
+    else:
+        grouped = edges_at_or_below(grouped.withColumn("__v", F.col(value).cast("double")), "__v", splits, "__piece").drop("__v")
     whole = Window.partitionBy(*keys)
     piece_order = F.col("__piece").desc() if descending else F.col("__piece").asc()
     before = whole.orderBy(piece_order).rowsBetween(Window.unboundedPreceding, -1)
     pieces = (
-        grouped.groupBy(*keys, "__piece").agg(*[F.sum(n).alias(n) for n in sums])  # reuses the shuffle of grouped
+        grouped.groupBy(*keys, "__piece").agg(*[F.sum(n).alias(n) for n in sums])
         .select(
             *keys, "__piece",
             *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__{n}_before") for n in sums],
@@ -104,11 +108,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     """
     keys, probs = list(keys), [float(p) for p in probs]
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
-    if splits is None:
-        splits = choose_splits(data, "__x")
     ranked = running_totals(data, keys, "__x", {"n": F.lit(1)}, splits=splits)
     top = len(probs) - 1
-    if len(probs) > MAX_LISTED_PROBS and all(abs(p - i / top) <= 1e-9 for i, p in enumerate(probs)):
+    if top and all(abs(p - i / top) <= 1e-9 for i, p in enumerate(probs)):
         return _spaced_quantiles(ranked, keys, probs, out)
     start = F.col("n_to") - F.col("n")
     last = (F.col("n_all") - 1).cast("double")
