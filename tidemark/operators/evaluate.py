@@ -305,10 +305,11 @@ def worst_gaps(gaps: DataFrame) -> DataFrame:
 
 
 def deltas_to_base(results: DataFrame, names: Sequence[str] = ("auroc", "auprc", "ece")) -> DataFrame:
-    """Each scenario minus the base scenario of the same dir, variant and label."""
+    """Each scenario minus the base scenario of the same dir, variant and label, which a group's rows hand on to all."""
     on = [c for c in ("dir", "variant", "label") if c in results.columns]
-    base = results.where(F.col("scenario") == "base").select(*on, *[F.col(m).alias(f"base_{m}") for m in names])
-    return results.where(F.col("scenario") != "base").join(base, on, "left").select(
+    group = Window.partitionBy(*on)
+    base = [F.max(F.when(F.col("scenario") == "base", F.col(m))).over(group).alias(f"base_{m}") for m in names]
+    return results.select("*", *base).where(F.col("scenario") != "base").select(
         *on, "scenario", *[(F.col(m) - F.col(f"base_{m}")).alias(f"d_{m}") for m in names], "n", "pos_rate")
 
 

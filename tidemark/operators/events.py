@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,6 +233,15 @@ def with_lab_labels(labevents: DataFrame, dictionary: DataFrame | None) -> DataF
     return lookup_join(labevents, one, "itemid", "left")
 
 
+def time_order(df: DataFrame, time: str, row_id: str) -> Column:
+    """Time, then row number, in one number of fixed width, so that the latest row is found while hashing; a pair where
+    the row id isn't a whole number."""
+    if not isinstance(df.schema[row_id].dataType, T.IntegralType):
+        return F.struct(F.col(time), F.col(row_id))
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType), F.col(time))
+    return (at.cast("decimal(19,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)") + F.col(row_id).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def lab_statistics(window: DataFrame, row_id: str, value: str = "valuenum", time: str = "charttime",
                    keep_null_last: bool = True) -> DataFrame:
     """Per subject and label: min, max, mean, count of values, last value, unit, recency in days.
@@ -239,7 +249,7 @@ def lab_statistics(window: DataFrame, row_id: str, value: str = "valuenum", time
     `last` is the value of the latest row (null when that row has none), or of the latest non-null
     row when keep_null_last is false. Rows at one time are ordered by `row_id`.
     """
-    order = F.struct(F.col(time), F.col(row_id))
+    order = time_order(window, time, row_id)
     last_at = order if keep_null_last else F.when(F.col(value).isNotNull(), order)
     aggs = [
         F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),

@@ -68,6 +68,18 @@ def time_slice_rows(long: DataFrame, meta: DataFrame, by: str, time: str = "inde
     return rows
 
 
+def scenario_rows(scored: DataFrame, labels: DataFrame, label_cols: Sequence[str], meta: DataFrame, by: str = "quarter") -> DataFrame:
+    """Every scenario as rows (scenario, label, subject_id, y_true, score), to be evaluated in one run.
+
+    scored has (scenario, subject_id, score). Matrix scenarios are judged by the first label; the base scores also by the
+    other labels, and by the first label in each time slice.
+    """
+    rows = scored_labels(scored, labels, label_cols).where((F.col("scenario") == "base") | (F.col("label") == label_cols[0]))
+    rows = rows.select("scenario", "label", "subject_id", "y_true", "score")
+    base = rows.where((F.col("scenario") == "base") & (F.col("label") == label_cols[0])).drop("scenario")
+    return rows.unionByName(time_slice_rows(base, meta, by).select(*rows.columns))
+
+
 def scenario_results(long: DataFrame, thresholds: DataFrame | None = None, bins: int = 15,
                      splits=None) -> tuple[DataFrame, DataFrame | None]:
     """Metrics with ECE per (scenario, variant, label), and threshold rows when rules are given."""

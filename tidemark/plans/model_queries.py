@@ -899,6 +899,40 @@ def scenario_results(b):
     return rounded(_results(b))
 
 
+WHOLE = f"""{_scenario_sql()}, big as (select subject_id, cast(f_price > 250000 as int) as y_big from matrix),
+whole as (select scenario, 'y' as label, subject_id, y_true, score from scored union all
+select 'base', 'y_big', subject_id, y_big, score from scored join big using (subject_id) where scenario = 'base' union all
+select 'time_quarter_' || year(index_time) || 'Q' || quarter(index_time), 'y', subject_id, y_true, score
+from scored join (select subject_id, index_time from group_meta) using (subject_id) where scenario = 'base'),
+rows as (select *, 'raw' as variant from whole)"""
+
+
+def _whole_scenarios(b):
+    """Base, ablation of the feature that ranks first, noise, other labels and time slices of one model's scores."""
+    m = _linear_rows(b).drop("margin", "score")
+    first = E.top_features(X.linear_attribution(_linear_rows(b), COEF), 1)
+    scored = _with_margin(RB.matrix_scenarios(m, ["f_signal", "f_lines"], first, "mean", [0.5])).select("scenario", "subject_id", "score")
+    labels = b.matrix().select("subject_id", "y", (F.col("f_price") > 250000).alias("y_big"))
+    return RB.scenario_rows(scored, labels, ["y", "y_big"], b.group_meta()).withColumn("variant", F.lit("raw"))
+
+
+def _half(b):
+    return b.spark.createDataFrame([("raw", "half", 0.5), ("raw", "low", 0.2)], "variant string, rule string, threshold double")
+
+
+@query("E29 E25 E26 E27 E28 W7", f"""with {WHOLE} select scenario, variant, label, {ROUNDED_METRICS}, {R('ece')} from
+({metrics_sql('rows', 'scenario, variant, label')}) join ({ece_sql('rows', 'scenario, variant, label')}) using (scenario, variant, label)""")
+def scenario_table(b):
+    return rounded(RB.scenario_results(_whole_scenarios(b))[0])
+
+
+@query("E29 E8", f"""with {WHOLE}, rules as (select 'raw' as variant, * from (values ('half', 0.5::double), ('low', 0.2::double)) t(rule, threshold))
+select scenario, variant, label, rule, threshold, tp, fp, tn, fn, {R('sens', 'sensitivity')}, {R('spec', 'specificity')}, {R('ppv')}, {R('npv')},
+{R('acc', 'accuracy')}, {R('f1')} from ({confusion_sql('rows', 'scenario, variant, label')})""")
+def scenario_threshold_table(b):
+    return rounded(RB.scenario_results(_whole_scenarios(b), _half(b))[1])
+
+
 @query("J11", f"""with {RESULTS} select 'raw' as variant, 'y' as label, r.scenario, {R('r.auroc - b.auroc', 'd_auroc')},
 {R('r.auprc - b.auprc', 'd_auprc')}, {R('r.ece - b.ece', 'd_ece')}, r.n, {R('r.pos_rate', 'pos_rate')}
 from results r, results b where b.scenario = 'base' and r.scenario <> 'base'""")
@@ -1030,6 +1064,18 @@ def check_ranges(b):
         .unionByName(Q.negative(p, ["y_score", "shifted"], "scores"))
 
 
+@query("Q3 S10", f"""with {FOLD_METRICS}, stored as (select auroc + 0.4 as auroc, auprc, brier, logloss, ece - 0.01 as ece from met join cal using (split, variant))
+select 'WARN' as severity, 'BAD_RANGE' as code, 'metrics.json' as "where", detail from (
+select 'auroc outside [0,1]: ' || count(*) filter (auroc > 1) as detail, count(*) filter (auroc > 1) as k from stored union all
+select 'ece below 0: ' || count(*) filter (ece < 0), count(*) filter (ece < 0) from stored) where k > 0""")
+def check_artifact_ranges(b):
+    """Ranges of metrics read from their stored file, with planted errors."""
+    m = A.calibration_metric_rows(b.spark, _write_calibration_json(b))
+    bad = m.withColumn("auroc", F.col("auroc") + 0.4).withColumn("ece", F.col("ece") - 0.01)
+    return Q.outside_unit(bad, ["auroc", "auprc", "brier"], "metrics.json").unionByName(
+        Q.negative(bad, ["logloss", "ece"], "metrics.json"))
+
+
 @query("Q4", f"""with turned as (select variant, y_true, 1 - score as score from long_preds)
 select 'WARN' as severity, 'AUPRC_BELOW_PREV' as code, variant as "where", printf('%.4f', auprc) as detail
 from ({metrics_sql('turned', 'variant')}) where auprc + 1e-6 < greatest(0, pos_rate - 0.05)""")
