@@ -120,6 +120,19 @@ def index_stays(admissions: DataFrame, patients: DataFrame, min_age: int = 18,
     )
 
 
+#: Row and stay numbers are whole, not negative and below this, so a time since year 1 and one of them make one number.
+_ROWS = 10**19
+
+
+def time_order(df: DataFrame, time: str, row_id: str) -> Column:
+    """Time, then row number, in one number of fixed width, so that the latest row is found while hashing; a pair where
+    the row id isn't a whole number."""
+    if not isinstance(df.schema[row_id].dataType, T.IntegralType):
+        return F.struct(F.col(time), F.col(row_id))
+    at = F.timestamp_diff("MICROSECOND", F.lit("0001-01-01 00:00:00").cast(df.schema[time].dataType), F.col(time))
+    return (at.cast("decimal(19,0)") * F.lit(Decimal(_ROWS)).cast("decimal(20,0)") + F.col(row_id).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 # --- labels ---------------------------------------------------------------------------
 
 
@@ -149,13 +162,23 @@ def dated_diagnoses(diagnoses: DataFrame, admissions: DataFrame, books: dict[str
 
 
 def earliest_events(dated: DataFrame, conditions: Sequence[str]) -> DataFrame:
-    """First (time, stay) per subject and condition, all conditions in one pass."""
-    when = F.struct(F.col("dx_time").alias("t"), F.col("hadm_id").alias("h"))
+    """First (time, stay) per subject and condition, all conditions in one pass.
+
+    Whole stay numbers are packed behind the time, and the smallest number taken apart again, so the pass only hashes.
+    """
+    kind = dated.schema["dx_time"].dataType
+    packed = isinstance(dated.schema["hadm_id"].dataType, T.IntegralType)
+    when = time_order(dated, "dx_time", "hadm_id") if packed else F.struct(F.col("dx_time").alias("t"), F.col("hadm_id").alias("h"))
     first = dated.groupBy("subject_id").agg(
         *[F.min(F.when(F.col(f"is_{n}"), when)).alias(n) for n in conditions])
     out = [F.col("subject_id")]
     for n in conditions:
-        out += [F.col(n)["t"].alias(f"{n}_first_event_time"), F.col(n)["h"].alias(f"{n}_first_event_hadm_id")]
+        if packed:
+            at = F.expr(f"timestampadd(MICROSECOND, floor(`{n}` div {_ROWS}BD), timestamp_ntz'0001-01-01')").cast(kind)
+            stay = F.expr(f"pmod(`{n}`, {_ROWS}BD)").cast(dated.schema["hadm_id"].dataType)
+        else:
+            at, stay = F.col(n)["t"], F.col(n)["h"]
+        out += [at.alias(f"{n}_first_event_time"), stay.alias(f"{n}_first_event_hadm_id")]
     return first.select(*out)
 
 
@@ -233,15 +256,6 @@ def with_lab_labels(labevents: DataFrame, dictionary: DataFrame | None) -> DataF
     return lookup_join(labevents, one, "itemid", "left")
 
 
-def time_order(df: DataFrame, time: str, row_id: str) -> Column:
-    """Time, then row number, in one number of fixed width, so that the latest row is found while hashing; a pair where
-    the row id isn't a whole number."""
-    if not isinstance(df.schema[row_id].dataType, T.IntegralType):
-        return F.struct(F.col(time), F.col(row_id))
-    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType), F.col(time))
-    return (at.cast("decimal(19,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)") + F.col(row_id).cast("decimal(19,0)")).cast("decimal(38,0)")
-
-
 def lab_statistics(window: DataFrame, row_id: str, value: str = "valuenum", time: str = "charttime",
                    keep_null_last: bool = True) -> DataFrame:
     """Per subject and label: min, max, mean, count of values, last value, unit, recency in days.
