@@ -543,7 +543,82 @@ def test_toxicity_on_held_out(spark):
     assert sum(p for t, p in hit if t) / sum(t for t, _ in hit) > 0.9
     other = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit_odds(docs, labels), toxicity.fit_odds(docs, other)
-    assert a.toxic == b.toxic and (a.toxic_words == b.toxic_words).all()
+    assert a.words == b.words and a.heads == b.heads and len(a.words) > 1000
+
+
+def plain_toxicity(docs, marks):
+    """Scores of all texts: word counts, odds, tail and curve by loops over the labelled documents."""
+    import math
+
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    plain = lambda w: w.decode("utf-8", "replace").lower().strip("!?.,;:()[]{}<>\"'`*#$%&|-_/\\~")
+    raw = {i: (t or "").encode() for i, t in docs}
+    train = [(raw[i], marks[i]) for i in raw if i in marks and part(i) in (1, 2, 3)]
+    word, head = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for t, label in train:
+        own = {plain(w) for w in t.split()}
+        for table, names in ((word, own), (head, {w[:4] for w in own})):
+            for n in names:
+                table[n][0] += label
+                table[n][1] += 1
+    rate = (sum(x for _, x in train) + 0.5) / (len(train) + 1)
+    odds = lambda p: min(max(math.log(p / (1 - p)) - math.log(rate / (1 - rate)), -2), 7) - 1.5
+    by_head = {h: (t + 3 * rate) / (n + 3) for h, (t, n) in head.items()}
+
+    def value(w):
+        w = plain(w)
+        if w in word:
+            t, n = word[w]
+            p = (t + 3 * by_head[w[:4]]) / (n + 3)
+            if n >= 20 or (n >= 2 and p > by_head[w[:4]]):
+                return odds(p)
+        return odds(by_head[w[:4]]) if head.get(w[:4], [0, 0])[1] >= 2 else -1.5
+
+    known = {}
+    scores = {i: np.array([known.setdefault(w, value(w)) if w not in known else known[w] for w in t.split()], float) for i, t in raw.items()}
+    held = [(scores[i], marks[i]) for i in raw if i in marks and part(i) == 4]
+    cells, tail = np.zeros(256), np.zeros(256 * 64)
+    for s, label in held:
+        if not label:
+            np.add.at(cells, ((s + 3.5) / 0.05).astype(int).clip(0, 255), 1)
+            for _, _, x in toxicity.maximal_segments(s):
+                tail[min(int(x / 0.05), len(tail) - 1)] += 1
+    middle = -3.5 + (np.arange(256) + 0.5) * 0.05
+    p = cells / cells.sum()
+    decay = 5.0
+    if p[middle > 0].sum() and (p * middle).sum() < 0:
+        lo, hi = 1e-3, 5.0
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if (p * np.exp(mid * middle)).sum() > 1 else (mid, hi)
+        decay = hi
+    size = (tail[40:].sum() + 0.5) * math.exp(2 * decay) / (cells.sum() + 1)
+
+    def evidence(s):
+        found = [decay * x - math.log(max(size * len(s), 1e-12)) for _, _, x in toxicity.maximal_segments(s)]
+        return math.log1p(sum(e for e in found if e > 0))
+
+    x = np.array([min(int(evidence(s) / 0.02), 399) for s, _ in held])
+    x, y = np.where(x == 0, 0.0, (x + 0.5) * 0.02), np.array([label for _, label in held], float)
+    a = b = 0.0
+    for _ in range(500):  # plain Newton steps on the penalised likelihood, document by document
+        q = 1 / (1 + np.exp(-np.clip(a + b * x, -500, 500)))
+        w = np.maximum(q * (1 - q), 1e-9)
+        grad = np.array([(y - q).sum() - 0.01 * a, ((y - q) * x).sum() - 0.01 * b])
+        hess = np.array([[w.sum() + 0.01, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.01]])
+        step = np.clip(np.linalg.solve(hess, grad), -2, 2)
+        a, b = a + step[0], b + step[1]
+    return {i: 1 / (1 + math.exp(-min(max(a + b * evidence(s), -500), 500))) for i, s in scores.items()}
+
+
+def test_toxicity_against_plain_scores(spark):
+    root = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text").collect()]
+    marks = {r["doc_id"]: int(r["toxic"] > 0) for r in spark.read.parquet(f"{root}/labels.parquet").where("toxic is not null").collect()}
+    want = plain_toxicity(docs, marks)
+    got = {r["doc_id"]: r["score"] for r in queries.op7_toxicity(spark, root).collect()}
+    assert set(got) == set(want)
+    assert np.array([got[i] for i in want]) == pytest.approx(np.array(list(want.values())), abs=1e-6)
 
 
 def test_toxicity_edges(spark, edges, nothing):
@@ -780,23 +855,103 @@ def test_bpe_odd_texts():
         assert own.decode(ids) == t
 
 
-def test_pipeline_stages(spark, documents):
-    """Every stage but the last keeps the columns; near-copies leave one row a class; ids are the library's."""
+def plain_mix(rows):
+    """How often each (doc_id, text) is written: keys, epochs and the part of an epoch, document by document."""
+    import math
+
+    sizes = defaultdict(int)
+    units = []
+    for nth_of, r in zip(numbered_repeats(rows), rows):
+        words = re.findall("[^\x20\x09-\x0d]+", r["text"] or "")
+        name = str(r["doc_id"]) if r["doc_id"] is not None else hashlib.md5((r["text"] or "").encode()).hexdigest()
+        digest = hashlib.md5((f"mix:{name}" + (f":{nth_of}" if nth_of > 1 else "")).encode()).hexdigest()
+        u = (int(digest[:13], 16) + 0.5) / 16**13
+        weight = 0.5 + 0.5 * (len(set(words)) / max(len(words), 1))
+        units.append((r["source"], -math.log(u) / weight, r["doc_id"], len(words), r))
+        sizes[r["source"]] += len(words)
+    names = sorted(sizes, key=lambda x: (x is None, x))
+    weights = {n: (3.0, 1.0, 2.0)[i % 3] for i, n in enumerate(names)}
+    left, open_, target = 1.5 * sum(sizes.values()), set(names), {}
+    while open_:
+        level = left / sum(weights[n] for n in open_)
+        full = [n for n in open_ if weights[n] * level > 2.0 * sizes[n]]
+        for n in full or open_:
+            target[n] = min(2.0 * sizes[n], weights[n] * level)
+            left -= target[n] if full else 0
+        open_ = open_.difference(full) if full else set()
+    out, placed = Counter(), defaultdict(int)
+    for source, _, doc_id, size, r in sorted(units, key=lambda u: (u[0] is None, u[0] or "", u[1], u[2])):
+        epochs = math.floor(target[source] / sizes[source]) if sizes[source] else 0
+        extra = placed[source] + size / 2 <= target[source] - epochs * sizes[source]
+        placed[source] += size
+        out[(doc_id, r["text"])] += epochs + extra if size else max(epochs, 1)
+    return out
+
+
+def numbered_repeats(rows):
+    seen = Counter()
+    for r in rows:
+        seen[tuple(r)] += 1
+        yield seen[tuple(r)]
+
+
+def test_pipeline_against_a_plain_chain(spark, tmp_path, monkeypatch):
+    """run() on a small table: each stage's kept rows, texts and numbers against plain code on its own input."""
     import corpus_pipeline as pipeline
 
-    docs, seen = documents, {}
-    for name, stage in pipeline.STAGES:
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        rows = out.collect()
-        assert rows and (name == "bpe" or out.columns == documents.columns)
-        seen[name] = rows
-        docs = spark.createDataFrame(rows, out.schema)
-    assert {r["doc_id"] for r in seen["toxicity"]} < {r["doc_id"] for r in documents.collect()}
-    assert {r["doc_id"] for r in seen["line_dedup"]} == {r["doc_id"] for r in seen["toxicity"]}
-    before = seen["line_dedup"]
-    prints = [simhash.fingerprint((r["text"] or "").encode().lower().split()) for r in before]
-    classes = plain_components([r["doc_id"] for r in before], prints)
-    assert {r["doc_id"] for r in seen["near_duplicates"]} == set(classes)
+    root = str(tmp_path)
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    line = "This line is long enough to be counted among the repeated ones."
+    planted = [(1000 + i, f"{line}\nown words {i} of text number {i * i}", "en", "planted", 10) for i in range(8)]
+    columns = source.columns
+    extra = spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long").select(*columns)
+    source.unionByName(extra).coalesce(2).write.parquet(f"{root}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.01/labels.parquet").write.parquet(f"{root}/labels.parquet")
+    stages = {}
+
+    def spied(name, stage):
+        def call(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+            stages[name] = (docs.collect(), out)
+            return out
+        return call
+
+    monkeypatch.setattr(pipeline, "STAGES", [(n, spied(n, f)) for n, f in pipeline.STAGES])
+    result = pipeline.run(spark, root).collect()
+    kept = {name: stages[after][0] for name, after in zip(list(stages), list(stages)[1:])}
+    assert all(out.columns == columns for _, out in list(stages.values())[:-1])
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    # Toxicity: the rows that the plain score leaves.
+    labelled = {r["doc_id"]: int(r["toxic"] > 0) for r in spark.read.parquet(f"{root}/labels.parquet").where("toxic is not null").collect()}
+    scores = plain_toxicity([(r["doc_id"], r["text"]) for r in docs.collect()], labelled)
+    want = sorted(i for i, s in scores.items() if s < 0.5)
+    assert sorted(r["doc_id"] for r in kept["toxicity"]) == want
+    gone = set(scores).difference(want)
+    assert np.mean([i in gone for i, t in labelled.items() if t and i in scores]) > 0.7
+    assert np.mean([i in gone for i, t in labelled.items() if not t and i in scores]) < 0.02
+    # Lines: those of at least 40 characters in five documents stay in the largest id only.
+    texts = {r["doc_id"]: r["text"] for r in kept["toxicity"]}
+    held = defaultdict(set)
+    strip = lambda x: re.sub("^[\x20\x09-\x0d]+|[\x20\x09-\x0d]+$", "", x).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    for i, t in texts.items():
+        for x in (t or "").split("\n"):
+            held[strip(x)].add(i)
+    often = {x: max(ids) for x, ids in held.items() if len(x) >= 40 and len(ids) >= 5}
+    plain = {i: "\n".join(x for x in (t or "").split("\n") if often.get(strip(x), i) == i) for i, t in texts.items()}
+    assert {r["doc_id"]: r["text"] or "" for r in kept["line_dedup"]} == plain
+    assert all(r["n_chars"] == len(plain[r["doc_id"]]) for r in kept["line_dedup"] if plain[r["doc_id"]] != texts[r["doc_id"]])
+    assert line in plain[1007] and line not in plain[1000]
+    # Near-duplicates: the smallest id of each class.
+    prints = [simhash.fingerprint((r["text"] or "").encode().lower().split()) for r in kept["line_dedup"]]
+    classes = plain_components([r["doc_id"] for r in kept["line_dedup"]], prints)
+    assert sorted(r["doc_id"] for r in kept["near_duplicates"]) == sorted(set(classes))
+    # Mixing: as often as the plain draw takes each.
+    mixed = Counter((r["doc_id"], r["text"]) for r in kept["mixing"])
+    assert mixed == Counter({k: n for k, n in plain_mix(kept["near_duplicates"]).items() if n})
+    # Encoding: the library's ids, one row for each copy.
     tok = Tokenizer.from_file(BYTES)
-    want = Counter((r["doc_id"], len(tok.encode(r["text"] or "", add_special_tokens=False).ids)) for r in seen["mixing"])
-    assert Counter((r["doc_id"], r["n_tokens"]) for r in seen["bpe"]) == want
+    want = Counter()
+    for (i, t), n in mixed.items():
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want[(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())] += n
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in result) == want

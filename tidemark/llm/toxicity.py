@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +12,12 @@ from pyspark.sql import functions as F
 from .caches import Bounded
 from .rows import fold, pick
 
-#: Words and their first letters are hashed to tables of these sizes.
-WORD_BITS, HEAD_BITS, HEAD_CHARS = 18, 14, 4
-WORDS, HEADS = 1 << WORD_BITS, 1 << HEAD_BITS
+#: A word's head is its first letters.
+HEAD_CHARS = 4
+#: A word has a score of its own if it leans further towards toxic than its head, in this many documents at least, or if
+#: so many documents hold it that it says something either way. Other words have the score of their head, heads that
+#: are as rare that of the corpus.
+LEANS, OFTEN = 2, 20
 #: Documents' worth of prior: of the corpus for a head, of the head for a word.
 HEAD_PRIOR, WORD_PRIOR = 3.0, 3.0
 #: A word's score is its log-odds, kept within these bounds, less the drift that lets segments end.
@@ -28,40 +30,42 @@ WORD_FOLDS, CURVE_FOLD = (1, 2, 3), 4
 _EDGES = "!?.,;:()[]{}<>\"'`*#$%&|-_/\\~"
 
 
-def _feature(word: bytes) -> int:
-    plain = word.decode("utf-8", "replace").lower().strip(_EDGES)
-    head = zlib.crc32(plain[:HEAD_CHARS].encode()) & (HEADS - 1)
-    return (zlib.crc32(plain.encode()) & (WORDS - 1)) << HEAD_BITS | head
+def plain_word(word: bytes) -> str:
+    """A word in lower case without the marks around it."""
+    return word.decode("utf-8", "replace").lower().strip(_EDGES)
 
 
-_known = Bounded(_feature)
+def head_of(plain: str) -> str:
+    return plain[:HEAD_CHARS]
 
 
-def word_features(text: bytes) -> np.ndarray:
-    """Word and head number of each word, packed into one integer."""
-    words = text.split()
-    return np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
+@dataclass
+class WordOdds:
+    """Scores of words and of heads that have their own, and of all others."""
 
+    words: dict[str, float]
+    heads: dict[str, float]
+    rest: float
 
-@dataclass(frozen=True)
-class WordOdds:
-    """How many documents of each label hold each word and head, and the log-odds they give a word."""
+    def __post_init__(self):
+        self._known = Bounded(self._score)
+
+    def __getstate__(self):
+        return self.words, self.heads, self.rest
 
-    toxic_words: np.ndarray
-    all_words: np.ndarray
-    toxic_heads: np.ndarray
-    all_heads: np.ndarray
-    toxic: int
-    documents: int
+    def __setstate__(self, state):
+        self.words, self.heads, self.rest = state
+        self.__post_init__()
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        """Log-odds of each word under nested Dirichlet priors: the corpus for its head, the head for the word."""
-        rate = (self.toxic + 0.5) / (self.documents + 1.0)
-        word, head = features >> HEAD_BITS, features & (HEADS - 1)
-        by_head = (self.toxic_heads[head] + HEAD_PRIOR * rate) / (self.all_heads[head] + HEAD_PRIOR)
-        by_word = (self.toxic_words[word] + WORD_PRIOR * by_head) / (self.all_words[word] + WORD_PRIOR)
-        odds = np.log(by_word / (1 - by_word)) - np.log(rate / (1 - rate))
-        return np.clip(odds, LOW, HIGH) - DRIFT
+    def _score(self, word: bytes) -> float:
+        plain = plain_word(word)
+        found = self.words.get(plain)
+        return self.heads.get(head_of(plain), self.rest) if found is None else found
+
+    def scores(self, text: bytes) -> np.ndarray:
+        """The score of each word of a text."""
+        words = text.split()
+        return np.fromiter(map(self._known.__getitem__, words), float, len(words))
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -159,24 +163,53 @@ def _send(totals: dict[int, np.ndarray]):
                                           pa.array(values[at].astype(np.int64))], ["kind", "cell", "n"])
 
 
-def fit_odds(docs: DataFrame, labels: DataFrame) -> WordOdds:
-    """Counts of documents by word, head and label over all labelled documents of WORD_FOLDS."""
+def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """kind (0: word, 1: head, 2: all), name, toxic, n: labelled documents of WORD_FOLDS that hold it, by label.
+
+    Each batch is counted by itself; a word's counts are added up by the word.
+    """
 
     def run(batches):
-        totals = {0: np.zeros(WORDS), 1: np.zeros(WORDS), 2: np.zeros(HEADS), 3: np.zeros(HEADS), 4: np.zeros(2)}
         for batch in batches:
+            found = ({}, {}, {})
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                label = int(toxic > 0)
-                features = np.unique(word_features(text.as_py() or b""))
-                totals[label][np.unique(features >> HEAD_BITS)] += 1
-                totals[2 + label][np.unique(features & (HEADS - 1))] += 1
-                totals[4][label] += 1
-        yield from _send(totals)
+                words = set(map(plain_word, set((text.as_py() or b"").split())))
+                for kind, names in enumerate((words, set(map(head_of, words)), ("",))):
+                    counts = found[kind]
+                    for name in names:
+                        t, n = counts.get(name, (0, 0))
+                        counts[name] = (t + (toxic > 0), n + 1)
+            flat = [(k, name, t, n) for k in range(3) for name, (t, n) in found[k].items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate(
+                (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["kind", "name", "toxic", "n"])
+
+    rows = _labelled(docs, labels, WORD_FOLDS).mapInArrow(run, "kind int, name string, toxic long, n long")
+    return rows.groupBy("kind", "name").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+
+
+def fit_odds(docs: DataFrame, labels: DataFrame) -> WordOdds:
+    """Log-odds of words under nested Dirichlet priors: the corpus for a head, the head for its words.
+
+    Words are counted by themselves, whatever their number; those that say more than their head, or are frequent, are
+    sent to the tasks that score (LEANS, OFTEN).
+    """
+    from ..session import stored
 
-    get = _summed(_labelled(docs, labels, WORD_FOLDS), run)
-    clean, toxic = get(4, 2)
-    return WordOdds(get(1, WORDS), get(0, WORDS) + get(1, WORDS), get(3, HEADS), get(2, HEADS) + get(3, HEADS),
-                    int(toxic), int(clean + toxic))
+    counts = stored(word_counts(docs, labels), "word-counts")
+    total = counts.where("kind = 2").select("toxic", "n").first()
+    toxic, documents = (total["toxic"], total["n"]) if total else (0, 0)
+    rate = (toxic + 0.5) / (documents + 1.0)
+    share = lambda prior, weight: (F.col("toxic") + weight * prior) / (F.col("n") + weight)
+    odds = lambda p: F.log(p / (1 - p)) - float(np.log(rate / (1 - rate)))
+    score = lambda p: F.greatest(F.lit(LOW), F.least(F.lit(HIGH), odds(p))) - DRIFT
+    heads = counts.where("kind = 1").select("name", "n", share(F.lit(rate), HEAD_PRIOR).alias("p"))
+    words = counts.where("kind = 0").withColumn("head", F.substring("name", 1, HEAD_CHARS)).join(
+        heads.select(F.col("name").alias("head"), F.col("p").alias("head_p")), "head")
+    words = words.select("name", "n", "head_p", share(F.col("head_p"), WORD_PRIOR).alias("p"))
+    own = words.where((F.col("n") >= OFTEN) | ((F.col("n") >= LEANS) & (F.col("p") > F.col("head_p"))))
+    known = {kind: {r["name"]: r["score"] for r in rows.select("name", score(F.col("p")).alias("score")).collect()}
+             for kind, rows in (("words", own), ("heads", heads.where(F.col("n") >= LEANS)))}
+    return WordOdds(known["words"], known["heads"], -DRIFT)
 
 
 @dataclass(frozen=True)
@@ -187,9 +220,9 @@ class ToxicModel:
 
     def read(self, text: bytes) -> tuple[float, list[tuple[int, int, float]]]:
         """Score of a text, and its significant passages: first word, stop word, evidence."""
-        features = word_features(text)
-        segments = maximal_segments(self.odds.scores(features))
-        passages = [(a, b, float(self.tail.evidence(s, len(features)))) for a, b, s in segments]
+        scores = self.odds.scores(text)
+        segments = maximal_segments(scores)
+        passages = [(a, b, float(self.tail.evidence(s, len(scores)))) for a, b, s in segments]
         passages = [p for p in passages if p[2] > 0]
         if self.curve is None:
             return 0.0, passages
@@ -202,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Word odds from folds 1 to 3; tail and curve from fold 4, which the words haven't seen. Fold 0 is never used."""
     spark = docs.sparkSession
     odds = fit_odds(docs, labels)
-    held = spark.sparkContext.broadcast(odds)  # of fixed size
+    held = spark.sparkContext.broadcast(odds)
     from ..session import stored
 
     def segments(batches):
@@ -211,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                s = o.scores(word_features(text.as_py() or b""))
+                s = o.scores(text.as_py() or b"")
                 cells, counts = np.unique(((s - LOW + DRIFT) / STEP).astype(np.int64).clip(0, CELLS - 1),
                                           return_counts=True)
                 rows.append((int(toxic > 0), len(s), [x[2] for x in maximal_segments(s)], cells.tolist(), counts.tolist()))
@@ -258,7 +291,7 @@ def score(docs: DataFrame, labels: DataFrame, model: ToxicModel | None = None) -
     """
     from .rows import numbered, position
 
-    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))  # of fixed size
+    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
     flat, at = numbered(docs), position(docs, "text")
 
     @F.pandas_udf("score double, passages array<struct<first:int,stop:int,evidence:double>>")
