@@ -121,6 +121,8 @@ def draw(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: f
     above = F.aggregate("mixture", F.lit(0.0), lambda s, x: s + x["p"] * F.exp(-x["w"] * F.col("key")))
     place = F.least(F.greatest(F.floor((1 - above) * slices), F.lit(0)), F.lit(slices - 1))
     cut = units.join(_mixture(units), ["no_source", "source"]).withColumn("slice", place).drop("mixture", "weight")
+    # Else the shuffle of the join by source would do for the windows below, and a hot source would be one task.
+    cut = cut.repartition("no_source", "source", "slice")
     earlier = Window.partitionBy("no_source", "source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sliced = cut.groupBy("no_source", "source", "slice").agg(F.sum("size").alias("w")).select(
         "no_source", "source", "slice", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("words_before"))
