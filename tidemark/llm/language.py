@@ -10,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .rows import numbered, pick, position
 
 #: Hidden units per direction, and bytes per window: the state starts anew in each.
 HIDDEN, WINDOW = 8, 96
 #: Bound of the training sample: different texts per language, and windows per text.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 400, 8
-#: Parts in which a language's hashes are ranked first, so that a common language spreads over tasks.
-SALTS = 64
 STEPS, BATCH, RATE, SEED = 400, 64, 0.02, 5
 #: Windows that are read at once.
 WIDTH = 2048
@@ -188,20 +187,20 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
     """lang, text: of each language the texts with the smallest hashes, so copies count once; at most `texts` each.
 
-    Only rows that aren't held out, with an id, a lang and a letter. Hashes are ranked first, then texts below each
-    language's last hash are read; no language's texts gather anywhere.
+    Only rows that aren't held out, with an id, a lang and a letter. The number of a language's texts tells below which
+    hash about four times as many lie as are wanted; only those are read again and ranked, whatever its size.
     """
     rows = pick(docs, "doc_id", "text", "lang").select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     known = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull()
                        & F.col("text").rlike("\\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    least = known.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt")).distinct()
-    for keys in (["lang", "salt"], ["lang"]):  # a salt's smallest hashes hold its share of the language's
-        order = Window.partitionBy(*keys).orderBy("h")
-        least = least.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
-    last = least.groupBy("lang").agg(F.max("h").alias("last"))
-    chosen = known.join(F.broadcast(last) if last.count() <= 10_000 else last, "lang").where(F.col("h") <= F.col("last"))
-    return chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+    sizes = stored(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")
+    share = F.least(F.lit(4.0 * texts) / F.greatest("n", F.lit(1)), F.lit(1.0))
+    below = sizes.select("lang", (share * 2.0**64 - 2.0**63).cast("long").alias("below"))
+    near = known.join(F.broadcast(below) if sizes.count() <= 10_000 else below, "lang").where(F.col("h") <= F.col("below"))
+    each = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts).select("lang", "text")
 
 
 def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, steps: int = STEPS) -> Network | None:
