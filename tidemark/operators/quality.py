@@ -32,9 +32,16 @@ def _from_counts(one_row: DataFrame, checks: Sequence[tuple[str, str, str, str]]
 
 
 def required_columns(df: DataFrame, names: Sequence[str], where: str) -> DataFrame:
-    absent = [n for n in names if n not in df.columns]
-    rows = [("ERROR", "BAD_SCHEMA", where, f"missing column {n}") for n in absent]
-    return df.sparkSession.createDataFrame(rows, SCHEMA)
+    """Required columns that are missing, and those that hold no value in any row."""
+    rows = [("ERROR", "BAD_SCHEMA", where, f"missing column {n}") for n in names if n not in df.columns]
+    missing = df.sparkSession.createDataFrame(rows, SCHEMA)
+    there = [n for n in names if n in df.columns]
+    if not there:
+        return missing
+    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(n)).alias(f"__{i}") for i, n in enumerate(there)])
+    empty = F.array(*[F.when((F.col("__rows") > 0) & (F.col(f"__{i}") == 0), F.lit(n)) for i, n in enumerate(there)])
+    names_ = counts.select(F.explode(F.filter(empty, lambda x: x.isNotNull())).alias("n"))
+    return missing.unionByName(names_.select(*_issue("ERROR", "EMPTY_COLUMN", where, F.concat(F.lit("no values in "), F.col("n")))))
 
 
 def key_problems(df: DataFrame, key: str, where: str, not_null: Sequence[str] = ()) -> DataFrame:
@@ -98,12 +105,17 @@ def alignment_problems(raw: DataFrame, calibrated: DataFrame, where: str, least:
     return wrong.unionByName(short)
 
 
-def artifact_presence(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
-    """Expected files or folders below a root, looked up on its file system."""
+def artifact_presence(spark: SparkSession, root: str, names: Sequence[str], tables: Sequence[str] = ()) -> DataFrame:
+    """Expected files or folders below a root, looked up on its file system; tables must also hold rows."""
     root = root.rstrip("/")
-    rows = [("ERROR", "FILE_MISSING", f"{root}/{n}", f"missing {n}") for n in names
-            if not path_exists(spark, f"{root}/{n}")]
-    return spark.createDataFrame(rows, SCHEMA)
+    there = {n: path_exists(spark, f"{root}/{n}") for n in [*names, *tables]}
+    rows = [("ERROR", "FILE_MISSING", f"{root}/{n}", f"missing {n}") for n, found in there.items() if not found]
+    out = spark.createDataFrame(rows, SCHEMA)
+    for n in tables:
+        if there[n]:
+            counts = spark.read.parquet(f"{root}/{n}").agg(F.count(F.lit(1)).alias("rows")).where("rows = 0")
+            out = out.unionByName(counts.select(*_issue("ERROR", "FILE_EMPTY", f"{root}/{n}", F.lit(f"no rows in {n}"))))
+    return out
 
 
 def curve_problems(curve: DataFrame, where: str) -> DataFrame:

@@ -1040,9 +1040,12 @@ def result_csv_sink(b):
 # --- checks --------------------------------------------------------------------------------------------
 
 
-@query("Q1", """select 'ERROR' as severity, 'BAD_SCHEMA' as code, 'orders' as "where", 'missing column y_score' as detail""")
+@query("Q1", """select 'ERROR' as severity, code, 'matrix' as "where", detail from (
+select 'BAD_SCHEMA' as code, 'missing column y_score' as detail, 1 as k union all
+select 'EMPTY_COLUMN', 'no values in f_empty', (select (count(*) > 0 and count(f_empty) = 0)::int from matrix) union all
+select 'EMPTY_COLUMN', 'no values in f_tax', (select (count(*) > 0 and count(f_tax) = 0)::int from matrix)) where k = 1""")
 def check_required_columns(b):
-    return Q.required_columns(b.table("orders"), ["o_orderkey", "y_score"], "orders")
+    return Q.required_columns(b.matrix(), ["y", "f_price", "f_tax", "f_empty", "y_score"], "matrix")
 
 
 @query("Q2", """select 'ERROR' as severity, code, 'admissions' as "where", detail from (
@@ -1114,9 +1117,17 @@ def check_alignment(b):
     return Q.alignment_problems(raw, cal, "cal")
 
 
-@query("Q7", """select 'ERROR' as severity, 'FILE_MISSING' as code, 'missing absent.parquet' as detail from region limit 1""")
+@query("Q7", """select 'ERROR' as severity, code, detail from (
+select 'FILE_MISSING' as code, 'missing absent.parquet' as detail, 1 as k union all select 'FILE_MISSING', 'missing test', 1 union all
+select 'FILE_EMPTY', 'no rows in sure', (select (count(*) filter (y_score > 0.99) = 0)::int from preds) union all
+select 'FILE_EMPTY', 'no rows in val', (select (count(*) = 0)::int from val_preds)) where k = 1""")
 def check_artifacts(b):
-    return Q.artifact_presence(b.spark, b.root, ["orders.parquet", "absent.parquet"]).drop("where")
+    """Prediction tables written below one folder: one with rows, one that turns out empty, one never written."""
+    root = fresh_path(b.spark, "artifacts")
+    b.folded_predictions("val").write.parquet(f"{root}/val")
+    b.predictions().where("y_score > 0.99").write.parquet(f"{root}/sure")
+    found = Q.artifact_presence(b.spark, root, [], ["val", "sure", "test"])
+    return found.unionByName(Q.artifact_presence(b.spark, b.root, ["orders.parquet", "absent.parquet"])).drop("where")
 
 
 @query("Q8", """select 'WARN' as severity, code, 'curve' as "where", detail from (
