@@ -855,6 +855,24 @@ def test_bpe_odd_texts():
         assert own.decode(ids) == t
 
 
+def test_bpe_long_words(monkeypatch):
+    """Pair by pair gives what rounds give, for words of any kind; a word of 100,000 letters takes seconds."""
+    import time
+
+    tok, own, rng = Tokenizer.from_file(BYTES), bpe.byte_pairs(BYTES), np.random.default_rng(4)
+    words = ["".join(rng.choice(list(a), n)) for n in (2, 3, 50, 700) for a in ("ab", "abcdefgh", "etaoinsr", "aéß")] + ["a" * 999]
+    for w in words:
+        want = tok.encode(w, add_special_tokens=False).ids
+        assert own._merge_long(w.encode()).tolist() == own._merge_rounds([w.encode()])[0].tolist() == want
+    monkeypatch.setattr(bpe, "LONG_WORD", 40)
+    assert [x.tolist() for x in own.merge([w.encode() for w in words])] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+    monkeypatch.undo()
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    began = time.time()
+    ids = np.frombuffer(own.encode([long])[0], "<u4").tolist()
+    assert time.time() - began < 10 and ids == tok.encode(long, add_special_tokens=False).ids
+
+
 def plain_mix(rows):
     """How often each (doc_id, text) is written: keys, epochs and the part of an epoch, document by document."""
     import math

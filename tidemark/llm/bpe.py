@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from functools import lru_cache
@@ -34,6 +35,10 @@ def _byte_letters() -> dict[str, int]:
     return out
 
 
+#: Longer words are merged pair by pair instead of in rounds.
+LONG_WORD = 4_096
+
+
 class BytePairs:
     """Vocabulary and merges of a tokenizer file, as arrays."""
 
@@ -62,6 +67,7 @@ class BytePairs:
         #: Pairs that merge, sorted, with their ranks and what each rank makes.
         self.keys, self.ranks, self.made = keys[order], order, made
         self.split = regex.compile(SPLIT_PATTERN)
+        self.by_pair: dict[int, int] = {}
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -71,7 +77,50 @@ class BytePairs:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], len(self.keys))
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one very long word: its pairs wait in a heap by rank and place, and only those beside a merge change.
+
+        A round over all of such a word would merge one pair of thousands, so rounds would take time by the square of
+        its length.
+        """
+        none, pairs, made = len(self.keys), self._pair_ranks(), self.made
+        symbols = self.of_byte[np.frombuffer(word, np.uint8)]
+        rank = [*self._rank(symbols[:-1], symbols[1:]).tolist(), none]
+        symbol, n = symbols.tolist(), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, r in enumerate(rank) if r < none]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if rank[i] != r:
+                continue
+            gone = after[i]
+            symbol[i], after[i], rank[gone] = int(made[r]), after[gone], none
+            symbol[gone] = -1
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0:
+                    b = after[a]
+                    rank[a] = pairs.get(symbol[a] << 32 | symbol[b], none) if b < n else none
+                    if rank[a] < none:
+                        heapq.heappush(heap, (rank[a], a))
+        return np.array([x for x in symbol if x >= 0], "<u4")
+
+    def _pair_ranks(self) -> dict[int, int]:
+        if not self.by_pair:
+            self.by_pair = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        return self.by_pair
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word; words over LONG_WORD bytes go through `_merge_long`, all others together through rounds."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._merge_rounds(words)
+        rest = iter(self._merge_rounds([w for w in words if len(w) <= LONG_WORD]))
+        return [self._merge_long(w) if len(w) > LONG_WORD else next(rest) for w in words]
+
+    def _merge_rounds(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word: in every round, each word merges all places of its lowest-ranking pair.
 
         All words lie in one flat array. A round ranks every pair within a word, takes the least of each word,
