@@ -128,6 +128,16 @@ def ingest_profile(b):
     return rounded(out.withColumn("unique_hadm", F.col("unique_hadm").cast("string")))
 
 
+@query("S8 S6", f"""select 'labevents' as name, count(*) as rows, count(distinct subject_id) as unique_subjects,
+count(distinct hadm_id) as unique_hadm, {TS('min(charttime)', 'date_min')}, {TS('max(charttime)', 'date_max')} from labevents""")
+def ingest_partitioned_profile(b):
+    """A table written into month folders twice, the second time over the first, and profiled from what was written."""
+    path = fresh_path(b.spark, "ingest")
+    events = b.labevents()
+    sinks.ingest(events.withColumn("charttime", F.col("charttime") - F.make_ym_interval(F.lit(1))), path, "labevents", "overwrite", "month")
+    return rounded(sinks.ingest(events, path, "labevents", "overwrite", "month"))
+
+
 @query("S9", f"""select variant, count(*) as n, {B('sum(y_true)', 'pos')}, {R('sum(score)', 'total', 4)}
 from long_preds group by variant""")
 def predictions_calibrated_layout(b):

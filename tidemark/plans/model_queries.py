@@ -19,7 +19,7 @@ from ..operators import quality as Q
 from ..operators import robustness as RB
 from ..operators import split as SP
 from ..operators.ranking import running_totals
-from ..session import fresh_path
+from ..session import fresh_path, stored
 from ..sources import artifacts as A
 from ..sources import predictions as P
 from ..sources import sinks
@@ -589,7 +589,9 @@ def _calibrated_long(b):
     platt, iso = _fitted(b)
     rows = b.predictions().withColumn("fold", prediction_fold("index_time"))
     cal = K.calibrated_scores(rows, platt, iso)
-    return P.long_predictions(cal).join(rows.select("subject_id", "fold"), "subject_id")
+    scores = ["y_score_raw", "y_score_platt", "y_score_isotonic"]
+    long = cal.unpivot(["subject_id", "y_true", "fold"], scores, "variant", "score")
+    return long.withColumn("variant", F.regexp_replace("variant", "^y_score_", ""))
 
 
 @query("E13 E6", f"""with {CAL_LONG} select fold, variant, {ROUNDED_METRICS}, {R('ece')} from
@@ -847,7 +849,7 @@ scored as (select scenario, subject_id, y_true, 1 / (1 + exp(-{MARGIN_SQL})) as
 
 
 def _scenarios(b):
-    m = _linear_rows(b).drop("margin", "score")
+    m = stored(_linear_rows(b).drop("margin", "score"), "scenario-matrix")
     return _with_margin(RB.matrix_scenarios(m, ["f_signal", "f_lines"], ["f_signal"], "mean", [0.5])) \
         .select("scenario", "subject_id", "y_true", "score")
 
@@ -909,8 +911,8 @@ rows as (select *, 'raw' as variant from whole)"""
 
 def _whole_scenarios(b):
     """Base, ablation of the feature that ranks first, noise, other labels and time slices of one model's scores."""
-    m = _linear_rows(b).drop("margin", "score")
-    first = E.top_features(X.linear_attribution(_linear_rows(b), COEF), 1)
+    m = stored(_linear_rows(b).drop("margin", "score"), "scenario-matrix")
+    first = E.top_features(X.linear_attribution(m, COEF), 1)
     scored = _with_margin(RB.matrix_scenarios(m, ["f_signal", "f_lines"], first, "mean", [0.5])).select("scenario", "subject_id", "score")
     labels = b.matrix().select("subject_id", "y", (F.col("f_price") > 250000).alias("y_big"))
     return RB.scenario_rows(scored, labels, ["y", "y_big"], b.group_meta()).withColumn("variant", F.lit("raw"))

@@ -116,10 +116,11 @@ def scan_csv(spark: SparkSession, path: str, spec: TableSpec, gzip_partitions: i
 
 
 def scan_table(spark: SparkSession, root: str, name: str, order: Sequence[str] = ANALYSIS_ORDER,
-               columns: Iterable[str] | None = None, nrows: int | None = None) -> DataFrame:
-    """One logical table in whichever format is present, optionally some columns or a row cap."""
+               columns: Iterable[str] | None = None, nrows: int | None = None, multi_line: bool = False) -> DataFrame:
+    """One logical table in whichever format is present, optionally some columns or a row cap; multi_line for CSV files
+    whose fields hold line breaks."""
     path = resolve(spark, root, name, order)
-    df = spark.read.parquet(path) if path.endswith(".parquet") else scan_csv(spark, path, table_spec(name))
+    df = spark.read.parquet(path) if path.endswith(".parquet") else scan_csv(spark, path, table_spec(name), multi_line=multi_line)
     if columns is not None:
         df = df.select(*columns)
     return df.limit(nrows) if nrows is not None else df
