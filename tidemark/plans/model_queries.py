@@ -1039,6 +1039,57 @@ def result_csv_sink(b):
     return rounded(b.spark.read.schema(curve.schema).option("header", True).csv(path))
 
 
+@query("S10 W7", f"""with {LINEAR}, m as (select avg(f_signal) as ms, avg(f_lines) as ml from lin), a as (
+select 'attribution' as dir, 'f_signal' as feature, avg(abs(4.0::double * (f_signal - ms))) as v from lin, m union all
+select 'attribution', 'f_lines', avg(abs(-0.25037::double * (f_lines - ml))) from lin, m union all
+select 'native', event_type, abs(avg(value) - 50) from events group by event_type)
+select dir, feature, {R('v', 'rank_value')} from a qualify row_number() over (partition by dir order by v desc, feature) <= 2""")
+def stored_importance_ranks(b):
+    """Importance tables with unlike columns, written to two folders, read together and ranked by what each has."""
+    root = fresh_path(b.spark, "explain")
+    sinks.write_result_csv(X.linear_attribution(_linear_rows(b), COEF), f"{root}/attribution/explain_global.csv")
+    native = b.table("events").groupBy(F.col("event_type").alias("feature")).agg((F.avg("value") - 50).alias("value"))
+    sinks.write_result_csv(native, f"{root}/native/explain_global.csv")
+    return rounded(A.importance_ranks(b.spark, [f"{root}/{d}" for d in ("attribution", "native", "absent")], 2))
+
+
+@query("S10 W8 E19", f"""with {RULES_SQL}, {GROUP_RATES}, {GAPS}, best as (select variant as dir, metric,
+arg_max({{'g': gap, 'r': ratio, 'c': group_col, 'u': rule}}, (gap, group_col, rule)) as x from gaps group by 1, 2)
+select dir, metric, {R('x.g', 'worst_gap')}, {R('x.r', 'worst_ratio_min_max')}, x.c as at_group_col, x.u as rule from best""")
+def stored_worst_gaps(b):
+    """Parity gaps written to one folder per variant, read back with the folder as a column."""
+    root = fresh_path(b.spark, "fairness")
+    gaps = stored(E.parity_gaps(E.group_threshold_metrics(_grouped(b), _rules(b))), "gaps")
+    for v in ("raw", "alt"):
+        sinks.write_result_csv(gaps.where(F.col("variant") == v).drop("variant"), f"{root}/{v}/parity_gaps.csv")
+    return rounded(E.worst_gaps(A.result_rows(b.spark, [f"{root}/raw", f"{root}/alt"], "parity_gaps.csv")))
+
+
+@query("S10 J11 E29", f"""with {RESULTS} select 'run' as dir, 'raw' as variant, 'y' as label, r.scenario, {R('r.auroc - b.auroc', 'd_auroc')},
+{R('r.auprc - b.auprc', 'd_auprc')}, {R('r.ece - b.ece', 'd_ece')}, r.n, {R('r.pos_rate', 'pos_rate')}
+from results r, results b where b.scenario = 'base' and r.scenario <> 'base'""")
+def stored_deltas_to_base(b):
+    """A scenario table written to a run folder, read back and compared with its base scenario."""
+    root = fresh_path(b.spark, "robustness")
+    sinks.write_result_csv(_results(b), f"{root}/run/robustness_results.csv")
+    rows = A.result_rows(b.spark, [f"{root}/run", f"{root}/none"], "robustness_results.csv")
+    return rounded(E.deltas_to_base(rows.withColumn("n", F.col("n").cast("bigint"))))
+
+
+@query("S10 E24", f"""with {FOLD_METRICS} select case when split = 'test' then 'mtl' else 'baseline' end as family,
+case when split = 'test' then 'task' end as task, variant, {', '.join(R(m) for m in METRIC_NAMES[:4])}, {R('ece')} from met join cal using (split, variant)""")
+def external_metric_files(b):
+    """External metrics in both shapes, written as JSON and read by one reader."""
+    root = fresh_path(b.spark, "external")
+    values = F.create_map(*[x for m in ("auroc", "auprc", "brier", "logloss", "ece") for x in (F.lit(m), F.col(m))])
+    per = stored(_artifact_metrics(b).groupBy("split").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("variant", values)))).alias("m")), "external")
+    _write_json(per.where("split = 'test'").select(F.format_string('{"family": "mtl", "metrics": {"task": %s}}', "m")), f"{root}/a")
+    _write_json(per.where("split <> 'test'").select(F.format_string('{"metrics": %s, "note": [1, {"x": 2}]}', "m")), f"{root}/b")
+    b.spark.range(1).select(F.lit("{broken")).write.text(f"{root}/c")
+    return rounded(A.external_metric_rows(b.spark, [f"{root}/{d}" for d in "abc"]).drop("dir"))
+
+
 # --- checks --------------------------------------------------------------------------------------------
 
 
