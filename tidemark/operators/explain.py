@@ -77,7 +77,8 @@ def model_rescore(model, features: Sequence[str]) -> Callable[[DataFrame], DataF
         swapped = rows.select("feature", "replicate", "y_true", *[
             F.when(F.col("feature") == f, F.col("shuffled")).otherwise(F.col(f)).alias(f) for f in features])
         vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(swapped)
-        return model.transform(vec).withColumn("score", vector_to_array("probability")[1])
+        scored = model.transform(vec).select("feature", "replicate", "y_true", vector_to_array("probability")[1].alias("score"))
+        return stored(scored, "rescored")
 
     return run
 

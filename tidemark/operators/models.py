@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import stored
 from .evaluate import metrics
 from .logistic import LinearModel, fit_grid
 
@@ -60,12 +61,13 @@ def with_balanced_weight(df: DataFrame, label: str = "y") -> tuple[DataFrame, fl
 
 def score(model: Model | LinearModel, df: DataFrame, features: Sequence[str], label: str = "y", ids: Sequence[str] = ("subject_id",)
           ) -> DataFrame:
-    """(ids, y_true, y_score): probability of class 1."""
+    """(ids, y_true, y_score): probability of class 1. Scores of an MLlib model are written once, as what follows reads
+    them several times at once."""
     if isinstance(model, LinearModel):
         return df.select(*ids, F.col(label).cast("int").alias("y_true"), model.score().alias("y_score"))
-    out = model.transform(packed(df, features, label))
-    return out.select(*ids, F.col(label).cast("int").alias("y_true"),
-                      vector_to_array("probability")[1].alias("y_score"))
+    out = model.transform(packed(df, features, label)).select(
+        *ids, F.col(label).cast("int").alias("y_true"), vector_to_array("probability")[1].alias("y_score"))
+    return stored(out, "scores")
 
 
 def score_from_margin(df: DataFrame, margin: str) -> DataFrame:
