@@ -35,6 +35,17 @@ def test_weights_are_poisson():
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(sums[:-1], sums[1:])[0, 1]) < 0.25
 
 
+def test_weights_over_several_spans(monkeypatch):
+    """The largest seeds, and replicates beyond one product's span, are as exact as others."""
+    ids = list(range(6))
+    seeds = np.concatenate([seeds_of(ids), [[BS.PRIME - 1] * 3, [0, 0, 0], [1, BS.PRIME - 1, BS.PRIME - 1]]])
+    want = [[sum((((int(a) + r * int(b)) ** 2 + int(c)) % BS.PRIME) >> 15 >= limit for limit in BS.LIMITS) for r in range(2500)]
+            for a, b, c in seeds]
+    assert BS.poisson_weights(seeds, 2500).tolist() == want
+    monkeypatch.setattr(BS, "SPAN", 7)
+    assert BS.poisson_weights(seeds, 2500).tolist() == want
+
+
 def expected(y, s, replicates, seed=1):
     """Metrics of each replicate, its rows written out."""
     w = plain_weights(range(len(y)), replicates, seed)
@@ -93,3 +104,12 @@ def test_threshold_intervals_bracket_the_rates(spark):
         assert got[f"{m}_ci_lo"] < point[m] < got[f"{m}_ci_hi"]
     tpr = point["tpr"]
     assert got["tpr_ci_hi"] - got["tpr_ci_lo"] == pytest.approx(2 * 1.96 * (tpr * (1 - tpr) / y.sum()) ** 0.5, rel=0.3)
+
+
+def test_pieces_of_unequal_keys(spark):
+    """A key's neighbouring ranges are put together until they hold some piece_rows rows; a fuller one stays alone."""
+    rows = [("a", k, 10) for k in range(8)] + [("b", k, 100 if k == 3 else 2) for k in range(8)] + [(None, 5, 1)]
+    df = spark.createDataFrame([(v, k, k / 8) for v, k, n in rows for _ in range(n)], "variant string, __fine int, score double")
+    got = {(r["variant"], r["__fine"]): r["__piece"] for r in BS._ranges(df, ["variant"], 20).collect()}
+    assert [got["a", k] for k in range(8)] == [0, 0, 2, 2, 4, 4, 6, 6]
+    assert [got["b", k] for k in range(8)] == [0, 0, 0, 3, 4, 4, 4, 4] and got[None, 5] == 5
