@@ -106,6 +106,26 @@ def test_threshold_intervals_bracket_the_rates(spark):
     assert got["tpr_ci_hi"] - got["tpr_ci_lo"] == pytest.approx(2 * 1.96 * (tpr * (1 - tpr) / y.sum()) ** 0.5, rel=0.3)
 
 
+def test_a_row_is_counted_once_for_all_rules(spark, monkeypatch):
+    """Rules of one variant share their rows' weights; equal thresholds, one that is null and ties with a score hold."""
+    rng = np.random.default_rng(8)
+    y, s = rng.integers(0, 2, 300), rng.integers(0, 11, 300) / 10
+    df = long(spark, y, s).selectExpr("*", "'g' as group_col", "cast(null as string) as group_val")
+    rules = spark.createDataFrame([("v", "a", 0.5), ("v", "b", 0.5), ("v", "c", 0.8), ("v", "none", None), ("w", "x", 0.1)],
+                                  "variant string, rule string, threshold double")
+    seen = []
+    plain = BS.replicate_totals
+    monkeypatch.setattr(BS, "replicate_totals", lambda rows, *a: seen.append(rows.count()) or plain(rows, *a))
+    got = {r["rule"]: r for r in BS.group_threshold_intervals(df, rules, 50, 1).collect()}
+    assert seen == [300] and set(got) == {"a", "b", "c", "none"}
+    w = plain_weights(range(300), 50)
+    for rule, t in (("a", 0.5), ("b", 0.5), ("c", 0.8)):
+        tpr = w[(y == 1) & (s >= t)].sum(0) / w[y == 1].sum(0)
+        ppv = w[(y == 1) & (s >= t)].sum(0) / w[s >= t].sum(0)
+        assert [got[rule][f"{m}_ci_{e}"] for m in ("tpr", "ppv") for e in ("lo", "hi")] == pytest.approx(
+            [np.percentile(v, q) for v in (tpr, ppv) for q in (2.5, 97.5)], abs=1e-12)
+
+
 def test_pieces_of_unequal_keys(spark):
     """A key's neighbouring ranges are put together until they hold some piece_rows rows; a fuller one stays alone."""
     rows = [("a", k, 10) for k in range(8)] + [("b", k, 100 if k == 3 else 2) for k in range(8)] + [(None, 5, 1)]

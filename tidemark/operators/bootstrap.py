@@ -249,8 +249,14 @@ def group_metric_intervals(grouped: DataFrame, replicates: int, seed: int = 42)
 def group_threshold_intervals(grouped: DataFrame, thresholds: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """Percentile intervals of the rates at named thresholds (variant, rule, threshold) of every variant and group."""
     keys = ["variant", "group_col", "group_val"]
-    rows = _labelled(grouped, seed).join(thresholds, "variant").withColumn("hit", F.col("score") >= F.col("threshold"))
-    totals = replicate_totals(rows, [*keys, "rule", "hit"], replicates)
+    # A row is counted once, whatever the number of rules: under the number of its variant's thresholds it reaches.
+    levels = thresholds.groupBy("variant").agg(F.sort_array(F.collect_set("threshold")).alias("__levels"))
+    placed = _labelled(grouped, seed).join(F.broadcast(levels), "variant").withColumn(
+        "__k", F.size(F.filter("__levels", lambda t: t <= F.col("score"))))
+    rows = stored(placed.select(*keys, "__k", "y_true", *_SEEDS), "labelled")
+    reached = F.col("__k") >= F.array_position("__levels", F.col("threshold"))
+    rules = thresholds.join(levels, "variant")
+    totals = replicate_totals(rows, [*keys, "__k"], replicates).join(F.broadcast(rules), "variant").withColumn("hit", reached)
 
     def of(hit: str, c: str) -> Column:
         return F.coalesce(F.sum(F.when(F.expr(hit), F.col(c))), F.lit(0))
