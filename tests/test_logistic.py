@@ -67,3 +67,17 @@ def test_stored_model_and_choice(spark, tmp_path):
     scores = {r["candidate"]: r["auprc"] for r in M.validation_scores(LG.fit_grid(train, list("abcd"), M.LOGISTIC_GRID,
               weights=tuple(M.class_balance(train).first()[k] for k in ("weight_neg", "weight_pos"))), val, list("abcd")).collect()}
     assert fitted.val_score == pytest.approx(max(scores.values()))
+
+
+def test_labels_share_their_rounds(spark, monkeypatch):
+    """Two labels take one pass a round together and get the models they get alone; null labels don't count."""
+    x, y, df = table(spark, 120)
+    df = df.selectExpr("*", "case when subject_id % 7 > 0 then cast(a > 0.5 - b as int) end as z")
+    passes, plain = [], LG._sums
+    monkeypatch.setattr(LG, "_sums", lambda *a: passes.append(1) or plain(*a))
+    weights = {"y": (0.7, 1.9), "z": (1.2, 0.8)}
+    both = LG.fit_grids(df, list("abcd"), [("l2", 0.1)], weights, 3)
+    assert len(passes) == 3
+    for label, models in both.items():
+        (m,), (n,) = models, LG.fit_grid(df, list("abcd"), [("l2", 0.1)], label, weights[label], 3)
+        assert [m.intercept, *m.coefficients] == pytest.approx([n.intercept, *n.coefficients], rel=1e-9)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import stored
 
 ROUNDS, SETTLED = 200, 1e-9
 
@@ -43,11 +44,13 @@ class LinearModel:
         return LinearModel([r["feature"] for r in rest], first["coefficient"], [r["coefficient"] for r in rest])
 
 
-def _sums(data: DataFrame, features: Sequence[str], beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(data: DataFrame, features: Sequence[str], weights: Sequence[tuple[float, float]], beta: np.ndarray, task: Sequence[int]
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weighted loss, gradient and curvature of every setting at its coefficients (settings x terms), from one pass.
 
-    Each task adds up its rows for all settings and sends one number per cell, so what is shuffled depends on the
-    settings and features only.
+    data holds the features and a label per task (y0, y1, ...); task is the one of each setting, weights are those of its
+    classes. Each task of Spark adds up its rows for all settings and sends one number per cell, so what is shuffled
+    depends on the settings and features only.
     """
     settings, terms = beta.shape
     i, j = np.triu_indices(terms)
@@ -55,19 +58,24 @@ def _sums(data: DataFrame, features: Sequence[str], beta: np.ndarray) -> tuple[n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((settings, 1 + terms + len(i)))
         for batch in batches:
-            *x, y, w = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
-            design = np.column_stack([np.ones(len(y)), *x])
-            eta = design @ beta.T
-            p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-            total[:, 0] += (w[:, None] * (np.logaddexp(0, eta) - y[:, None] * eta)).sum(0)
-            total[:, 1 : 1 + terms] += (w[:, None] * (p - y[:, None])).T @ design
-            curve = w[:, None] * p * (1 - p)
-            for s in range(settings):
-                total[s, 1 + terms :] += (design.T @ (curve[:, s : s + 1] * design))[i, j]
+            x = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            every, labels = np.column_stack([np.ones(batch.num_rows), *x[: terms - 1]]), x[terms - 1 :]
+            for k in sorted(set(task)):
+                of, known = np.flatnonzero(np.equal(task, k)), ~np.isnan(labels[k])
+                y, design = (labels[k], every) if known.all() else (labels[k][known], every[known])
+                w = np.where(y == 1, weights[k][1], weights[k][0])
+                eta = design @ beta[of].T
+                p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                total[of, 0] += (w[:, None] * (np.logaddexp(0, eta) - y[:, None] * eta)).sum(0)
+                total[of, 1 : 1 + terms] += (w[:, None] * (p - y[:, None])).T @ design
+                curve = w[:, None] * p * (1 - p)
+                for n, s in enumerate(of):
+                    total[s, 1 + terms :] += (design.T @ (curve[:, n : n + 1] * design))[i, j]
         cells = np.arange(total.size, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel())], ["cell", "v"])
 
-    found = data.select(*features, "y", "w").mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+    labels = [f"y{k}" for k in range(len(weights))]
+    found = data.select(*features, *labels).mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v"))
     total = np.zeros((settings, 1 + terms + len(i)))
     for r in found.collect():
         total.flat[r["cell"]] = r["v"]
@@ -108,21 +116,29 @@ def _penalty(kind: str, beta: np.ndarray) -> float:
 
 def fit_grid(train: DataFrame, features: Sequence[str], settings: Sequence[tuple[str, float]], label: str = "y",
              weights: tuple[float, float] = (1.0, 1.0), rounds: int = ROUNDS) -> list[LinearModel]:
-    """A model for each (penalty, C): C times the weighted log loss plus the penalty, smallest.
+    """A model for each (penalty, C): C times the weighted log loss plus the penalty, smallest; see `fit_grids`."""
+    return fit_grids(train, features, settings, {label: weights}, rounds)[label]
 
-    Newton rounds for all settings together; a step that makes a setting worse is halved. weights are those of the
-    classes 0 and 1. Rows with a null feature or label don't count.
+
+def fit_grids(train: DataFrame, features: Sequence[str], settings: Sequence[tuple[str, float]],
+              weights: dict[str, tuple[float, float]], rounds: int = ROUNDS) -> dict[str, list[LinearModel]]:
+    """A model for each label and (penalty, C): C times the weighted log loss plus the penalty, smallest.
+
+    Newton rounds for all labels and settings together, over rows that are written once; a step that makes a setting
+    worse is halved. weights are those of the classes 0 and 1 of every label. Rows with a null feature don't count, nor
+    do those with a null label for that label.
     """
-    y = F.col(label).cast("int")
-    data = train.select(*[F.col(f).cast("double").alias(f) for f in features], y.alias("y")).dropna()
-    data = data.withColumn("w", F.when(F.col("y") == 1, float(weights[1])).otherwise(float(weights[0])))
-    beta = np.zeros((len(settings), len(features) + 1))
-    held, best = beta.copy(), np.full(len(settings), np.inf)
-    open_ = np.ones(len(settings), bool)
+    rows = train.select(*[F.col(f).cast("double").alias(f) for f in features],
+                        *[F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(weights)])
+    data = stored(rows.dropna(subset=list(features)), "design")
+    task, grid = [k for k in range(len(weights)) for _ in settings], [*settings] * len(weights)
+    beta = np.zeros((len(grid), len(features) + 1))
+    held, best = beta.copy(), np.full(len(grid), np.inf)
+    open_ = np.ones(len(grid), bool)
     for _ in range(rounds):
-        loss, gradient, curve = _sums(data, features, beta[open_])
+        loss, gradient, curve = _sums(data, features, list(weights.values()), beta[open_], np.array(task)[open_].tolist())
         for n, s in enumerate(np.flatnonzero(open_)):
-            kind, c = settings[s]
+            kind, c = grid[s]
             now = c * loss[n] + _penalty(kind, beta[s])
             if now > best[s] * (1 + 1e-12):
                 beta[s] = (beta[s] + held[s]) / 2
@@ -132,4 +148,5 @@ def fit_grid(train: DataFrame, features: Sequence[str], settings: Sequence[tuple
             open_[s] = np.abs(beta[s] - held[s]).max() >= SETTLED * max(1.0, np.abs(beta[s]).max())
         if not open_.any():
             break
-    return [LinearModel(list(features), float(b[0]), b[1:].tolist()) for b in beta]
+    models = [LinearModel(list(features), float(b[0]), b[1:].tolist()) for b in beta]
+    return {label: models[k * len(settings) : (k + 1) * len(settings)] for k, label in enumerate(weights)}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..session import stored
 from .evaluate import metrics
-from .logistic import LinearModel, fit_grid
+from .logistic import LinearModel, fit_grids
 
 # The full search grids.
 LOGISTIC_GRID = [("l2", c) for c in (0.01, 0.1, 1.0, 10.0)] + [("l1", c) for c in (0.01, 0.1, 1.0)]
@@ -96,9 +96,18 @@ def pick_best(models: list[Model], settings: list[tuple], val: DataFrame, featur
 def fit_logistic(train: DataFrame, val: DataFrame, features: Sequence[str], label: str = "y",
                  metric: str = "auprc", grid: Sequence[tuple] = tuple(LOGISTIC_GRID), max_iter: int = 200) -> Fitted:
     """Balanced logistic regression, all settings of the grid in one run of rounds."""
-    b = class_balance(train, label).first()
-    models = fit_grid(train, features, grid, label, (b["weight_neg"] or 1.0, b["weight_pos"] or 1.0), max_iter)
-    return pick_best(models, list(grid), val, features, metric, label)
+    return _fit_labels(train, val, features, [label], metric, grid, max_iter)[label]
+
+
+def _fit_labels(train: DataFrame, val: DataFrame, features: Sequence[str], labels: Sequence[str], metric: str = "auprc",
+                grid: Sequence[tuple] = tuple(LOGISTIC_GRID), max_iter: int = 200) -> dict[str, Fitted]:
+    """`fit_logistic` for several labels, all in the same rounds."""
+    weights = {}
+    for label in labels:
+        b = class_balance(train, label).first()
+        weights[label] = (b["weight_neg"] or 1.0, b["weight_pos"] or 1.0)
+    models = fit_grids(train, features, grid, weights, max_iter)
+    return {t: pick_best(models[t], list(grid), val, features, metric, t) for t in weights}
 
 
 def fit_forest(train: DataFrame, val: DataFrame, features: Sequence[str], label: str = "y",
@@ -153,7 +162,7 @@ def native_importances(spark: SparkSession, fitted: Fitted) -> DataFrame:
 def fit_two_tasks(train: DataFrame, val: DataFrame, features: Sequence[str], tasks: Sequence[str],
                   metric: str = "auprc", **kw) -> tuple[dict[str, Fitted], float]:
     """One model per task over shared features, and the mean of their validation scores."""
-    fitted = {t: fit_logistic(train, val, features, t, metric, **kw) for t in tasks}
+    fitted = _fit_labels(train, val, features, list(dict.fromkeys(tasks)), metric, **kw)
     return fitted, sum(f.val_score for f in fitted.values()) / len(fitted)
 
 
