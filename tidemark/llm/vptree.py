@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .rows import pick
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8_192, 1_024, 32
+SHARD_ROWS, BLOCK_ROWS = 8_192, 1_024
+#: Rows of a leaf: one product scores a leaf's rows, and below some hundred of them the calls cost more than the products.
+LEAF_ROWS = 256
 #: Rows per pivot that are aimed at, the most pivots, and the vectors of each length that pivots are fitted to.
 PIVOT_ROWS, MAX_PIVOTS, SAMPLE_ROWS = 2_048, 1_024, 16_384
 #: Shards that a query searches before others are ruled out.
