@@ -44,6 +44,7 @@ def permutation_importance(df: DataFrame, features: Sequence[str], rescore: Call
     (feature, original, shuffled) into rows with a new `score`; all features and repeats go
     through it in one run, and what is shuffled after it is counts per distinct score.
     """
+    df = stored(df, "scored")  # read for the order, the places, the shuffles and the base metric
     rows = shuffled_rows(df, features, repeats, seed, id_col)
     each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("original"),
                               F.col("shuffled")[i].alias("shuffled")) for i, f in enumerate(features)])
