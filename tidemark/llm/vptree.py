@@ -25,7 +25,11 @@ HOME = 2
 #: Radii are divided by this. It loses nothing on vectors without clusters, where no bound rules anything out, and
 #: about one neighbour in a hundred on vectors in clusters.
 FACTOR = 1.1
-_SLACK = 1e-9
+#: Leaves that a query scans before others are ruled out, in turns. Leaves side by side that may be scanned by one
+#: product, and the share of its pairs that must be wanted for that.
+FIRST_LEAVES = (1, 2, 4)
+RUN_LEAVES, RUN_SHARE = 32, 0.75
+_SLACK, _SUMS = 1e-9, 1 << 16
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
@@ -72,61 +76,92 @@ class Tree:
         return Tree(rows[order], ids[order], vectors[order], np.array(nodes, np.int64).reshape(-1, 4),
                     np.array(centres).reshape(len(nodes), -1), np.array(radii), np.array(tops))
 
-    def bounds(self, node: int, queries: np.ndarray, norms: np.ndarray, factor: float) -> np.ndarray:
-        """The largest inner product that vectors of a node can have with each query; relaxed by the factor."""
-        ball = queries @ self.centres[node] + norms * self.radii[node] / factor
-        return np.minimum(ball, norms * self.tops[node])
-
     def search(self, query_rows: np.ndarray, queries: np.ndarray, k: int, factor: float = FACTOR, floors: np.ndarray | None = None):
         """score and place (of rows, ids and vectors) of the k best vectors per query, best first, ties to the smaller
-        row; places without one have score -inf. floors are scores that k vectors elsewhere are known to reach."""
+        row; places without one have score -inf. floors are scores that k vectors elsewhere are known to reach.
+
+        Every query scans the leaves whose centres have the largest inner products with it, then those that its k-th
+        score leaves over. Leaves side by side that most of their queries want are scanned by one product.
+        """
         n = len(queries)
         score, place = np.full((n, k), -np.inf), np.full((n, k), len(self.rows), np.int64)
         floors = np.full(n, -np.inf) if floors is None else floors
         if not len(self.rows) or not n:
             return score, place
-        norms = _norms(queries)
         number = np.append(self.rows, np.iinfo(np.int64).max)
+        inner, high = self._bounds(queries, factor)
+        leaves = np.flatnonzero(self.nodes[:, 0] < 0)
+        leaves = leaves[np.argsort(self.nodes[leaves, 2], kind="stable")]
+        starts, stops = self.nodes[leaves, 2], self.nodes[leaves, 3]
+        leaf = np.repeat(np.arange(len(leaves)), stops - starts)
+        inner, high = inner[leaves], high[leaves]
+
+        def need(who) -> np.ndarray:
+            floor = np.maximum(score[who, -1], floors[who])
+            return floor - _SLACK * (1 + np.abs(floor))
 
-        def scan(node: int, who: np.ndarray) -> None:
-            a, b = self.nodes[node, 2:]
+        def candidates(who: np.ndarray, a: int, b: int, wanted: np.ndarray):
+            """query, place and score of the pairs in wanted (leaf, query) that can change a result."""
             self.scanned += len(who) * (b - a)
-            vectors, rows = self.vectors[a:b], self.rows[a:b]
-            floor = np.maximum(score[who, -1], floors[who])
-            worth = queries[who] @ vectors.T >= (floor - _SLACK * (1 + np.abs(floor)))[:, None]
-            worth &= rows[None, :] != query_rows[who][:, None]
-            some = np.flatnonzero(worth.any(1))
-            for i in range(0, len(some), 256):
-                part = some[i : i + 256]
-                w = who[part]
-                q, c = np.nonzero(worth[part])
-                new = np.full((len(part), b - a), -np.inf)
-                new[q, c] = (queries[w[q]] * vectors[c]).sum(1)  # the same sum wherever a pair is met
-                both = np.concatenate([score[w], new], axis=1)
-                places = np.concatenate([place[w], np.broadcast_to(np.arange(a, b), new.shape)], axis=1)
-                best = np.lexsort((number[places], -both), axis=1)[:, :k]
-                score[w] = np.take_along_axis(both, best, 1)
-                place[w] = np.take_along_axis(places, best, 1)
-
-        todo = [(0, np.arange(n))]
-        while todo:
-            node, who = todo.pop()
-            floor = np.maximum(score[who, -1], floors[who])
-            high = self.bounds(node, queries[who], norms[who], factor)
-            keep = high >= floor - _SLACK * (1 + np.abs(floor))
-            who, high = who[keep], high[keep]
-            if not len(who):
-                continue
-            first, second = self.nodes[node, :2]
-            if first < 0:
-                scan(node, who)
-                continue
-            # Each query goes to the child nearer to it first, and to the other one when the first is done.
-            near = queries[who] @ (self.centres[first] - self.centres[second]) >= 0
-            todo += [(second, who[near]), (first, who[~near]), (first, who[near]), (second, who[~near])]
+            q, c = np.nonzero(queries[who] @ self.vectors[a:b].T >= need(who)[:, None])
+            q, c = who[q], c + a
+            some = wanted[leaf[c], q] & (self.rows[c] != query_rows[q])
+            q, c = q[some], c[some]
+            new = np.empty(len(q))
+            for i in range(0, len(q), _SUMS):
+                part = slice(i, i + _SUMS)
+                new[part] = (queries[q[part]] * self.vectors[c[part]]).sum(1)  # the same sum wherever a pair is met
+            last = score[q, -1]
+            some = (new > last) | (new == last) & (number[c] < number[place[q, -1]])
+            return q[some], c[some], new[some]
+
+        def merge(q: np.ndarray, c: np.ndarray, new: np.ndarray) -> None:
+            who, counts = np.unique(q, return_counts=True)
+            q = np.concatenate([np.repeat(who, k), q])
+            c, new = np.concatenate([place[who].ravel(), c]), np.concatenate([score[who].ravel(), new])
+            best = np.lexsort((number[c], -new, q))
+            ends = np.cumsum(counts + k)
+            best = best[np.arange(len(q)) < np.repeat(ends - counts, counts + k)]
+            score[who], place[who] = new[best].reshape(-1, k), c[best].reshape(-1, k)
+
+        def scan(wanted: np.ndarray) -> None:
+            for i in range(0, len(leaves), RUN_LEAVES):
+                run = np.arange(i, min(i + RUN_LEAVES, len(leaves)))
+                wanted[run] &= high[run] >= need(slice(None))
+                who = np.flatnonzero(wanted[run].any(0))
+                if not len(who):
+                    continue
+                a, b = starts[run[0]], stops[run[-1]]
+                pairs = wanted[run].sum(1) @ (stops - starts)[run]
+                if pairs >= RUN_SHARE * len(who) * (b - a):
+                    found = [candidates(who, a, b, wanted)]
+                else:
+                    found = [candidates(np.flatnonzero(wanted[x]), starts[x], stops[x], wanted) for x in run[wanted[run].any(1)]]
+                merge(*map(np.concatenate, zip(*found)))
+
+        best = np.argsort(-inner, axis=0, kind="stable")
+        left, done = np.ones(high.shape, bool), 0
+        for take in FIRST_LEAVES:
+            turn = np.zeros(high.shape, bool)
+            np.put_along_axis(turn, best[done : done + take], True, axis=0)
+            left &= ~turn
+            done += take
+            scan(turn)
+        scan(left)
         place[score == -np.inf] = len(self.rows)
         return score, place
 
+    def _bounds(self, queries: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """By node and query: the inner product with the centre, and the largest one that vectors of the node can have,
+        relaxed by the factor. A node that its parents' exact bounds leave out is left out with them."""
+        norms = _norms(queries)
+        inner, most = self.centres @ queries.T, self.tops[:, None] * norms
+        exact = np.minimum(inner + self.radii[:, None] * norms, most)
+        for node, children in enumerate(self.nodes[:, :2]):  # parents come before their children
+            if children[0] >= 0:
+                exact[children] = np.minimum(exact[children], exact[node])
+        return inner, np.minimum(np.minimum(inner + self.radii[:, None] * norms / factor, most), exact)
+
 
 @lru_cache(maxsize=1)
 def _opened(rows: bytes, ids: bytes, vectors: bytes, nodes: bytes, centres: bytes, radii: bytes, tops: bytes, dim: int) -> Tree:
