@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -112,9 +113,13 @@ def _fit_labels(train: DataFrame, val: DataFrame, features: Sequence[str], label
 
 def fit_forest(train: DataFrame, val: DataFrame, features: Sequence[str], label: str = "y",
                metric: str = "auprc", grid: Sequence[tuple] = tuple(FOREST_GRID), seed: int = 42) -> Fitted:
-    """Balanced random forest; unlimited depth is MLlib's maximum of 30."""
+    """Balanced random forest; unlimited depth is MLlib's maximum of 30.
+
+    The packed rows, read a few times a fit, are kept on disk: MLlib keeps binned rows of its own, which it reads for
+    every level of the trees, and those need the memory.
+    """
     weighted, _ = with_balanced_weight(train, label)
-    data = packed(weighted, features, label).select("features", "label", "w").persist()
+    data = packed(weighted, features, label).select("features", "label", "w").persist(StorageLevel.DISK_ONLY)
     try:
         models = [RandomForestClassifier(numTrees=n, maxDepth=d, minInstancesPerNode=m, weightCol="w", seed=seed,
                                          featureSubsetStrategy="sqrt").fit(data) for n, d, m in grid]
