@@ -18,6 +18,7 @@ from ..operators import prepare as PR
 from ..operators import quality as Q
 from ..operators import robustness as RB
 from ..operators import split as SP
+from ..operators.logistic import fit_grid
 from ..operators.ranking import running_totals
 from ..session import fresh_path, stored
 from ..sources import artifacts as A
@@ -504,7 +505,7 @@ fits(i, nr, kind, c, a, b) as (select 0, nr, kind, c, 0.0::double, 0.0::double f
 
 def _one_feature(b):
     m = b.stored_matrix().select("subject_id", "fold", "f_signal", "y")
-    return m, M.fit_grid(_fold(m, "train"), ["f_signal"], M.LOGISTIC_GRID, weights=_balance(_fold(m, "train")))
+    return m, fit_grid(_fold(m, "train"), ["f_signal"], M.LOGISTIC_GRID, weights=_balance(_fold(m, "train")))
 
 
 def _balance(train):
