@@ -5,11 +5,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import treap
+from tidemark.session import SHORT, short_batches
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -122,3 +125,47 @@ def test_ties_go_to_smaller_ids(spark):
     got = searched(frame, spark.createDataFrame([(7, "same other")], "item_id long, text string"), 5, shard_terms=100)
     assert [r[2] for r in sorted(got, key=lambda r: r[1])] in ([701, 702, 703, 704, 705], []) and got == plain_search(
         docs, [(7, "same other")], 5)
+
+
+def drawn(spark, n_docs, n_terms, n_words):
+    """Documents of words drawn at random."""
+    rng = np.random.default_rng(11)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, n_words, n_terms))) for i in range(n_docs)]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+
+
+def test_index_rows_are_short(spark):
+    """No row of the index holds a whole shard: treaps come in pieces of bounded bytes, dictionaries of bounded terms."""
+    docs, frame = drawn(spark, 200, 400, 9000)
+    shards = treap.build(frame).shards
+    cells = F.coalesce(F.length("body"), F.lit(0)), F.coalesce(F.size("terms"), F.lit(0))
+    most, body, terms, entries = shards.agg(F.max(cells[0]), F.sum(cells[0]), F.max(cells[1]), F.sum(cells[1])).first()
+    assert body > treap.PIECE_BYTES >= most and entries > treap.PIECE_TERMS >= terms
+    assert entries == len({w for _, text in docs for w in text.split()}) and shards.select("shard").distinct().count() == 1
+
+
+@pytest.mark.parametrize("block_terms", [treap.BLOCK_TERMS, 20])
+def test_pieces_are_put_together(spark, block_terms):
+    """Treaps cut at any byte, dictionaries at any term, several shards in a task and several blocks of a shard."""
+    docs, _ = drawn(spark, 60, 150, 400)
+    docs += [(None, docs[0][1]), (3, docs[1][1]), (3, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = [(i, " ".join(docs[5 * i][1].split()[:12])) for i in range(10)] + [(None, "w1 w2 W3 none")]
+    index = treap.build(frame, shard_terms=2000, piece_bytes=1001, piece_terms=7)
+    before = {k: spark.conf.get(k) for k in SHORT}
+    got = treap.search(index, spark.createDataFrame(asked, "item_id long, text string"), block_terms=block_terms)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_search(docs, asked)
+    assert before == {k: spark.conf.get(k) for k in SHORT}
+
+
+def test_batches_of_long_rows_are_short(spark):
+    """Inside, a task gets long rows in batches of few bytes; outside, as the session says."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("text"))
+    counted = lambda: [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    with short_batches(spark):
+        inside = counted()
+    assert sum(inside) == 64 and max(inside) <= 17 and counted() == [64]

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import short_batches, stored
 from .rows import pick
 
 #: A term is a run of ASCII letters and digits, A-Z lower-cased, and of anything beyond ASCII.
@@ -19,6 +19,9 @@ _KEPT = {*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)}
 _FOLDED = bytes((c + 32 if 65 <= c <= 90 else c) if c in _KEPT else 32 for c in range(256))
 #: A shard ends with the document that brings it to this many terms, repeats included, or this many documents.
 SHARD_TERMS, SHARD_DOCS = 1_500_000, 60_000
+#: A shard's treap is kept in rows of so many bytes, its dictionary in rows of so many terms: whole shards as rows, of
+#: some 14 MB each, are copied several times by readers, shuffles and Arrow batches on their way.
+PIECE_BYTES, PIECE_TERMS = 1 << 18, 4096
 #: Item terms that are sent to every task that reads a dictionary; more of them are joined by a shuffle.
 SENT_TERMS = 100_000
 #: Item terms in a block of items that is answered together.
@@ -61,8 +64,11 @@ class Treap:
     def __init__(self, height: int, quads, tops, rows, columns):
         self.height, self.quads, self.tops = height, quads, tops
         point = quads == 0
-        self.child = np.where(point, 0, 1 + np.cumsum(_ONES[quads], dtype=np.int64) - _ONES[quads])
-        self.row, self.column = np.full(len(quads), -1, np.int64), np.full(len(quads), -1, np.int64)
+        # Cells of a shard are numbered in 32 bits: there are less than 33 levels of at most a cell for each point.
+        self.child = np.cumsum(_ONES[quads], dtype=np.int32)
+        self.child += 1 - _ONES[quads]
+        self.child[point] = 0
+        self.row, self.column = np.full(len(quads), -1, np.int32), np.full(len(quads), -1, np.int32)
         self.row[point], self.column[point] = rows, columns
 
     @staticmethod
@@ -194,21 +200,58 @@ def _count(batches):
                                          ["documents", "terms"])
 
 
-_INDEX = ("shard long, doc_ids array<long>, height int, quads binary, tops binary, points_row binary, "
-          "points_column binary, terms array<binary>, df array<long>")
-_TREAP = ["shard", "doc_ids", "height", "quads", "tops", "points_row", "points_column"]
+def _packed(ids: list, packed) -> bytes:
+    """The doc ids and treap arrays of a shard as one string of bytes, wider numbers first."""
+    height, quads, tops, rows, columns = packed
+    nulls = np.array([i is None for i in ids], np.uint8)
+    known = np.array([0 if i is None else i for i in ids], np.int64)
+    sizes = np.array([height, len(quads), len(rows), len(ids)], np.int64)
+    return b"".join(a.tobytes() for a in (sizes, known, tops, rows, columns, quads, nulls))
+
+
+def _unpacked(body: bytes):
+    """doc ids, whether each is null, and the treap of a shard."""
+    height, cells, points, documents = np.frombuffer(body, np.int64, 4).tolist()
+    at, found = 32, []
+    for kind, n in ((np.int64, documents), (np.int32, cells), (np.int32, points), (np.uint16, points), (np.uint8, cells),
+                    (np.uint8, documents)):
+        found.append(np.frombuffer(body, kind, n, at))
+        at += found[-1].nbytes
+    ids, tops, rows, columns, quads, nulls = found
+    return ids, nulls, Treap(height, quads, tops, rows, columns)
+
+
+_INDEX = "shard long, piece int, body binary, first int, terms array<binary>, df array<long>"
+_ARROW = pa.schema([("shard", pa.int64()), ("piece", pa.int32()), ("body", pa.binary()), ("first", pa.int32()),
+                    ("terms", pa.list_(pa.binary())), ("df", pa.list_(pa.int64()))])
+
+
+def _pieces(shard: int, body: bytes, names: list[bytes], df: np.ndarray, piece_bytes: int, piece_terms: int):
+    """Batches of the rows of a shard: the bytes of its treap, and its dictionary with the row that each slice begins at."""
+    numbers = range(-(-len(body) // piece_bytes))
+    for some in (numbers[i : i + 16] for i in range(0, len(numbers), 16)):
+        cut = [body[i * piece_bytes : (i + 1) * piece_bytes] for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(cut), pa.int64()), pa.array(some, pa.int32()),
+                                          pa.array(cut, pa.binary()), *(pa.nulls(len(cut), f.type) for f in list(_ARROW)[3:])],
+                                         schema=_ARROW)
+    for first in range(0, len(names), piece_terms):
+        cut = slice(first, first + piece_terms)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.nulls(1, f.type) for f in list(_ARROW)[1:3]),
+                                          pa.array([first], pa.int32()), pa.array([names[cut]], _ARROW.field("terms").type),
+                                          pa.array([df[cut].astype(np.int64)], _ARROW.field("df").type)], schema=_ARROW)
 
 
 @dataclass(frozen=True)
 class Index:
-    """One treap and dictionary per shard, the number of documents that have terms, and of all their terms."""
+    """One treap and dictionary per shard, both in pieces, the number of documents that have terms, and of all their terms."""
 
     shards: DataFrame
     documents: int
     terms: int
 
 
-def build(docs: DataFrame, shard_terms: int = SHARD_TERMS, shard_docs: int = SHARD_DOCS) -> Index:
+def build(docs: DataFrame, shard_terms: int = SHARD_TERMS, shard_docs: int = SHARD_DOCS, piece_bytes: int = PIECE_BYTES,
+          piece_terms: int = PIECE_TERMS) -> Index:
     """The index of all documents with at least one term, whole texts, every term.
 
     Each task cuts what it reads into shards, so no text is shuffled and neither a common term nor a hot source
@@ -216,8 +259,9 @@ def build(docs: DataFrame, shard_terms: int = SHARD_TERMS, shard_docs: int = SHA
     """
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.select("doc_id", F.col("text").cast("binary"))
-    documents, terms = rows.select("text").mapInArrow(_count, "documents long, terms long").agg(
-        F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+    with short_batches(docs.sparkSession):
+        documents, terms = rows.select("text").mapInArrow(_count, "documents long, terms long").agg(
+            F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
 
     def run(batches):
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -228,11 +272,8 @@ def build(docs: DataFrame, shard_terms: int = SHARD_TERMS, shard_docs: int = SHA
             return [], [], [], known
 
         def finish():
-            doc_ids, (height, *arrays), names, df = _shard(ids, sizes, tokens, list(known), documents, terms)
-            columns = [pa.array([base + made]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([height], pa.int32()),
-                       *(pa.array([a.tobytes()], pa.binary()) for a in arrays),
-                       pa.array([names], pa.list_(pa.binary())), pa.array([df.astype(np.int64)], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, [*_TREAP, "terms", "df"])
+            doc_ids, packed, names, df = _shard(ids, sizes, tokens, list(known), documents, terms)
+            return _pieces(base + made, _packed(doc_ids, packed), names, df, piece_bytes, piece_terms)
 
         ids, sizes, tokens, known = fresh()
         held = 0
@@ -246,15 +287,15 @@ def build(docs: DataFrame, shard_terms: int = SHARD_TERMS, shard_docs: int = SHA
                 tokens.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
                 held += len(found)
                 if held >= shard_terms or len(ids) >= shard_docs:
-                    yield finish()
+                    yield from finish()
                     made += 1
                     ids, sizes, tokens, known = fresh()
                     held = 0
         if ids:
-            yield finish()
+            yield from finish()
 
-    shards = rows.mapInArrow(run, _INDEX)
-    return Index(stored(shards, "treaps"), documents, terms)
+    with short_batches(docs.sparkSession):
+        return Index(stored(rows.mapInArrow(run, _INDEX), "treaps"), documents, terms)
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -276,15 +317,20 @@ def search(index: Index, items: DataFrame, k: int = 20, sent_terms: int = SENT_T
     """item_id, rank, doc_id, score: each item's k best documents with a score above 0, ties by smaller doc_id, null last.
 
     A term weighs floor(1000 ln((2 N + 2) / (2 df + 1))), df its documents in all shards. Items are joined with the
-    dictionaries on the term, so a shard gets only rows that it has, once for each block of items; each task prunes by
-    what its earlier shards have found. Results are those of scoring every document.
+    dictionaries on the term, so a shard gets only rows that it has, once for each block of items. The pieces of a shard
+    and what is asked of it meet in one task, which puts them together and prunes by what its earlier shards have found.
+    Results are those of scoring every document.
     """
+    spark = items.sparkSession
     asked = stored(item_terms(items), "item-terms")
     n_asked = asked.count()
     words = asked.select("term").distinct()
-    entries = index.shards.select("shard", F.posexplode(F.arrays_zip("terms", "df"))).select(
-        "shard", F.col("pos").alias("row"), F.col("col.terms").alias("term"), F.col("col.df").alias("df"))
-    hits = stored(entries.join(F.broadcast(words) if n_asked <= sent_terms else words, "term", "left_semi"), "hits")
+    slices = index.shards.where("first is not null")
+    entries = slices.select("shard", "first", F.posexplode(F.arrays_zip("terms", "df"))).select(
+        "shard", (F.col("first") + F.col("pos")).alias("row"), F.col("col.terms").alias("term"), F.col("col.df").alias("df"))
+    hits = entries.join(F.broadcast(words) if n_asked <= sent_terms else words, "term", "left_semi")
+    with short_batches(spark):
+        hits = stored(hits.repartition("shard", "row"), "hits")  # a few files rather than one for each shard
     weight = F.floor(1000 * F.log((2.0 * index.documents + 2) / (2 * F.col("df") + 1))).alias("weight")
     weighed = hits.groupBy("term").agg(F.sum("df").alias("df")).select("term", weight)
     blocks = max(1, -(-n_asked // block_terms))
@@ -296,18 +342,23 @@ def search(index: Index, items: DataFrame, k: int = 20, sent_terms: int = SENT_T
 
     def run(batches):
         floors: dict = {}
+        shard, parts, treap = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                cell = {c: batch.column(c)[i] for c in batch.schema.names}
-                read = lambda c, kind: np.frombuffer(cell[c].as_buffer(), kind)
-                treap = Treap(cell["height"].as_py(), read("quads", np.uint8), read("tops", np.int32),
-                              read("points_row", np.int32), read("points_column", np.uint16))
-                doc_ids = cell["doc_ids"].as_py()
-                order = np.array(sorted(range(len(doc_ids)), key=lambda j: (doc_ids[j] is None, doc_ids[j] or 0)))
-                place = np.empty(len(doc_ids), np.int64)
-                place[order] = np.arange(len(doc_ids))
+            numbers, bodies, wanted = batch.column("shard").to_pylist(), batch.column("body"), batch.column("asked")
+            for i, number in enumerate(numbers):
+                if number != shard:
+                    shard, parts, treap = number, [], None
+                if bodies[i].is_valid:
+                    parts.append(bodies[i].as_py())
+                    continue
+                if treap is None:
+                    ids, nulls, treap = _unpacked(b"".join(parts))
+                    parts, order = [], np.lexsort((ids, nulls))
+                    doc_ids = [None if null else j for j, null in zip(ids.tolist(), nulls.tolist())]
+                    place = np.empty(len(doc_ids), np.int64)
+                    place[order] = np.arange(len(doc_ids))
                 wishes = defaultdict(list)
-                for row in cell["asked"].as_py():
+                for row in wanted[i].as_py():
                     for item in row["items"]:
                         if item["weight"] > 0:
                             wishes[item["item_id"]].append((row["row"], item["weight"]))
@@ -321,7 +372,13 @@ def search(index: Index, items: DataFrame, k: int = 20, sent_terms: int = SENT_T
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)] if out else
                                                  [pa.array([], pa.int64())] * 3, ["item_id", "doc_id", "score"])
 
-    pairs = index.shards.select(*_TREAP).join(sent.hint("shuffle_hash"), "shard").select(*_TREAP[1:], "asked")
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    pieces = index.shards.where("body is not null").select("shard", "piece", "body", none("asked", sent.schema["asked"].dataType))
+    questions = sent.select("shard", none("piece", "int"), none("body", "binary"), "asked")
+    # A shard's pieces come in order, then what is asked of it, block by block.
+    met = pieces.union(questions).repartition("shard").sortWithinPartitions("shard", F.asc_nulls_last("piece"))
+    found = met.select("shard", "body", "asked").mapInArrow(run, "item_id long, doc_id long, score long")
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    ranked = pairs.mapInArrow(run, "item_id long, doc_id long, score long").withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    with short_batches(spark):
+        return stored(ranked.select("item_id", "rank", "doc_id", "score"), "ranked")
